@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from strandline.llm.decontaminate import op9_decontaminate
+from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
 
 QUERIES = {
+    "op3_dedup_lines": op3_dedup_lines,
     "op9_decontaminate": op9_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_dedup_lines": OP3_SQL,
+}
