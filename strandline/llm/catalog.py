@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from strandline.llm.decontaminate import op9_decontaminate
 from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
+from strandline.llm.token_store import op8_token_store
 
 QUERIES = {
     "op3_dedup_lines": op3_dedup_lines,
+    "op8_token_store": op8_token_store,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
