@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandline.llm.decontaminate import op9_decontaminate
 from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
 from strandline.llm.dedup_spans import op2_dedup_spans
+from strandline.llm.language import op7_language
 from strandline.llm.media import op6_media
 from strandline.llm.simhash import op1_simhash
 from strandline.llm.token_store import op8_token_store
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_dedup_spans": op2_dedup_spans,
     "op3_dedup_lines": op3_dedup_lines,
     "op6_media": op6_media,
+    "op7_language": op7_language,
     "op8_token_store": op8_token_store,
     "op9_decontaminate": op9_decontaminate,
 }
