@@ -7,6 +7,7 @@ from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
 from strandline.llm.dedup_spans import op2_dedup_spans
 from strandline.llm.language import op7_language
 from strandline.llm.media import op6_media
+from strandline.llm.pieces import op4_pieces
 from strandline.llm.quality import op5_quality
 from strandline.llm.simhash import op1_simhash
 from strandline.llm.token_store import op8_token_store
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_dedup_spans": op2_dedup_spans,
     "op3_dedup_lines": op3_dedup_lines,
+    "op4_pieces": op4_pieces,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
     "op7_language": op7_language,
