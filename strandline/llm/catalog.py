@@ -11,6 +11,7 @@ from strandline.llm.pieces import op4_pieces
 from strandline.llm.quality import op5_quality
 from strandline.llm.simhash import op1_simhash
 from strandline.llm.token_store import op8_token_store
+from strandline.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -21,8 +22,10 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_language": op7_language,
     "op8_token_store": op8_token_store,
+    "op10_warc": op10_warc,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op3_dedup_lines": OP3_SQL,
+    "op10_warc": OP10_SQL,
 }

@@ -219,14 +219,20 @@ def near_duplicates(docs: DataFrame, doc_key: str = "doc_id", text: str = "text"
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of its group, or null; columns as they are.
+    """One row of `docs` for each near-duplicate group, that of its least doc_id; columns as they are.
 
-    Of rows that repeat a doc_id all stay or go together with that id's least component.
+    A doc_id that several rows repeat counts as one document; the row with the least text stays. Rows with
+    a null doc_id can't be told apart, so all of them stay.
     """
-    groups = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    keep = stored(groups.where("doc_id = component_id").select("doc_id"), "kept-ids")
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    keep = stored(groups.where("doc_id = component_id").select("doc_id", "n"), "kept-ids")
+    out = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    out = out.unionByName(docs.where(F.col("doc_id").isNull()))
+    repeated = keep.where("n > 1")
+    if not repeated.isEmpty():
+        rows = docs.join(repeated, "doc_id", "left_semi")
+        out = out.unionByName(rows.groupBy("doc_id").agg(F.min(F.struct("text", *docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
