@@ -8,13 +8,13 @@ its hash is that of its words, lower-cased (white space plays no part). All span
 the whole table: the occurrence that comes first (by document, then position) stays, and every sentence
 that any other occurrence covers is removed.
 
-Hashes have 128 bits, so no span is removed for a chance collision. Occurrences are matched with the first of their hash only, an aggregate
+Hashes have 96 bits, so no span is removed for a chance collision. Occurrences are matched with the first of their hash only, an aggregate
 that combines on the map side; the join is between written tables, so a span that a third of all documents
 share is split by adaptive execution. No group is collected.
 
 Defined edge results: null texts stay null; empty texts and texts with a single sentence have no span;
-rows that repeat a doc_id with the same text count as one document, with other texts as separate ones; a
-null doc_id comes first in order; other columns pass through.
+rows that repeat a doc_id keep what they share with one another, as none of them comes first; a null
+doc_id comes first in order; other columns pass through.
 """
 
 from __future__ import annotations
@@ -96,49 +96,49 @@ def spans(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, in
     return found
 
 
-SPAN_SCHEMA = "key struct<id: bigint, text_hash: bigint>, i int, j int, start int, end int, h1 bigint, h2 bigint"
+SPAN_SCHEMA = "key struct<id: bigint, text_hash: bigint>, i int, j int, start int, end int, again boolean, h1 bigint, h2 int"
+#: Stands for a null document id, which comes first in order.
+NO_ID = -(1 << 63)
 
 
 def _spans(min_words: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts, rows = [], []
+            counts, rows, again = [], [], []
             for text in batch["text"]:
                 found = spans(text, min_words)
+                seen: set[bytes] = set()
+                for *_, digest in found:
+                    again.append(digest in seen)
+                    seen.add(digest)
                 rows += found
                 counts.append(len(found))
             if not rows:
                 continue
             i, j, start, end, digest = zip(*rows)
             numbers = {"i": i, "j": j, "start": start, "end": end}
-            hashes = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            hashes = np.frombuffer(b"".join(digest), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
             out = pd.DataFrame({k: np.array(v, np.int32) for k, v in numbers.items()})
             out.insert(0, "key", batch["key"].repeat(counts).to_numpy())
-            yield out.assign(h1=hashes[:, 0], h2=hashes[:, 1])
+            yield out.assign(again=np.array(again), h1=hashes["h1"], h2=hashes["h2"])
 
     return cut
 
 
 def repeated_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, i, j, start, end, first_id, first_start, first_end): one row for each later occurrence.
+    """(key, i, j, start, end, first_id): one row for each later occurrence.
 
-    `i` and `j` are the first and last sentence, `start` and `end` positions in words.
+    `i` and `j` are the first and last sentence, `start` and `end` positions in words; `first_id` is the document
+    of the first occurrence.
     """
-    key = F.struct(F.col(doc_key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
+    key = F.struct(F.coalesce(F.col(doc_key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
     rows = docs.where(F.length(text) > 0).select(key.alias("key"), F.col(text).alias("text"))
     found = rows.mapInPandas(_spans(min_words), SPAN_SCHEMA)
-    found = found.select("key.id", "key.text_hash", "i", "j", "start", "end", "h1", "h2")
-    found = stored(found, "spans")
-    place = F.struct("id", "text_hash", "i")
-    firsts = found.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "text_hash", "i", "start", "end")).alias("first"), F.count("*").alias("n")
-    )
-    firsts = stored(firsts.where("n > 1").select("h1", "h2", "first"), "first-spans")
-    later = found.join(firsts, ["h1", "h2"]).where(place > F.struct("first.id", "first.text_hash", "first.i"))
-    return later.select(
-        F.struct("id", "text_hash").alias("key"), "i", "j", "start", "end",
-        F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"),
-    )
+    found = stored(found.select("key.id", "key.text_hash", "i", "j", "start", "end", "again", "h1", "h2"), "spans")
+    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("n > 1").drop("n"), "first-spans")
+    later = found.join(firsts, ["h1", "h2"]).where(F.col("again") | (F.col("id") > F.col("first_id")))
+    return later.select(F.struct("id", "text_hash").alias("key"), "i", "j", "start", "end", "first_id")
 
 
 def removed_runs(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -172,7 +172,7 @@ def dedup_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", mi
     """Every row of `docs`, its text without the sentences of later spans; adds `n_removed_words`."""
     runs = removed_runs(docs, doc_key, text, min_words)
     runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__runs"))
-    runs = stored(runs.select(F.col("key.id").alias("__id"), F.col("key.text_hash").alias("__hash"), "__runs"), "runs")
+    runs = stored(runs.select(F.nullif(F.col("key.id"), F.lit(NO_ID)).alias("__id"), F.col("key.text_hash").alias("__hash"), "__runs"), "runs")
     same = docs[doc_key].eqNullSafe(runs["__id"]) & (F.xxhash64(docs[text]) == runs["__hash"])
     out = docs.join(runs, same, "left").drop("__id", "__hash")
 
@@ -191,5 +191,5 @@ def op2_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every removed run of sentences, with the documents that hold its spans' first occurrences."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return removed_runs(docs).select(
-        F.col("key.id").alias("doc_id"), "start", "end", "first_sentence", "last_sentence", "first_ids"
+        F.nullif(F.col("key.id"), F.lit(NO_ID)).alias("doc_id"), "start", "end", "first_sentence", "last_sentence", "first_ids"
     )
