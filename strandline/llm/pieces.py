@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -69,10 +70,13 @@ class Pieces:
         for name, i in usual.items():
             self.automaton.add_word(name, i)
         self.automaton.make_automaton()
+        self.pairs = {n[k : k + 2] for n in usual for k in range(len(n) - 1)}
+        self.stretches, self.old_stretches = {}, {}
         self.inner, self.old_inner, self.first, self.old_first = {}, {}, {}, {}
-        self.borders: dict[int, bool] = {}
+        self.after: list[dict[int, bool]] = [{} for _ in names]  # what may follow a piece
+        self.known_borders = 0
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.alone: dict[int, bool] = {}
+        self.alone = bytearray([2]) * size  # 2: not known yet
         self.lowest_merge = -1e8  # pieces below it share one score; ties among them are left to the merges
         self.line_feed = self.whole("\n")
 
@@ -109,17 +113,19 @@ class Pieces:
         The pieces at the boundary are taken apart, the one made last first; a pair that
         could be merged before either was made would have crossed the boundary.
         """
-        key = left << 20 | right
-        found = self.borders.get(key)
+        found = self.after[left].get(right)
         if found is None:
-            if len(self.borders) >= 2 * CACHE_WORDS:
-                self.borders.clear()
+            self.known_borders += 1
+            if self.known_borders > 2 * CACHE_WORDS:
+                self.known_borders = 0
+                for one in self.after:
+                    one.clear()
             if self.scores[left] < self.lowest_merge or self.scores[right] < self.lowest_merge:
                 a, b = self.name_of[left], self.name_of[right]
                 found = self.merged(a + b) == [a, b]
             else:
                 found = self._apart(left, right)
-            self.borders[key] = found
+            self.after[left][right] = found
         return found
 
     def _apart(self, left: int, right: int) -> bool:
@@ -151,10 +157,9 @@ class Pieces:
 
     def merged_alone(self, i: int) -> bool:
         """Whether the merges of a piece's own letters give the piece."""
-        found = self.alone.get(i)
-        if found is None:
-            found = self.alone[i] = self.merged(self.name_of[i]) == [self.name_of[i]]
-        return found
+        if self.alone[i] == 2:
+            self.alone[i] = self.merged(self.name_of[i]) == [self.name_of[i]]
+        return self.alone[i] == 1
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text of known letters: one pass over the automaton's outputs."""
@@ -167,18 +172,17 @@ class Pieces:
                 if score > best[end + 1]:
                     best[end + 1], last[end + 1] = score, i
         else:
-            last = [-1] * (n + 1)
-            borders = self.borders
+            last, alone, after = [-1] * (n + 1), self.alone, self.after
             for end, i in self.automaton.iter(text):
                 end += 1
                 if last[end] >= 0:
                     continue
                 start = end - lengths[i]
                 if start == 0:
-                    if self.merged_alone(i):
+                    if alone[i] == 2 and self.merged_alone(i) or alone[i] == 1:
                         last[end] = i
                 elif (before := last[start]) >= 0:
-                    stays = borders.get(before << 20 | i)
+                    stays = after[before].get(i)
                     if self.stays(before, i) if stays is None else stays:
                         last[end] = i
         ids, at = [], n
@@ -187,27 +191,40 @@ class Pieces:
             at -= lengths[last[at]]
         return ids[::-1]
 
+    def _stretch(self, text: str) -> list[int]:
+        """Ids of a stretch of known letters, through a bounded cache."""
+        found = self.stretches.get(text) or self.old_stretches.get(text)
+        if found is None:
+            found = self._known(text)
+            if len(self.stretches) >= CACHE_WORDS:
+                self.stretches, self.old_stretches = {}, self.stretches
+            if len(text) <= 64:
+                self.stretches[text] = found
+        return found
+
     def whole(self, unit: str) -> bytes:
-        """Ids (int32) of a unit: known stretches by the automaton, other characters by bytes."""
+        """Ids (int32) of a unit.
+
+        It is cut between letters that no piece holds side by side, as no piece or merge reaches over such a place; the
+        stretches go through the automaton, characters that no piece holds become bytes.
+        """
         ids: list[int] = []
-        known: list[str] = []
-        letters = self.letters
-        if letters.issuperset(unit):
-            ids = self._known(unit)
-        else:
-            for c in unit:
-                if c in letters:
-                    known.append(c)
-                    continue
-                if known:
-                    ids += self._known("".join(known))
-                    known = []
+        letters, pairs = self.letters, self.pairs
+        begin = 0
+        for k, c in enumerate(unit):
+            if c not in letters:
+                if begin < k:
+                    ids += self._stretch(unit[begin:k])
+                begin = k + 1
                 if self.has_bytes:
                     ids += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
                 elif not ids or ids[-1] != self.unknown:
                     ids.append(self.unknown)
-            if known:
-                ids += self._known("".join(known))
+            elif begin < k and unit[k - 1 : k + 1] not in pairs:
+                ids += self._stretch(unit[begin:k])
+                begin = k
+        if begin < len(unit):
+            ids += self._stretch(unit[begin:])
         return array("i", ids).tobytes()
 
     def _inner(self, word: str) -> bytes:
@@ -289,11 +306,26 @@ def decode_ids(rows: DataFrame, model_path: str, kind: str = "bpe", ids: str = "
     return rows.withColumn(out, decoded(ids))
 
 
-def encoded_documents(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
-    """(doc_id, ids, n_ids, round_trip): ids, and whether decoding them gives the text again."""
-    rows = decode_ids(encode_texts(docs.select("doc_id", "text"), model_path, kind), model_path, kind)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+def encoded_documents(docs: DataFrame, model_path: str, kind: str = "bpe", slice_docs: int = 250) -> DataFrame:
+    """(doc_id, ids, n_ids, round_trip): ids, and whether decoding them gives the text again.
+
+    One pass; results leave a task in slices of `slice_docs` documents, so that no batch of long id arrays builds up.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = _pieces(model_path, kind)
+        for batch in batches:
+            for at in range(0, len(batch), slice_docs):
+                part = batch.iloc[at : at + slice_docs]
+                ids = [pieces.encode(t) for t in part["text"]]
+                same = [pieces.decode(x) == t for x, t in zip(ids, part["text"])]
+                yield pd.DataFrame({"key": part["key"], "ids": pd.Series(ids, dtype=object, index=part.index), "n_ids": [len(x) for x in ids], "round_trip": same})
+
+    # A struct keeps null ids out of float columns.
+    rows = docs.select(F.struct(F.col("doc_id")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    kind_of = dict(docs.dtypes)["doc_id"]
+    found = rows.mapInPandas(work, f"key struct<doc_id:{kind_of}>, ids array<int>, n_ids bigint, round_trip boolean")
+    return found.select("key.doc_id", "ids", "n_ids", "round_trip")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
