@@ -12,7 +12,7 @@ document of n words costs a few passes over arrays of n longs, and no window tex
 Defined edge results: null or empty texts and texts without words have no windows and no hits; null
 benchmark texts are ignored; rows that repeat a doc_id are each checked on their own text; null doc_ids
 are kept; other columns pass through untouched, also when their names clash with internal ones (internal
-columns carry a prefix of underscores).
+columns and the caller's never share a row's top level); a column named like an added one is replaced.
 """
 
 from __future__ import annotations
@@ -136,19 +136,18 @@ def decontaminate(
     `spans` (array of [start, end) word positions hit, merged), `contaminated`.
     """
     hits = find_windows(docs, benchmark_windows(benchmark, width), doc_key, text_col, broadcast_rows)
-    out = docs.withColumn("__w", words(F.col(text_col)))
+    # The caller's columns travel in one struct, so their names can't clash with those used here.
+    out = docs.select(F.struct(*docs.columns).alias("row")).withColumn("w", words(F.col("row")[text_col]))
     if hits is None:
-        out = out.withColumn("__hits", F.array().cast("array<struct<at:int,width:int,window_words:array<string>,item_ids:array<bigint>>>"))
+        out = out.withColumn("hits", F.array().cast("array<struct<at:int,width:int,window_words:array<string>,item_ids:array<bigint>>>"))
     else:
-        hits = stored(hits, "hits")
+        hits = stored(hits.withColumnsRenamed({"__key": "key", "__hits": "hits"}), "hits")
         few = hits.count() <= broadcast_docs
         hits = F.broadcast(hits) if few else hits
-        out = out.join(hits, out[doc_key].eqNullSafe(hits["__key"]), "left").drop("__key")
-    verified = F.filter(
-        F.coalesce("__hits", F.array()), lambda h: F.slice(F.col("__w"), h["at"] + 1, h["width"]) == h["window_words"]
-    )
-    out = out.withColumn("__hits", F.when(F.col("__hits").isNotNull(), verified))
-    ordered = F.array_sort(F.transform("__hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["width"]).alias("end"))))
+        out = out.join(hits, F.col("row")[doc_key].eqNullSafe(hits["key"]), "left").drop("key")
+    verified = F.filter("hits", lambda h: F.slice(F.col("w"), h["at"] + 1, h["width"]) == h["window_words"])
+    out = out.withColumn("hits", F.when(F.col("hits").isNotNull(), verified))
+    ordered = F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["width"]).alias("end"))))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(done: Column, x: Column) -> Column:
@@ -159,18 +158,24 @@ def decontaminate(
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
         )
 
-    spans = F.when(F.coalesce(F.size("__hits"), F.lit(0)) <= 0, empty).otherwise(F.aggregate(ordered, empty, merge))
+    spans = F.when(F.coalesce(F.size("hits"), F.lit(0)) <= 0, empty).otherwise(F.aggregate(ordered, empty, merge))
     out = out.withColumn("spans", spans)
-    out = out.withColumn("n_words", F.size("__w").cast("long"))
-    out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.transform(h["item_ids"], lambda i: i.cast("string"))))))
-    out = out.withColumn("items", F.coalesce(items, F.array().cast("array<string>")))
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__w", "__hits")
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["item_ids"], lambda i: i.cast("string"))))))
+    added = {
+        "n_words": F.size("w").cast("long"),
+        "n_hit": F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]),
+        "items": F.coalesce(items, F.array().cast("array<string>")),
+        "spans": F.col("spans"),
+        "contaminated": F.size("spans") > 0,
+    }
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
+    return out.select(*own, *[column.alias(name) for name, column in added.items()])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` without any verified benchmark window, with the columns of `docs`."""
-    return decontaminate(docs, benchmark, width).where(~F.col("contaminated")).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    return decontaminate(packed, benchmark, width).where(~F.col("contaminated")).select(*[F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

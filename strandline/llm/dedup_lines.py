@@ -104,16 +104,21 @@ def dedup_lines(
     """Every row of `docs`, its text without later repeats; adds `n_lines` (lines that take part) and `n_deleted`."""
     gone = stored(repeated_lines(docs, doc_key, text_col, min_run), "lines-gone")
     few = gone.count() <= broadcast_docs
-    gone = gone.select(F.col("key.id").alias("__id"), F.col("key.text_hash").alias("__hash"), F.col("gone").alias("__gone"))
     gone = F.broadcast(gone) if few else gone
-    same = docs[doc_key].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
-    out = docs.join(gone, same, "left").drop("__id", "__hash")
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(F.filter(F.split(text_col, "\n"), lambda x: F.rtrim(x) != "")), F.lit(0))
-    out = out.withColumn("n_lines", F.greatest(n_lines, F.lit(0)).cast("long"))
-    out = out.withColumn("n_deleted", F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, text).drop("__gone")
+    # The caller's columns travel in one struct, so their names can't clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col("row")[text_col]
+    same = F.col("row")[doc_key].eqNullSafe(F.col("key.id")) & (F.xxhash64(text) == F.col("key.text_hash"))
+    out = rows.join(gone, same, "left")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i))
+    n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.rtrim(x) != "")), F.lit(0))
+    added = {
+        text_col: F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.greatest(n_lines, F.lit(0)).cast("long"),
+        "n_deleted": F.coalesce(F.greatest(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"),
+    }
+    own = [added.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return out.select(*own, *[column.alias(name) for name, column in added.items() if name not in docs.columns])
 
 
 def op3_dedup_lines(spark, sf_dir: str) -> DataFrame:

@@ -172,9 +172,11 @@ def dedup_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", mi
     """Every row of `docs`, its text without the sentences of later spans; adds `n_removed_words`."""
     runs = removed_runs(docs, doc_key, text, min_words)
     runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__runs"))
-    runs = stored(runs.select(F.nullif(F.col("key.id"), F.lit(NO_ID)).alias("__id"), F.col("key.text_hash").alias("__hash"), "__runs"), "runs")
-    same = docs[doc_key].eqNullSafe(runs["__id"]) & (F.xxhash64(docs[text]) == runs["__hash"])
-    out = docs.join(runs, same, "left").drop("__id", "__hash")
+    runs = stored(runs.withColumnRenamed("__runs", "runs"), "runs")
+    # The caller's columns travel in one struct, so their names can't clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    own_id = F.coalesce(F.col("row")[doc_key].cast("long"), F.lit(NO_ID))
+    out = rows.join(runs, (own_id == F.col("key.id")) & (F.xxhash64(F.col("row")[text]) == F.col("key.text_hash")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs_of: pd.Series) -> pd.Series:
@@ -182,9 +184,10 @@ def dedup_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", mi
             t if r is None else without_words(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts, runs_of)
         ])
 
-    gone = F.aggregate("__runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    out = out.withColumn("n_removed_words", F.coalesce(gone, F.lit(0).cast("long")))
-    return out.withColumn(text, cut(text, "__runs")).drop("__runs")
+    gone = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    added = {text: cut(F.col("row")[text], F.col("runs")), "n_removed_words": F.coalesce(gone, F.lit(0).cast("long"))}
+    own = [added.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return out.select(*own, *[column.alias(name) for name, column in added.items() if name not in docs.columns])
 
 
 def op2_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

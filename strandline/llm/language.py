@@ -164,7 +164,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     marked = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("__found", marked(text)).select(*docs.columns, "__found.lang_pred", "__found.score")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), marked(text).alias("found"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return rows.select(*own, "found.lang_pred", "found.score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     repeated = keep.where("n > 1")
     if not repeated.isEmpty():
         rows = docs.join(repeated, "doc_id", "left_semi")
-        out = out.unionByName(rows.groupBy("doc_id").agg(F.min(F.struct("text", *docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+        out = out.unionByName(rows.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("__least"), *docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns]))
     return out
 
 
