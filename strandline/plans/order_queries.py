@@ -291,6 +291,29 @@ _AFFINITY = f"""{PAIRS}, {_KNN.format(where="true", k=10)}, one AS (SELECT src,
 _MARKS = "marks AS (SELECT cell_id, row_number() OVER (ORDER BY md5('2:' || cell_id), cell_id) - 1 AS nth FROM vec QUALIFY nth < {k})"
 _DIST5 = f"""{PAIRS}, {_MARKS.format(k=5)}, lm AS MATERIALIZED (SELECT i AS cell_id, nth AS slot, d AS dist FROM pairs JOIN marks ON j = marks.cell_id)"""
 
+
+
+def _sts_rounds_sql(rounds: int) -> str:
+    """Side-to-side rounds, unrolled; each one ranks by falling s, ties by the rank before."""
+    parts = [_RANKED_PAIRS, "r0 AS MATERIALIZED (SELECT DISTINCT pi AS id, cell_id, pi AS r FROM d)"]
+    for k in range(rounds):
+        parts.append(f"""s{k} AS MATERIALIZED (SELECT d.pi AS id, sum(d.d * (o.r - (n + 1) / 2)) AS s FROM d JOIN r{k} o ON o.id = d.pj, n GROUP BY 1)""")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT id, cell_id, row_number() OVER (ORDER BY s DESC, r) AS r FROM r{k} JOIN s{k} USING (id))")
+    return f"WITH {', '.join(parts)} SELECT cell_id, r AS rank FROM r{rounds}"
+
+
+def _relaxed_sql(rounds: int) -> str:
+    """Shortest distances from landmarks by unrolled relaxation over the neighbour graph."""
+    parts = [PAIRS, _KNN.format(where="i <> j", k=10), _MARKS.format(k=5)]
+    parts.append("""e AS MATERIALIZED (SELECT src, dst, max(dist) AS w FROM (SELECT src, dst, dist FROM nn UNION ALL SELECT dst, src, dist FROM nn) GROUP BY 1, 2)""")
+    parts.append("t0 AS MATERIALIZED (SELECT '0' AS cell_id, 0 AS slot, 0.0::DOUBLE AS d UNION ALL SELECT cell_id, nth + 1, 0.0 FROM marks)")
+    for k in range(rounds):
+        parts.append(f"""t{k + 1} AS MATERIALIZED (SELECT cell_id, slot, min(d) AS d FROM (SELECT * FROM t{k}
+          UNION ALL SELECT e.dst, t.slot, t.d + e.w FROM t{k} t JOIN e ON e.src = t.cell_id) GROUP BY 1, 2)""")
+    return f"""WITH {', '.join(parts)}, top AS (SELECT slot, max(max(d)) OVER (ORDER BY slot) AS m FROM t{rounds} GROUP BY 1)
+      SELECT v.cell_id, CAST(top.slot AS BIGINT) AS slot, round(coalesce(t.d, top.m), 5) AS d FROM vec v CROSS JOIN top LEFT JOIN t{rounds} t ON t.cell_id = v.cell_id AND t.slot = top.slot"""
+
+
 BY_NAME = {
     "distance_euclidean": (distance_euclidean, f"WITH {PAIRS} SELECT i, j, round(d, 5) AS d FROM pairs WHERE pi < pj"),
     "distance_correlation": (distance_correlation, f"""WITH {VEC}, c AS (SELECT cell_id, pos, list_transform(f, lambda x: x - list_avg(f)) AS f FROM vec)
@@ -320,7 +343,7 @@ BY_NAME = {
     "knn_block_recall": (knn_block_recall, None),
     "sts_round": (sts_round, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
   SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),
-    "sts_sort": (sts_sort, None),
+    "sts_sort": (sts_sort, _sts_rounds_sql(4)),
     "neighborhood_sort": (neighborhood_sort, None),
     "spin": (spin, None),
     "best_of_restarts": (best_of_restarts, None),
@@ -350,7 +373,7 @@ BY_NAME = {
   med AS (SELECT nth, list(m ORDER BY k) AS f FROM (SELECT nth, k, median(x) AS m FROM flat GROUP BY 1, 2) GROUP BY 1)
   SELECT nth, cell_id FROM med JOIN vec ON true QUALIFY row_number() OVER (PARTITION BY nth ORDER BY
     sqrt(abs(list_dot_product(med.f, med.f) - 2 * list_dot_product(med.f, vec.f) + list_dot_product(vec.f, vec.f))), pos) = 1"""),
-    "landmark_distances": (landmark_distances, None),
+    "landmark_distances": (landmark_distances, _relaxed_sql(24)),
     "landmark_weights": (landmark_weights, f"""WITH {_DIST5}, sd AS (SELECT 3 * avg(s) AS sdv FROM (SELECT cell_id, stddev_pop(dist) AS s FROM lm GROUP BY 1)),
   raw AS (SELECT cell_id, slot, exp(-0.5 * pow(dist / sdv, 2)) AS w FROM lm, sd) SELECT cell_id, slot, round(w / sum(w) OVER (PARTITION BY cell_id), 5) AS weight FROM raw"""),
     "realign_once": (realign_once, f"""WITH {_DIST5}, t AS (SELECT cell_id, dist AS t FROM lm WHERE slot = 0), ref AS (SELECT nth AS slot, t AS p, t > (SELECT min(t) FROM t) AS moves FROM marks JOIN t USING (cell_id)),
