@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.runtime import stored
+
 
 def exact_quantile(df: DataFrame, column: str, p: float, weight: str | None = None) -> float | None:
     """The p-quantile with linear interpolation between neighbours; rows may carry an integer weight.
@@ -19,6 +21,7 @@ def exact_quantile(df: DataFrame, column: str, p: float, weight: str | None = No
     """
     w = F.col(weight) if weight else F.lit(1)
     some = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), w.cast("long").alias("w")).where("w > 0")
+    some = stored(some, "quantile")
     steps = [max(0.0, p - 0.001), min(1.0, p + 0.001)]
     got = some.agg(F.sum("w").alias("n"), F.percentile_approx("x", steps, 100_000).alias("q")).first()
     if not got["n"]:
