@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strandline.operators.matrix import global_rank
 
 
 def _expr(lines: DataFrame, gene: str) -> DataFrame:
@@ -28,8 +29,7 @@ def sparse_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec(cell_id, pos, features) of the embeddings; pos counts from 1 in order of vec_id."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    pos = F.row_number().over(Window.orderBy("vec_id")).cast("long")
-    ids = rows.select("vec_id").distinct().select("vec_id", pos.alias("pos"))
+    ids = global_rank(rows.select("vec_id").distinct(), ["vec_id"], "pos")
     features = F.col("embedding").cast("array<double>").alias("features")
     return rows.join(ids, "vec_id").select(F.col("vec_id").cast("string").alias("cell_id"), "pos", features)
 
@@ -50,20 +50,20 @@ def vector_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ordering(cell_id, rank): suppliers by account balance."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
-    rank = F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")).cast("long")
-    return rows.select(F.col("s_suppkey").cast("string").alias("cell_id"), rank.alias("rank"))
+    ranked = global_rank(rows, ["s_acctbal", "s_suppkey"])
+    return ranked.select(F.col("s_suppkey").cast("string").alias("cell_id"), "rank")
 
 
 def vector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ordering(cell_id, rank): embeddings by their first dimension."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding")[0].alias("e"))
-    rank = F.row_number().over(Window.orderBy("e", "vec_id")).cast("long")
-    return rows.select(F.col("vec_id").cast("string").alias("cell_id"), rank.alias("rank"))
+    ranked = global_rank(rows, ["e", "vec_id"])
+    return ranked.select(F.col("vec_id").cast("string").alias("cell_id"), "rank")
 
 
 def mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ordering(cell_id, rank): embeddings by the sum of their first sixteen dimensions."""
     total = F.aggregate(F.slice(F.col("embedding").cast("array<double>"), 1, 16), F.lit(0.0), lambda s, x: s + x)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", total.alias("e"))
-    rank = F.row_number().over(Window.orderBy("e", "vec_id")).cast("long")
-    return rows.select(F.col("vec_id").cast("string").alias("cell_id"), rank.alias("rank"))
+    ranked = global_rank(rows, ["e", "vec_id"])
+    return ranked.select(F.col("vec_id").cast("string").alias("cell_id"), "rank")
