@@ -104,6 +104,45 @@ def weighted_sums(vec: DataFrame, weight: str, method="Euclidean", block: int =
     return block_pairs(vec, partial, "cell_id string, s double", block, [weight], method).groupBy("cell_id").agg(F.sum("s").alias("s"))
 
 
+def centroids_of(vec: DataFrame, count: int, seed: int = 1) -> np.ndarray:
+    """(count, features) centres of a k-means on the vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    model = KMeans(k=count, seed=seed, maxIter=10).fit(vec.select(array_to_vector("features").alias("features")))
+    return np.array(model.clusterCenters())
+
+
+def with_nearest_centroids(vec: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """vec with `lists`: the numbers of its nearest centres (a fixed number of centres, broadcast), nearest first."""
+    shared = vec.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def nearest(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        d = block_distance(np.stack(features.to_numpy()), shared.value)
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)), dtype=object)
+
+    return vec.withColumn("lists", nearest("features"))
+
+
+def weighted_sums_by_centroids(vec: DataFrame, weight: str, centres: np.ndarray) -> DataFrame:
+    """(cell_id, s): `weighted_sums` with each cell j replaced by its nearest centre; linear in the number of cells."""
+    listed = with_nearest_centroids(vec, centres).withColumn("list", F.col("lists")[0])
+    sums = {r["list"]: r["x"] for r in listed.groupBy("list").agg(F.sum(weight).alias("x")).collect()}
+    shared = vec.sparkSession.sparkContext.broadcast((centres, np.array([sums.get(i, 0.0) for i in range(len(centres))])))
+
+    @F.pandas_udf("double")
+    def total(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype="float64")
+        points, x = shared.value
+        return pd.Series(block_distance(np.stack(features.to_numpy()), points) @ x)
+
+    return vec.select("cell_id", total("features").alias("s"))
+
+
 def sts_cost(vec: DataFrame, method="Euclidean", block: int = BLOCK) -> DataFrame:
     """(cost): sum of d(i, j) x_i x_j with x = pos - (n + 1) / 2; pairs are never kept."""
     n = vec.agg(F.max("pos")).first()[0] or 0

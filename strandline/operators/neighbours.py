@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.runtime import stored
 from strandline.functions.stats import seeded
-from strandline.operators.distance import BLOCK, _is_diagonal, block_distance, block_pairs
+from strandline.operators.distance import BLOCK, _is_diagonal, block_distance, block_pairs, centroids_of, with_nearest_centroids
 
 QUERY_LIMIT = 10_000
 
@@ -76,6 +77,46 @@ def knn_of_queries(vec: DataFrame, queries: DataFrame, k: int, metric="Euclidean
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "cell_id", "dist", "nth")
 
 
+def knn_by_lists(vec: DataFrame, k: int, lists: int, probes: int, chunk: int = 2048, seed: int = 1) -> DataFrame:
+    """edges(src, dst, dist, nth): the k nearest others among the cells of the `probes` nearest of `lists` centroid lists.
+
+    Approximate: compare with `knn` by `recall`. A long list is dealt to chunks, and every chunk of its members meets every
+    chunk of its queries, so no list is held by one task, however many cells it has.
+    """
+    listed = stored(with_nearest_centroids(vec, centroids_of(vec, lists, seed), probes), "lists")
+    members = listed.select(F.col("lists")[0].alias("list"), "cell_id", "pos", "features")
+    queries = listed.select(F.explode("lists").alias("list"), "cell_id", "pos", "features")
+
+    def chunked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        counts = rows.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias(f"{name}s"))
+        place = F.pmod(F.xxhash64("cell_id"), F.col(f"{name}s")).cast("int")
+        return rows.join(F.broadcast(counts), "list").withColumn(name, place), counts  # one row for each list
+
+    members, member_chunks = chunked(members, "m")
+    queries, query_chunks = chunked(queries, "q")
+    members = members.join(F.broadcast(query_chunks), "list").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    queries = queries.join(F.broadcast(member_chunks), "list")
+    queries = queries.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
+    columns = ["list", "m", "q", "cell_id", "pos", "features"]
+    both = members.select(*columns, F.lit(False).alias("asks")).union(queries.select(*columns, F.lit(True)))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "dist": [], "at": []})
+        pa, pb = a["pos"].to_numpy(), b["pos"].to_numpy()
+        d = block_distance(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()))
+        d = np.where(pa[:, None] == pb[None, :], np.inf, d)
+        i, j = block_topk(d, k)
+        keep = np.isfinite(d[i, j])
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"src": a["cell_id"].to_numpy()[i], "dst": b["cell_id"].to_numpy()[j], "dist": d[i, j], "at": pb[j]})
+
+    found = both.groupBy("list", "m", "q").applyInPandas(nearest, "src string, dst string, dist double, at bigint")
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dist", "at"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select("src", "dst", "dist", "nth")
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """(recall): the share of the exact edges that the approximate ones hold."""
     hit = exact.select("src", "dst").join(approximate.select("src", "dst").distinct().withColumn("hit", F.lit(1)), ["src", "dst"], "left")

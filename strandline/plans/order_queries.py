@@ -88,6 +88,18 @@ def knn_block_recall(spark, sf_dir):
     return neighbours.recall(neighbours.knn(vec, 10, block=128), neighbours.knn(vec, 10))
 
 
+def knn_list_recall(spark, sf_dir):
+    """Recall of the search by centroid lists against the exact one."""
+    vec = vectors(spark, sf_dir)
+    return neighbours.recall(neighbours.knn_by_lists(vec, 10, 16, 12), neighbours.knn(vec, 10))
+
+
+def sts_sort_centroids(spark, sf_dir):
+    """The distributed sort with sums over 64 centroids."""
+    vec = _ordered(spark, sf_dir)
+    return sorting.sts_sort_distributed(vec, max_iter=4, centres=distance.centroids_of(vec, 64))
+
+
 def sts_round(spark, sf_dir):
     found = sorting.sts_round(_ordered(spark, sf_dir), block=256)
     return rounded(found.select("cell_id", "pos", F.col("next").alias("next_rank"), "s"), 4)
@@ -341,6 +353,8 @@ BY_NAME = {
     "affinity": (affinity, f"WITH {_AFFINITY} SELECT src, dst, round(w, 5) AS w FROM aff"),
     "weighted_degree": (weighted_degree, f"WITH {_AFFINITY} SELECT src AS cell_id, round(sum(w), 5) AS degree, round(1 / sum(w), 5) AS inverse FROM aff GROUP BY 1"),
     "knn_block_recall": (knn_block_recall, None),
+    "knn_list_recall": (knn_list_recall, None),
+    "sts_sort_centroids": (sts_sort_centroids, None),
     "sts_round": (sts_round, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
   SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),
     "sts_sort": (sts_sort, _sts_rounds_sql(4)),

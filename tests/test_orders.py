@@ -95,6 +95,21 @@ def test_neighbours_with_duplicates(spark):
     assert w.where("src = '0000' AND dst = '0001'").count() == 0
 
 
+def test_list_search_recall(spark):
+    x = np.random.default_rng(12).normal(size=(300, 4))
+    vec = vec_of(spark, x)
+    exact = neighbours.knn(vec, 5)
+    assert neighbours.recall(neighbours.knn_by_lists(vec, 5, 8, 8, chunk=40), exact).first()[0] == 1.0
+    assert neighbours.recall(neighbours.knn_by_lists(vec, 5, 8, 4), exact).first()[0] > 0.9
+
+
+def test_centroid_sort_is_close_to_the_exact_one(spark):
+    t, x = planted(120, seed=2)
+    vec = vec_of(spark, x)
+    found = sorting.sts_sort_distributed(vec, 8, centres=distance.centroids_of(vec, 30))
+    assert spearman(found, t) > 0.9
+
+
 def test_affinity_adds_both_directions(spark):
     edges = spark.createDataFrame([("a", "b", 2.0), ("b", "a", 2.0), ("a", "c", 3.0)], "src string, dst string, dist double")
     got = {(r["src"], r["dst"]): r["w"] for r in neighbours.symmetrise_sum(edges).collect()}
