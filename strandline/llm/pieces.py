@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
 
@@ -191,14 +191,14 @@ class Pieces:
             at -= lengths[last[at]]
         return ids[::-1]
 
-    def _stretch(self, text: str) -> list[int]:
+    def _stretch(self, text: str) -> bytes:
         """Ids of a stretch of known letters, through a bounded cache."""
         found = self.stretches.get(text) or self.old_stretches.get(text)
         if found is None:
-            found = self._known(text)
-            if len(self.stretches) >= CACHE_WORDS:
-                self.stretches, self.old_stretches = {}, self.stretches
+            found = array("i", self._known(text)).tobytes()
             if len(text) <= 64:
+                if len(self.stretches) >= CACHE_WORDS // 2:
+                    self.stretches, self.old_stretches = {}, self.stretches
                 self.stretches[text] = found
         return found
 
@@ -208,24 +208,26 @@ class Pieces:
         It is cut between letters that no piece holds side by side, as no piece or merge reaches over such a place; the
         stretches go through the automaton, characters that no piece holds become bytes.
         """
-        ids: list[int] = []
+        parts: list[bytes] = []
         letters, pairs = self.letters, self.pairs
-        begin = 0
+        begin, unknown_before = 0, False
         for k, c in enumerate(unit):
             if c not in letters:
                 if begin < k:
-                    ids += self._stretch(unit[begin:k])
+                    parts.append(self._stretch(unit[begin:k]))
+                    unknown_before = False
                 begin = k + 1
                 if self.has_bytes:
-                    ids += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-                elif not ids or ids[-1] != self.unknown:
-                    ids.append(self.unknown)
+                    parts.append(array("i", [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]).tobytes())
+                elif not unknown_before:
+                    parts.append(array("i", [self.unknown]).tobytes())
+                unknown_before = True
             elif begin < k and unit[k - 1 : k + 1] not in pairs:
-                ids += self._stretch(unit[begin:k])
-                begin = k
+                parts.append(self._stretch(unit[begin:k]))
+                begin, unknown_before = k, False
         if begin < len(unit):
-            ids += self._stretch(unit[begin:])
-        return array("i", ids).tobytes()
+            parts.append(self._stretch(unit[begin:]))
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def _inner(self, word: str) -> bytes:
         found = self.old_inner.get(word)
