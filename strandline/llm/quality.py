@@ -36,7 +36,7 @@ FACTORS = 6
 SAMPLE_DOCS = 6000
 THRESHOLD = 0.7
 EPOCHS = 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Kinds of bytes whose shares are statistics: lower case, upper case, digits, blanks, line ends, stops, other signs, non-ASCII.
 KINDS = 8
 STATS = KINDS + 8
