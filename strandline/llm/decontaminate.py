@@ -27,7 +27,8 @@ WIDTH = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 2_000_000
-BROADCAST_DOCS = 200_000
+#: Hits (about a hundred bytes each) up to which they are broadcast to the documents.
+BROADCAST_HITS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -128,7 +129,7 @@ def decontaminate(
     doc_key: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_docs: int = BROADCAST_DOCS,
+    broadcast_hits: int = BROADCAST_HITS,
 ) -> DataFrame:
     """Every row of `docs` with its verified hits.
 
@@ -142,7 +143,7 @@ def decontaminate(
         out = out.withColumn("hits", F.array().cast("array<struct<at:int,width:int,window_words:array<string>,item_ids:array<bigint>>>"))
     else:
         hits = stored(hits.withColumnsRenamed({"__key": "key", "__hits": "hits"}), "hits")
-        few = hits.count() <= broadcast_docs
+        few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= broadcast_hits
         hits = F.broadcast(hits) if few else hits
         out = out.join(hits, F.col("row")[doc_key].eqNullSafe(hits["key"]), "left").drop("key")
     verified = F.filter("hits", lambda h: F.slice(F.col("w"), h["at"] + 1, h["width"]) == h["window_words"])

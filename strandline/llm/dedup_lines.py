@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from strandline.functions.runtime import stored
 
 MIN_RUN = 3
-BROADCAST_DOCS = 200_000
+#: Deleted lines up to which their numbers are broadcast to the documents.
+BROADCAST_LINES = 1_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -99,11 +100,11 @@ def dedup_lines(
     doc_key: str = "doc_id",
     text_col: str = "text",
     min_run: int = MIN_RUN,
-    broadcast_docs: int = BROADCAST_DOCS,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """Every row of `docs`, its text without later repeats; adds `n_lines` (lines that take part) and `n_deleted`."""
     gone = stored(repeated_lines(docs, doc_key, text_col, min_run), "lines-gone")
-    few = gone.count() <= broadcast_docs
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast_lines
     gone = F.broadcast(gone) if few else gone
     # The caller's columns travel in one struct, so their names can't clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
