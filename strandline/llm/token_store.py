@@ -12,8 +12,8 @@ bitmap says whether the id goes on at the next level; its place there is the num
 read from the rank directory (a u32 count before each block of 512 entries) and one popcount within the
 block. So any id is found in at most three steps, without decoding its neighbours.
 
-Documents are dealt to buckets by ranges of their key, a bucket is sorted, tokenised and cut into
-segments in one streaming pass (memory: one segment, or one document if that is longer), and starts are
+Documents are dealt to buckets by ranges of their key (Spark's range partitions), a bucket is sorted, tokenised
+and cut into segments in one streaming pass (memory: one segment, or one document if that is longer), and starts are
 added up from per-segment totals when the file is read.
 
 Defined edge results: null texts count as empty, an empty document holds just the end id; rows that repeat
@@ -41,7 +41,6 @@ from strandline.functions.runtime import scratch_path
 CHUNK_BITS = (8, 8, 16)
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
-BUCKETS = 256
 END_ID = 1
 #: Words in one generation of a worker's cache; the last full generation is kept beside the current one.
 CACHE_WORDS = 300_000
@@ -246,28 +245,15 @@ def _segments(path: str, segment_tokens: int):
 
 
 def write_tokens(
-    docs: DataFrame,
-    path: str,
-    tokenizer_path: str,
-    key: str = "doc_id",
-    text: str = "text",
-    buckets: int = BUCKETS,
-    segment_tokens: int = SEGMENT_TOKENS,
+    docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS
 ) -> str:
     """Tokenise `docs` and write the token file at `path`, in ascending key order; returns `path`.
 
-    Buckets are ranges of the key between approximate quantiles, found in one pass over the key column;
-    the order within and between buckets is exact.
+    Buckets are the range partitions of the key, as many as the session's shuffle partitions.
     """
-    cuts = docs.select(F.col(key).alias("k")).agg(
-        F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000).alias("q")
-    ).first()["q"]
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    bucket = F.when(F.col("key").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("key"))))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", bucket.cast("int")).repartition("bucket")
-    rows = rows.sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "text")
-    rows = rows.select("bucket", F.col("key").isNull().alias("no_key"), F.coalesce("key", F.lit(0)).alias("key"), "text")
+    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    rows = rows.select(F.spark_partition_id().alias("bucket"), F.col("key").isNull().alias("no_key"), F.coalesce("key", F.lit(0)).alias("key"), "text")
     segments = rows.mapInPandas(_segments(tokenizer_path, segment_tokens), SEGMENT_SCHEMA)
     segments.write.option("compression", "zstd").parquet(path)
     return path
@@ -290,8 +276,8 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the file.
 
-    Totals of segments are added up within their bucket by a window, totals of buckets (at most `buckets`
-    rows) in one small window.
+    Totals of segments are added up within their bucket by a window, totals of buckets (one
+    row for each partition) in one small window.
     """
     segments = spark.read.parquet(path)
     totals = segments.select("bucket", "segment", "n_tokens")

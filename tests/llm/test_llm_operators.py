@@ -186,8 +186,10 @@ def slow_lines(rows, least=3):
 def test_lines_against_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [r for r in TEXTS if r[0] != 2] + [(100 + k, "\n".join(rng.choice(list("abcd"), rng.integers(0, 14)))) for k in range(40)]
-    got = dedup_lines.dedup_lines(frame(spark, rows)).select("doc_id", "text", "n_lines", "n_deleted").collect()
-    assert counted(tuple(r) for r in got) == counted(slow_lines(rows))
+    for broadcast_lines in (10**6, 0):
+        got = dedup_lines.dedup_lines(frame(spark, rows), broadcast_lines=broadcast_lines)
+        got = got.select("doc_id", "text", "n_lines", "n_deleted").collect()
+        assert counted(tuple(r) for r in got) == counted(slow_lines(rows))
 
 
 def test_lines_of_repeated_rows_and_empty_tables(spark):
@@ -227,7 +229,7 @@ def test_decontamination_against_brute_force(spark, broadcast_rows):
     items = [(1, "A b, C d e f g h i j k l"), (2, "one"), (3, None), (4, "..."), (5, "two dogs slept"), (6, "b c d e f g h i j k"), (60, " ".join(LONG.split()[100:150]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark)
-    got = decontaminate.decontaminate(docs, bench, broadcast_rows=broadcast_rows, broadcast_docs=broadcast_rows)
+    got = decontaminate.decontaminate(docs, bench, broadcast_rows=broadcast_rows, broadcast_hits=broadcast_rows)
     rows = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()]
     assert counted(rows) == counted(slow_hits(TEXTS, items))
     assert set(docs.columns) <= set(got.columns)
@@ -404,7 +406,7 @@ def test_token_store_against_the_library(spark):
     library = Tokenizer.from_file(path)
     rows = TEXTS + [(20 + k, t) for k, t in enumerate(["ΑΣ İstanbul", "a\x1cb", "<|endoftext|> x", "é é", "NBSP\xa0here", "'S don't 3a4"])]
     target = token_store.scratch_path(spark, "test-tokens")
-    token_store.write_tokens(frame(spark, rows), target, path, buckets=4, segment_tokens=50_000)
+    token_store.write_tokens(frame(spark, rows), target, path, segment_tokens=50_000)
     got = [tuple(r) for r in token_store.read_documents(spark, target).collect()]
     want, at = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
