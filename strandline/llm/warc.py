@@ -216,13 +216,16 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every revisit of the captures of `pages`, resolved; record ids are halved to page ids again."""
+    """Query: every revisit of the captures of `pages`, resolved; record ids are halved to page ids again.
+
+    An unresolved revisit has -1 for the response's page and size.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = resolve_revisits(read_captures(page_captures(pages)))
     headers = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
     return found.select(
-        F.expr("record_id div 2").alias("page_id"), "url", F.col("at").alias("revisit_at"), "status", F.expr("response_id div 2").alias("response_page_id"),
-        "n_bytes", "payload_sha256", F.array_join(headers, "\n").alias("headers"),
+        F.expr("record_id div 2").alias("page_id"), "url", F.col("at").alias("revisit_at"), "status", F.expr("coalesce(response_id div 2, -1L)").alias("response_page_id"),
+        F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"), "payload_sha256", F.array_join(headers, "\n").alias("headers"),
     )
 
 
@@ -254,8 +257,8 @@ WITH plain AS (
     WHEN coalesce(replace(tag, 'W/', '') = old_tag, changed = response_at - 86400) THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM joined
 )
 SELECT page_id, url, ts AS revisit_at, status,
-  CASE WHEN status = 'resolved' THEN response_page_id END AS response_page_id,
-  CASE WHEN status = 'resolved' THEN n_bytes END AS n_bytes,
+  CASE WHEN status = 'resolved' THEN response_page_id ELSE -1 END AS response_page_id,
+  CASE WHEN status = 'resolved' THEN n_bytes ELSE -1 END AS n_bytes,
   CASE WHEN status = 'resolved' THEN payload_sha256 END AS payload_sha256,
   CASE WHEN status = 'resolved' THEN array_to_string(list_sort(list_filter([
     'cache-control: max-age=3600', 'content-length: ' || n_bytes, 'content-type: text/html; charset=utf-8',
