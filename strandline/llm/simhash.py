@@ -224,14 +224,17 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     A doc_id that several rows repeat counts as one document; the row with the least text stays. Rows with
     a null doc_id can't be told apart, so all of them stay.
     """
-    groups = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    keep = stored(groups.where("doc_id = component_id").select("doc_id", "n"), "kept-ids")
-    out = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
-    out = out.unionByName(docs.where(F.col("doc_id").isNull()))
-    repeated = keep.where("n > 1")
+    groups = near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    groups = groups.agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    # What goes is far less than what stays, so the texts meet the smaller set.
+    first = (F.col("doc_id") == F.col("component_id")).alias("first")
+    gone = stored(groups.where("doc_id <> component_id OR n > 1").select("doc_id", first), "ids-gone")
+    out = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = gone.where("first").select("doc_id")
     if not repeated.isEmpty():
-        rows = docs.join(repeated, "doc_id", "left_semi")
-        out = out.unionByName(rows.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("__least"), *docs.columns)).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+        rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+        rows = rows.agg(F.min(F.struct(F.col("text").alias("__least"), *docs.columns)).alias("r"))
+        out = out.unionByName(rows.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
     return out
 
 
