@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 CACHE_WORDS = 160_000
+SIGNS = ".,;:!?%&$#*|"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
 
@@ -208,8 +209,15 @@ class Pieces:
         It is cut between letters that no piece holds side by side, as no piece or merge reaches over such a place; the
         stretches go through the automaton, characters that no piece holds become bytes.
         """
-        parts: list[bytes] = []
         letters, pairs = self.letters, self.pairs
+        stem = unit.rstrip(SIGNS)
+        if stem and letters.issuperset(unit):  # the usual word, with or without signs at its end
+            k = len(stem)
+            if k == len(unit):
+                return self._stretch(unit)
+            if unit[k - 1 : k + 1] not in pairs:
+                return self._stretch(stem) + self._stretch(unit[k:])
+        parts: list[bytes] = []
         begin, unknown_before = 0, False
         for k, c in enumerate(unit):
             if c not in letters:
