@@ -43,11 +43,13 @@ RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 END_ID = 1
 #: Words in one generation of a worker's cache; the last full generation is kept beside the current one.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Fixed value: how the tokenizer file cuts words into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space that Python's str.split knows and the tokenizer does not, and the start of special tokens.
-ODD = regex.compile("[\x1c-\x1f]|<\\|")
+#: Signs at a word's end that the tokenizer's pattern takes as one piece of their own.
+SIGNS = ".,;:!?%&$#*|"
+#: White space that Python's str.split knows and the tokenizer does not.
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -154,7 +156,8 @@ class WordTokenizer:
         if found is None:
             found = self.old_pieces.get(piece)
             if found is None:
-                shown = "".join(map(self.byte_chars.__getitem__, piece.encode()))
+                plain = piece.isascii() and piece.isprintable()
+                shown = piece if plain else "".join(map(self.byte_chars.__getitem__, piece.encode()))
                 found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces, self.old_pieces = {}, self.pieces
@@ -164,9 +167,10 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         found = self.old_words.get(word)
         if found is None:
-            if word.isalpha() and word.isascii():
-                found = self._piece(word)
-            elif word.isascii() or max(word) <= "ÿ":
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha() and _is_latin_1(stem):
+                found = self._piece(stem) + self._piece(word[len(stem) :]) if len(stem) < len(word) else self._piece(word)
+            elif _is_latin_1(word):
                 found = b"".join(map(self._piece, PIECES.findall(word)))
             else:
                 found = self._library(word)
@@ -181,23 +185,25 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian u32."""
-        if not text.isascii():
-            if ODD.search(text):
-                return self._library(text)
-            text = unicodedata.normalize("NFC", text)
-            if max(text) > "ÿ":
-                # Lower-casing differs between libraries only outside Latin-1; such words stay for the library.
-                parts = [w.lower() if max(w) <= "ÿ" else w for w in text.split()]
-            else:
-                parts = text.lower().split()
-        elif ODD.search(text):
+        if "<|" in text or any(c in text for c in CONTROLS):
             return self._library(text)
-        else:
+        if text.isascii() or _is_latin_1(text := unicodedata.normalize("NFC", text)):
             parts = text.lower().split()
+        else:
+            # Lower-casing differs between libraries only outside Latin-1; such words stay for the library.
+            parts = [w.lower() if _is_latin_1(w) else w for w in text.split()]
         words, word = self.words, self._word
         return b"".join([words.get(w) or word(w) for w in parts])
 
 
+def _is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
