@@ -10,12 +10,18 @@ greater length. Lines of later repeats are deleted, first occurrences stay. As e
 lines holds a selected line, the result is exact: a line goes if and only if it lies in a run of
 `min_run` lines that occurred before.
 
+With `min_words` a run of fewer lines counts, too, if it has that many words (its lines together), down to
+a single line. Such a run has a line with its share of the words, so all lines with that share are selected
+besides the winnowed ones, and runs of every length around a selected line are hashed. The result is exact
+again: a line goes if and only if it lies in a run that occurred before and has `min_run` lines or
+`min_words` words. The query op3 keeps to runs of `min_run` lines, as its SQL does; the pipeline sets both.
+
 Occurrences are matched with the first one only (an aggregate with map-side combination), never with one
 another, so a line shared by a third of all documents costs a row for each occurrence. Both sides of each
 join are written tables, so adaptive execution can split a hot key.
 
-Defined edge results: null texts stay null and count no lines; an empty text has no lines; documents
-with fewer than `min_run` lines that take part are left as they are; rows that repeat a doc_id with the
+Defined edge results: null texts stay null and count no lines; an empty text has no lines; without
+`min_words`, documents with fewer than `min_run` lines that take part are left as they are; rows that repeat a doc_id with the
 same text count as one document (equal rows get equal results), with another text as separate documents;
 a null doc_id sorts first; other columns pass through, also when they clash with internal names.
 """
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from strandline.functions.runtime import stored
 
 MIN_RUN = 3
+#: Words from which on the pipeline lets a run of fewer lines count.
+MIN_WORDS = 20
 #: Deleted lines up to which their numbers are broadcast to the documents.
 BROADCAST_LINES = 1_000_000
 
@@ -44,47 +52,64 @@ def _keyed(docs: DataFrame, doc_key: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("key"), _lines(F.col(text_col)).alias("lines"))
 
 
-def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int) -> DataFrame:
-    """One row for each winnowed line: (key, i, hash, runs).
+def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int, min_words: int | None = None) -> DataFrame:
+    """One row for each selected line: (key, hash, runs).
 
-    `runs` holds the `min_run`-line runs that contain line i: (start, run_hash, first and last line number).
+    `runs` holds the runs that count and contain the line: (start, run_hash, line numbers).
     """
+    short = min_words is not None and min_run > 1
+    n_words = F.transform("lines", lambda x: F.regexp_count(x["line"], F.lit(r"\S+")))
     hashed = _keyed(docs, doc_key, text_col).select(
         "key",
         F.transform("lines", lambda x: x["at"]).alias("at"),
         F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("h"),
+        *([n_words.alias("n_words")] if short else []),
     )
-    hashed = hashed.where(F.size("h") >= min_run)
+    hashed = hashed.where(F.size("h") >= (1 if short else min_run))
     n_runs = F.size("h") - min_run + 1
-    starts = F.sequence(F.lit(0), n_runs - 1)
+    starts = F.when(n_runs > 0, F.sequence(F.lit(0), n_runs - 1)).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda s: F.slice("h", s + 1, min_run))
     # The least hash of each window, the rightmost of equals: its index, once for adjacent windows that agree.
     least = F.transform(
         windows,
         lambda w, s: s + min_run - F.array_position(F.reverse(w), F.array_min(w)).cast("int"),
     )
+    chosen = least
+    if short:
+        share = -(-min_words // (min_run - 1))
+        places = F.transform("n_words", lambda n, i: F.when(n >= share, i))
+        chosen = F.concat(least, F.filter(places, lambda i: i.isNotNull()))
     hashed = hashed.select(
-        "key", "at", "h",
+        "key", "at", "h", *(["n_words"] if short else []),
         F.transform(windows, lambda w: F.xxhash64(w)).alias("run_hash"),
-        F.array_distinct(least).alias("chosen"),
-    )
-    rows = hashed.select("key", "at", "h", "run_hash", F.explode_outer("chosen").alias("i"))
-    first = F.greatest(F.col("i") - (min_run - 1), F.lit(0))
-    last = F.least(F.col("i"), F.size("h") - min_run)
-    runs = F.transform(
-        F.sequence(first, last),
-        lambda s: F.struct(
-            s.alias("start"),
-            F.element_at("run_hash", s + 1).alias("run_hash"),
-            F.slice("at", s + 1, min_run).alias("at"),
-        ),
+        F.array_distinct(chosen).alias("chosen"),
     )
-    return rows.select("key", F.element_at("h", F.col("i") + 1).alias("hash"), runs.alias("runs"))
-
-
-def repeated_lines(docs: DataFrame, doc_key: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    rows = hashed.select(*[c for c in hashed.columns if c != "chosen"], F.explode("chosen").alias("i"))
+
+    def around(length: int) -> Column:
+        """The runs of `length` lines that contain line i and count."""
+        first = F.greatest(F.col("i") - (length - 1), F.lit(0))
+        last = F.least(F.col("i"), F.size("h") - length)
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        if length < min_run:
+            words = lambda s: F.aggregate(F.slice("n_words", s + 1, length), F.lit(0), lambda a, n: a + n)
+            starts = F.filter(starts, lambda s: words(s) >= min_words)
+        own = (lambda s: F.element_at("run_hash", s + 1)) if length == min_run else (lambda s: F.xxhash64(F.slice("h", s + 1, length)))
+        return F.transform(
+            starts,
+            lambda s: F.struct(s.alias("start"), own(s).alias("run_hash"), F.slice("at", s + 1, length).alias("at")),
+        )
+
+    runs = F.concat(*[around(length) for length in range(1 if short else min_run, min_run + 1)])
+    marks = rows.select("key", F.element_at("h", F.col("i") + 1).alias("hash"), runs.alias("runs"))
+    return marks.where(F.size("runs") > 0) if short else marks
+
+
+def repeated_lines(
+    docs: DataFrame, doc_key: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, min_words: int | None = None
+) -> DataFrame:
     """(key, gone): the line numbers of later repeats, one row for each document that has any."""
-    marks = stored(selected_lines(docs, doc_key, text_col, min_run), "line-marks")
+    marks = stored(selected_lines(docs, doc_key, text_col, min_run, min_words), "line-marks")
     common = stored(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "common-lines")
     runs = marks.join(common, "hash", "left_semi").select("key", F.explode("runs").alias("run"))
     runs = stored(runs.select("key", "run.*").distinct(), "line-runs")
@@ -101,9 +126,10 @@ def dedup_lines(
     text_col: str = "text",
     min_run: int = MIN_RUN,
     broadcast_lines: int = BROADCAST_LINES,
+    min_words: int | None = None,
 ) -> DataFrame:
     """Every row of `docs`, its text without later repeats; adds `n_lines` (lines that take part) and `n_deleted`."""
-    gone = stored(repeated_lines(docs, doc_key, text_col, min_run), "lines-gone")
+    gone = stored(repeated_lines(docs, doc_key, text_col, min_run, min_words), "lines-gone")
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast_lines
     gone = F.broadcast(gone) if few else gone
     # The caller's columns travel in one struct, so their names can't clash with those used here.

@@ -192,6 +192,34 @@ def test_lines_against_brute_force(spark):
         assert counted(tuple(r) for r in got) == counted(slow_lines(rows))
 
 
+def slow_runs(rows, least=3, min_words=20):
+    """Every run of up to `least` lines that counts is looked up among all earlier ones."""
+    seen, gone_of = set(), {}
+    for i, t in sorted(rows):
+        part = [(k, x.rstrip(" ")) for k, x in enumerate(t.split("\n")) if x.rstrip(" ")]
+        gone = set()
+        for s in range(len(part)):
+            for e in range(s + 1, min(s + least, len(part)) + 1):
+                run = tuple(x for _, x in part[s:e])
+                if e - s == least or sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone |= {k for k, _ in part[s:e]}
+                    seen.add(run)
+        gone_of[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)
+    return gone_of
+
+
+def test_short_runs_of_many_words_go(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(rng.choice(WORDS, n)) for n in (1, 2, 9, 10, 11, 12, 19, 20, 21, 60)]
+    rows = [(k, "\n".join(rng.choice(lines, rng.integers(1, 9)))) for k in range(60)]
+    rows += [(100, lines[9] + " x"), (101, "  " + lines[9] + " x"), (102, lines[9] + " x  "), (103, "new\n\n" + lines[9] + " x\nend"), (104, "")]
+    got = dedup_lines.dedup_lines(frame(spark, rows), min_words=20).collect()
+    assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in got} == slow_runs(rows)
+    by_id = {r["doc_id"]: r["text"] for r in got}
+    assert by_id[102] == "" and by_id[103] == "new\n\nend" and by_id[101] != ""
+
+
 def test_lines_of_repeated_rows_and_empty_tables(spark):
     rows = [(1, LINES), (1, LINES), (2, LINES)]
     got = dedup_lines.dedup_lines(frame(spark, rows)).select("doc_id", "n_deleted").collect()

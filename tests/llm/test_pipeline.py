@@ -38,6 +38,13 @@ def test_stages_on_edge_cases(spark, small):
     assert corpus_pipeline.piece_ids(spark, docs, small).where("round_trip").count() == len(EDGE)
 
 
+def test_repeated_long_lines_go(spark, small):
+    line = " ".join(f"word{k}" for k in range(137))
+    docs = spark.createDataFrame([(1, line, "en", "s", 1), (2, line, "en", "s", 1), (3, f"a\n{line}\nb", "en", "s", 1), (4, "a", "en", "s", 1)], SCHEMA)
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.fresh_lines(spark, docs, small).collect()}
+    assert left == {1: (line, 1), 2: ("", 0), 3: ("a\nb", 3), 4: ("a", 1)}
+
+
 def test_stages_on_an_empty_table(spark, small):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
