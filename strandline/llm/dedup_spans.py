@@ -1,8 +1,13 @@
 """Removal of repeated passages by sliding spans of sentences.
 
 A text is cut into sentences at line feeds and after `.`, `!` or `?` before white space. A sentence of
-more than `LONG_SENTENCE` words is cut further after words whose hash says so (one in `CUT_EVERY` of all
-words), so that a passage within a text without stops is cut alike wherever it stands. From
+more than `LONG_SENTENCE` words is cut further after the word of least hash, the last of equals, in each
+window of `CUT_WINDOW` words, so that a passage within a text without stops is cut alike wherever it stands
+(but for `CUT_WINDOW` - 1 words at either end) and no piece of it is longer than a window, whatever its words
+and however often they repeat. Any passage of 51 words therefore holds a whole span: at most 15 words go
+by to the first cut that doesn't depend on the text around it, the span ends within 27 more, and cuts up
+to the 44th word are fixed; where a sentence cut off by the passage's end has up to `LONG_SENTENCE`
+words, so that the text around it decides whether it is cut, its stop takes the place of the cut. From
 each sentence on, the span is the shortest run of two or more sentences with at least `min_words` words;
 its hash is that of its words, lower-cased (white space plays no part). All spans are joined by hash over
 the whole table: the occurrence that comes first (by document, then position) stays, and every sentence
@@ -35,20 +40,39 @@ from strandline.functions.runtime import stored
 WORD = re.compile(r"\S+")
 MIN_WORDS = 20
 MIN_SENTENCES = 2
-LONG_SENTENCE = 16
-CUT_EVERY = 8
+LONG_SENTENCE = 12
+CUT_WINDOW = 8
 CACHE_WORDS = 400_000
-#: Kinds of words: within a sentence, a place where a long sentence is cut, the end of a sentence.
-INNER, SOFT, HARD = 1, 2, 3
+#: Texts whose spans are held at a time.
+SLICE_ROWS = 1_000
 
-_KINDS: dict[str, int] = {}
+#: For each word its hash, or HARD - hash - 1 (below zero) if it ends a sentence.
+HARD = 0
+_HASHES: dict[str, int] = {}
 
 
-def _kind(word: str) -> int:
-    if len(_KINDS) >= CACHE_WORDS:
-        _KINDS.clear()
-    soft = zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT_EVERY == 0
-    found = _KINDS[word] = HARD if word[-1] in ".!?" else SOFT if soft else INNER
+def _hash(word: str) -> int:
+    if len(_HASHES) >= CACHE_WORDS:
+        _HASHES.clear()
+    number = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    found = _HASHES[word] = HARD - number - 1 if word[-1] in ".!?" else number
+    return found
+
+
+def window_cuts(hashes: list[int]) -> list[int]:
+    """Places (numbers of words) after the least hash, the last of equals, of each window of `CUT_WINDOW` hashes."""
+    found, best, cut = [], 0, -1
+    for k, h in enumerate(hashes):
+        if h <= hashes[best]:
+            best = k
+        elif best <= k - CUT_WINDOW:
+            best = k - CUT_WINDOW + 1
+            for m in range(best + 1, k + 1):
+                if hashes[m] <= hashes[best]:
+                    best = m
+        if best != cut and k >= CUT_WINDOW - 1:
+            found.append(best + 1)
+            cut = best
     return found
 
 
@@ -56,27 +80,23 @@ def sentences(text: str) -> tuple[list[str], list[int]]:
     """The lower-cased words of a text, and the end of each sentence as a number of words."""
     words: list[str] = []
     ends: list[int] = []
-    kinds = _KINDS
-    begin = 0
+    hashes = _HASHES
     for line in text.lower().split("\n"):
         here = line.split()
         if not here:
             continue
         base = len(words)
         words += here
-        kind = [kinds.get(w) or _kind(w) for w in here]
-        kind[-1] = HARD
-        soft: list[int] = []
-        for k, what in enumerate(kind, base + 1):
-            if what == SOFT:
-                soft.append(k)
-            elif what == HARD:
-                if k - begin > LONG_SENTENCE:
-                    ends += [x for x in soft if x < k]
-                ends.append(k)
-                begin = k
-                if soft:
-                    soft = []
+        found = [hashes[w] if w in hashes else _hash(w) for w in here]
+        begin, n = 0, len(found)
+        for k in [k for k, h in enumerate(found, 1) if h < HARD or k == n]:
+            if k - begin > LONG_SENTENCE:
+                # The last word takes part by its hash, without the mark.
+                own = found[begin:k]
+                own[-1] = own[-1] if own[-1] >= HARD else HARD - own[-1] - 1
+                ends += [base + begin + x for x in window_cuts(own) if x < k - begin]
+            ends.append(base + k)
+            begin = k
     return words, ends
 
 
@@ -103,7 +123,7 @@ NO_ID = -(1 << 63)
 
 def _spans(min_words: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b[k : k + SLICE_ROWS] for b in batches for k in range(0, len(b), SLICE_ROWS)):
             counts, rows, again = [], [], []
             for text in batch["text"]:
                 found = spans(text, min_words)
@@ -134,11 +154,21 @@ def repeated_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text",
     key = F.struct(F.coalesce(F.col(doc_key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
     rows = docs.where(F.length(text) > 0).select(key.alias("key"), F.col(text).alias("text"))
     found = rows.mapInPandas(_spans(min_words), SPAN_SCHEMA)
-    found = stored(found.select("key.id", "key.text_hash", "i", "j", "start", "end", "again", "h1", "h2"), "spans")
+    # Two longs hold the place, as narrow rows are what the shuffle writes: (i, start) and (j - i, end - start, again).
+    place = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("start").cast("long")).alias("place")
+    size = F.shiftleft((F.col("end") - F.col("start")).cast("long"), 1).bitwiseOR(F.col("again").cast("long"))
+    size = F.shiftleft((F.col("j") - F.col("i")).cast("long"), 33).bitwiseOR(size).alias("size")
+    found = stored(found.select("key.id", "key.text_hash", place, size, "h1", "h2"), "spans")
     firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").drop("n"), "first-spans")
-    later = found.join(firsts, ["h1", "h2"]).where(F.col("again") | (F.col("id") > F.col("first_id")))
-    return later.select(F.struct("id", "text_hash").alias("key"), "i", "j", "start", "end", "first_id")
+    again = F.col("size").bitwiseAND(F.lit(1)) == 1
+    later = found.join(firsts, ["h1", "h2"]).where(again | (F.col("id") > F.col("first_id")))
+    i, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    j = i + F.shiftright("size", 33).cast("int")
+    end = start + F.shiftright(F.col("size").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int")
+    return later.select(
+        F.struct("id", "text_hash").alias("key"), i.alias("i"), j.alias("j"), start.alias("start"), end.alias("end"), "first_id"
+    )
 
 
 def removed_runs(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -162,6 +162,30 @@ def test_passage_within_other_text_is_found(spark):
     assert {r["doc_id"] for r in dedup_spans.removed_runs(frame(spark, rows)).select(F.col("key.id").alias("doc_id")).collect()} == {2}
 
 
+def test_any_passage_of_51_words_holds_a_common_span():
+    rng = np.random.default_rng(11)
+
+    def prose(n, stops):
+        return [f"{w:x}" + ("." if stop else "") for w, stop in zip(rng.integers(1 << 60, size=n), rng.random(n) < stops)]
+
+    for stops in (0, 0.02, 0.05, 0.1, 0.2):
+        for _ in range(800):
+            passage, outside = prose(51, stops), rng.choice([0, 0.05, 0.2], 2)
+            texts = [" ".join([*prose(rng.integers(0, 40), x), *passage, *prose(rng.integers(0, 40), x)]) for x in outside]
+            a, b = ({x[-1] for x in dedup_spans.spans(t)} for t in texts)
+            assert a & b, texts
+
+
+def test_lines_of_repeated_words_have_spans(spark):
+    for period in (1, 2, 5, 17):
+        line = " ".join(f"v{k % period}" for k in range(60))
+        a, b = ({x[-1] for x in dedup_spans.spans(t)} for t in ("one two three " + line + " four", "five " + line + " six seven"))
+        assert a & b, period
+    rows = [(1, "other words here " + "same " * 60), (2, "and then " + "same " * 60 + "the end")]
+    got = {r["doc_id"]: r["n_removed_words"] for r in dedup_spans.dedup_spans(frame(spark, rows)).collect()}
+    assert got[2] >= 40
+
+
 # ---- lines
 
 
