@@ -519,13 +519,59 @@ def test_validators_and_headers(spark):
     assert warc.resolve_revisits(captures(spark, [])).count() == 0
 
 
+def test_repeated_captures_and_nulls(spark):
+    rows = [(1, "response", "http://a/", 1, 200, {"etag": '"x"'})] * 3 + [(2, "revisit", "http://a", 5, 304, {"etag": '"x"'})] * 3
+    rows += [(9, "response", "http://a/", 1, 200, {"etag": '"y"'}), (3, "revisit", "http://a", None, 304, {"etag": '"x"'}), (4, "response", "http://a", None, 200, {"etag": '"x"'})]
+    rows += [(None, "revisit", "http://a", 5, 304, None), (8, "response", "http://b", 3, 200, None), (7, "revisit", "http://b", 4, 304, {})]
+    got = [(r["record_id"], r["status"], r["response_id"]) for r in warc.resolve_revisits(captures(spark, rows)).collect()]
+    assert counted(got) == counted([(2, "validator_mismatch", None)] * 3 + [(3, "no_response", None), (None, "no_validator", None), (7, "no_validator", None)])
+
+
 def test_records_round_trip(spark):
     pages = spark.createDataFrame([(0, "http://a/", "<p>x</p>\r\n\r\nWARC/1.1\r\n"), (1, "http://b/?q", "é" * 50_000), (3, "http://c", "")], "page_id long, url string, html string")
     found = warc.read_captures(warc.page_captures(pages))
-    got = {(r["record_id"], r["kind"]): (r["n_bytes"], r["payload_sha256"]) for r in found.collect()}
+    got = {r["record_id"]: (r["kind"], r["n_bytes"], r["payload_sha256"]) for r in found.collect()}
     assert len(got) == 6
     for r in pages.collect():
         body = r["html"].encode()
-        assert got[(2 * r["page_id"], "response")] == (len(body), hashlib.sha256(body).hexdigest())
-    blob = warc.page_captures(pages).first()["warc"]
-    assert len(list(warc.parse_warc(bytes(blob[:-60])))) == 1 and list(warc.parse_warc(b"junk")) == []
+        assert got[f"{r['page_id']}/response"] == ("response", len(body), hashlib.sha256(body).hexdigest())
+
+
+def test_damaged_records_are_skipped_and_counted(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}/", "<p>page</p>") for k in (1, 2, 3)], "page_id long, url string, html string")
+    a, b, c = (bytes(r["warc"]) for r in warc.page_captures(pages).orderBy("warc").collect())
+    kinds = lambda blob: [(h["warc-type"], len(body)) for h, _, _, body in warc.parse_warc(blob)]
+    whole = [("response", 11), ("revisit", 0)]
+    assert kinds(a + b) == whole * 2 and kinds(b"") == [] and kinds(b"junk") == [("damaged", 4)]
+    assert kinds(a + b"junk\r\n" + c) == whole + [("damaged", 6)] + whole
+    broken = b.replace(b"Content-Length: ", b"Content-Length: x", 1)
+    assert kinds(a + broken + c)[2][0] == "damaged" and kinds(a + broken + c)[3:] == [("revisit", 0)] + whole
+    cut = a[:-60]
+    assert kinds(cut + c)[:2] == [("response", 11), ("damaged", len(a) - 60 - a.index(b"WARC/1.1", 5))] and kinds(cut + c)[2:] == whole
+    files = spark.createDataFrame([(bytearray(a + broken),), (None,)], "warc binary")
+    got = counted((r["kind"], r["record_id"]) for r in warc.read_captures(files).collect())
+    assert got == counted([("response", "1/response"), ("revisit", "1/revisit"), ("damaged", None), ("revisit", "2/revisit")])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_op10_on_odd_pages_equals_its_sql(spark, tmp_path, zone):
+    import duckdb
+
+    rows = [(k, f"http://www.H{k % 7}.example/p?b=2&utm_source=x&a={k % 3}#f", f"<p>{k}</p>" * (k % 5)) for k in range(60)]
+    rows += [(12, "http://h/", "x")] * 3 + [(None, "http://h/", "x"), (61, None, "y"), (62, "http://h/", None), (None, None, None), (63, "", ""), (2**62, "http://h/", "z"), (-3, "http://h/", "w")]
+    rows += [(12, "http://h/", "other"), (13, "no url at all", "z"), (64, "http://h/", LONG)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = warc.op10_warc(spark, str(tmp_path))
+        got, columns = found.collect(), found.columns
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.OP10_SQL).project(", ".join(columns)).fetchall()
+    assert len(got) == len(rows) and counted(tuple(r) for r in got) == counted(want)
+    empty = pages.limit(0)
+    assert warc.resolve_revisits(warc.read_captures(warc.page_captures(empty))).count() == 0
