@@ -4,17 +4,21 @@ Fingerprint: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of four wor
 repeats included (fewer words: the whole sequence is one shingle; none: fingerprint zero); a bit is set
 if it is set in more than half of the shingles' XXH64 (seed 42).
 
-Candidates come from a segment-popcount embedding. A fingerprint is cut into segments of two bits, and its
-point has the bit count of each segment as coordinates. Bit counts differ by no more than bits do, so the
-Manhattan distance of two points is a lower bound of the Hamming distance. The segments are dealt to bands
-(two for four bits); of a pair within reach at least one band's distance is at most its share, two. Each
-distinct fingerprint is placed, for each band, on its own grid point and on all grid points one step
-away: two points at distance two or less meet on a common one. The pairs that meet are verified by
-their exact Hamming distance.
+Candidates come from a segment-popcount embedding. The bits are cut into blocks, and a band is a pair of blocks: of
+three blocks at least one pair holds at most two of four differing bits. A band is cut into segments of two
+bits in two ways, one shifted by a bit, and its point has the bit count of each segment as coordinates.
+Bit counts differ by no more than bits do, so half the Manhattan distance of two points is a lower bound of the
+band's Hamming distance. Each distinct fingerprint is placed, for each band, on its own grid point and on all
+grid points that one bit leads to: two points within two bits meet on a common one. The pairs that
+meet are verified by their exact Hamming distance. A band has 42 bits or more, so that chance meetings stay few
+next to the fingerprints however many there are (5e10 fingerprints: about eight each). Points are named by a linear
+hash of their coordinates; points that share a name only cost time, as every pair is verified.
 
 Groups are the connected components of the verified links. Only distinct fingerprints take part, so exact
 copies, however many, are one node, and a grid point that many near copies share yields a spanning
-forest of its links (found by breadth-first search over arrays of longs), never all pairs. Components are
+forest of its links (found by breadth-first search over arrays of longs), never all pairs. The members of a point
+with more than `CHUNK` of them are streamed out and dealt to chunks; every two chunks meet in a task of their
+own, which yields a spanning forest, too. Components are
 found by contraction: every node is merged into the least node it is linked to, links are rewritten
 between the merged nodes, and the rounds go on until no link is left. Each round's tables are written to
 the shared folder.
@@ -27,6 +31,7 @@ but null doc_ids has a null component_id; other columns are not touched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,6 +47,8 @@ SEED = 42
 SEGMENT_BITS = 2
 #: A grid point with more fingerprints than this is searched breadth first instead of pair by pair.
 FEW = 16
+#: A grid point with more fingerprints than this is searched by several tasks.
+CHUNK = 4096
 ROUNDS = 60
 
 
@@ -81,25 +88,34 @@ def fingerprints(docs: DataFrame, doc_key: str = "doc_id", text: str = "text") -
     return out.select("doc_id.doc_id", "fp")
 
 
+def bands(max_bits: int = MAX_BITS) -> list[np.ndarray]:
+    """The bits of each band; of two fingerprints within `max_bits` at least one band differs in two bits at most."""
+    if max_bits <= 2:
+        return [np.arange(64)]
+    blocks = np.array_split(np.arange(64), 2 * max_bits // 3 + 1)
+    return [np.concatenate(pair) for pair in combinations(blocks, 2)]
+
+
 def grid_points(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(point, index of the fingerprint) of each placement of an array of u64 fingerprints."""
-    n_segments, bands = 64 // SEGMENT_BITS, max_bits // 3 + 1
-    counts = np.zeros((len(fps), n_segments), np.int64)
-    for bit in range(SEGMENT_BITS):
-        for k in range(n_segments):
-            counts[:, k] += ((fps >> np.uint64(k * SEGMENT_BITS + bit)) & np.uint64(1)).astype(np.int64)
     points, owners, every = [], [], np.arange(len(fps))
-    for band, segments in enumerate(np.array_split(np.arange(n_segments), bands)):
-        own = counts[:, segments]
-        scale = (SEGMENT_BITS + 1) ** np.arange(len(segments), dtype=np.int64)
-        at = (own @ scale) * bands + band
+    names = np.random.default_rng(64)
+    for band in bands(max_bits):
+        bits = np.stack([(fps >> np.uint64(b)) & np.uint64(1) for b in band])
+        # Segment k of the first cut holds bits 2k and 2k + 1, of the second one bits 2k - 1 and 2k, round the band's end.
+        places = np.arange(len(band)) // SEGMENT_BITS, (np.arange(len(band)) + 1) % len(band) // SEGMENT_BITS
+        at, step = np.zeros(len(fps), np.uint64), np.zeros(len(band), np.uint64)
+        for segment in places:
+            name = names.integers(0, 1 << 64, segment.max() + 1, dtype=np.uint64)
+            for k in range(len(name)):
+                at += bits[segment == k].sum(axis=0, dtype=np.uint64) * name[k]
+            step += name[segment]
         points.append(at)
         owners.append(every)
-        for j in range(len(segments)):
-            for step, fits in ((1, own[:, j] < SEGMENT_BITS), (-1, own[:, j] > 0)):
-                points.append(at[fits] + step * scale[j] * bands)
-                owners.append(every[fits])
-    return np.concatenate(points), np.concatenate(owners)
+        for own, to in zip(bits, step):
+            points.append(np.where(own == 0, at + to, at - to))
+            owners.append(every)
+    return np.concatenate(points).view(np.int64), np.concatenate(owners)
 
 
 def links_within(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -117,10 +133,13 @@ def links_within(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, i
     return found
 
 
-def _meet(max_bits: int):
-    """Links of rows (point, fp) that come sorted by point."""
+def _meet(max_bits: int, chunk: int):
+    """Rows (point, fp) that come sorted by point become links (a, b), or, at points of more than `chunk` rows, (fp, number at its point, point)."""
 
-    def pairs(point: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    def passed_on(fp: np.ndarray, first: int, point: int) -> pd.DataFrame:
+        return pd.DataFrame({"a": fp.view(np.int64), "b": np.arange(first, first + len(fp)), "point": np.full(len(fp), point, object)})
+
+    def search(point: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
         sizes = np.diff(np.r_[starts, len(point)])
         found = []
@@ -131,29 +150,39 @@ def _meet(max_bits: int):
             near = np.bitwise_count(a ^ b) <= max_bits
             found.append(np.stack([a[near], b[near]], axis=1))
         for k in np.flatnonzero(sizes > FEW):
-            many = links_within(fp[starts[k] : starts[k] + sizes[k]], max_bits)
+            here = fp[starts[k] : starts[k] + sizes[k]]
+            if len(here) > chunk:
+                yield passed_on(here, 0, int(point[starts[k]]))
+                continue
+            many = links_within(here, max_bits)
             if many:
                 found.append(np.array(many, np.uint64))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+        yield _signed(np.concatenate(found) if found else np.zeros((0, 2), np.uint64)).assign(point=None)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hot, passed = None, 0  # the point that is being passed on, and how many of its rows were
         for batch in batches:
-            point, fp = batch["point"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+            point = np.concatenate([held[0], batch["point"].to_numpy()])
+            fp = np.concatenate([held[1], batch["fp"].to_numpy().view(np.uint64)])
+            held = point[:0], fp[:0]
+            if len(point) and hot is not None and point[0] == hot:
+                n = int(np.searchsorted(point, hot, "right"))
+                yield passed_on(fp[:n], passed, hot)
+                point, fp, passed = point[n:], fp[n:], passed + n
             if not len(point):
                 continue
-            cut = np.searchsorted(point, point[-1], "left")  # the last point may go on in the next batch
+            hot, passed = None, 0
+            cut = int(np.searchsorted(point, point[-1], "left"))  # the last point may go on in the next batch
             if cut:
-                p = np.concatenate([*(x for x, _ in held), point[:cut]])
-                f = np.concatenate([*(y for _, y in held), fp[:cut]])
-                held = []
-                yield _signed(pairs(p, f))
-            elif held and held[-1][0][-1] != point[0]:
-                yield _signed(pairs(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])))
-                held = []
-            held.append((point[cut:], fp[cut:]))
-        if held:
-            yield _signed(pairs(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])))
+                yield from search(point[:cut], fp[:cut])
+            if len(point) - cut > chunk:
+                hot, passed = int(point[-1]), len(point) - cut
+                yield passed_on(fp[cut:], 0, hot)
+            else:
+                held = point[cut:], fp[cut:]
+        if len(held[0]):
+            yield from search(*held)
 
     return meet
 
@@ -165,7 +194,7 @@ def _signed(pairs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
     """(a, b): enough of the links among the distinct fingerprints `fp` to connect what is connected."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +205,21 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     placed = distinct.select("fp").mapInPandas(place, "point bigint, fp bigint")
     placed = placed.repartition("point").sortWithinPartitions("point")
-    return placed.mapInPandas(_meet(max_bits), "a bigint, b bigint").distinct()
+    met = stored(placed.mapInPandas(_meet(max_bits, chunk), "a bigint, b bigint, point bigint"), "met")
+    found = met.where("point is null").select("a", "b")
+    hot = met.where("point is not null").select("point", F.col("a").alias("fp"), F.floor(F.col("b") / chunk).cast("int").alias("own"))
+    if hot.isEmpty():
+        return found.distinct()
+    chunks = hot.groupBy("point").agg(F.max("own").alias("last"))
+    pairs = hot.join(chunks, "point").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        many = links_within(pdf["fp"].to_numpy().view(np.uint64), max_bits)
+        return _signed(np.array(many, np.uint64).reshape(-1, 2))
+
+    pairs = pairs.select("point", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    more = pairs.groupBy("point", "i", "j").applyInPandas(forest, "a bigint, b bigint")
+    return found.union(more).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def test_simhash_on_edge_cases(spark):
     assert counted(tuple(r) for r in got) == counted((i, f"{f:016x}", g) for (i, _), f, g in zip(TEXTS, fps, groups))
 
 
-def test_simhash_links_near_random_fingerprints(spark):
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 20])
+def test_simhash_links_near_random_fingerprints(spark, chunk):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = list(base)
@@ -90,7 +91,7 @@ def test_simhash_links_near_random_fingerprints(spark):
         fps.append(base[0] ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 2, replace=False).astype(np.uint64)))
     fps = sorted({int(f) for f in fps})
     table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(table)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(table, chunk=chunk)).collect()}
     want = slow_groups(fps, fps)
     got = {}
     for f, w in zip(fps, want):
@@ -99,15 +100,33 @@ def test_simhash_links_near_random_fingerprints(spark):
     assert all(len(g) == 1 for g in got.values()) and len(got) == len(set(want))
 
 
-def test_popcount_distance_is_a_lower_bound():
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 5, 7])
+def test_near_fingerprints_share_a_point(most):
     rng = np.random.default_rng(2)
     for _ in range(300):
-        a, flips = rng.integers(0, 2**63, dtype=np.uint64), rng.choice(64, 4, replace=False).astype(np.uint64)
+        a, flips = rng.integers(0, 2**64, dtype=np.uint64), rng.choice(64, most, replace=False).astype(np.uint64)
         b = a ^ np.bitwise_or.reduce(np.uint64(1) << flips)
-        points, owner = simhash.grid_points(np.array([a, b], np.uint64))
+        points, owner = simhash.grid_points(np.array([a, b], np.uint64), most)
         assert set(points[owner == 0]) & set(points[owner == 1])
 
 
+def test_random_fingerprints_hardly_meet():
+    points, _ = simhash.grid_points(np.random.default_rng(3).integers(0, 2**64, 100_000, dtype=np.uint64))
+    assert len(points) - len(np.unique(points)) < 1000
+
+
+def test_hot_points_are_dealt_to_chunks(spark):
+    # All share 43 bits, so one point holds every one of them.
+    rng = np.random.default_rng(4)
+    rest = [sum(1 << int(b) for b in rng.choice(21, 6, replace=False)) for _ in range(3000)]
+    fps = sorted({(5 << 40) + r for r in rest})
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    roots = [{r["node"]: r["root"] for r in simhash.components(simhash.links(table, 2, chunk)).collect()} for chunk in (100, 10**6)]
+    for f in fps:
+        group = [{g for g in fps if r.get(g, g) == r.get(f, f)} for r in roots]
+        assert group[0] == group[1]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 50)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
