@@ -7,21 +7,22 @@ unseen one costs the escape -log2(D / (N + D)) and is coded in the context short
 empty context all 256 bytes are equally likely. Statistics are frozen after counting, so a text's code
 length in a language is an exact sum over all of its bytes, whatever else is scored.
 
-The trees are laid out as one row of code lengths for each context, all languages side by side, and an
-array that gives any three bytes the row of their longest counted suffix; a byte costs two look-ups. The
-layout is broadcast; its size is bounded by `max_contexts` rows (the most frequent ones) of at most 257 symbols.
+Counts of languages don't mix, so the trees of up to `BLOCK` languages are laid out together: sorted context-and-byte
+sequences that any of them counted, with their code lengths in each language, and sorted contexts with their
+escapes, for each length of context. A byte is looked up with its whole context first and, only where no language
+has counted that, with a shorter one and the escape added. Nothing counted is left out. The layout is broadcast; its size is
+bounded by the sample, that is, by the number of languages: about a megabyte for each.
 
 The sample: rows with a language whose crc32(doc_id as text) mod 3 is not 1, at most about
 `sample_docs` of each language, chosen by a hash of doc_id; texts are counted whole, on the executors.
 
-Defined edge results: a null text or one without a letter is `und` with score 0; so is any text if there
+Defined edge results: a null text or one without a letter (a character of the Unicode categories of letters) is `und` with score 0; so is any text if there
 is nothing to learn from; ties go to the language that comes first by name; rows with a null doc_id are
 held out; other columns play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,28 +33,36 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 SAMPLE_DOCS = 600
-MAX_CONTEXTS = 40_000
-MIN_COUNT = 2
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages laid out side by side.
+BLOCK = 8
 PAD = b"\n" * ORDER
 CHUNK = 1 << 20
 
 
 @dataclass
 class Model:
-    """languages: names; symbol: byte -> symbol (0: never counted); row_of: three symbols -> row; bits: (row, symbol, language)."""
+    """Trees of some languages, for contexts of 0, 1, 2 and 3 bytes.
+
+    grams[k]: sorted sequences of k + 1 bytes as numbers; bits[k]: (sequence, language) code lengths; contexts[k]: sorted
+    sequences of k bytes; escapes[k]: (context, language).
+    """
 
     languages: list[str]
-    symbol: np.ndarray
-    row_of: np.ndarray
-    bits: np.ndarray
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def count_grams(sample: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def count_grams(sample: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of four-byte sequences (three of context and the byte), packed into a long."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +74,7 @@ def count_grams(sample: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                 yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
 
     counted = sample.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, "lang string, gram bigint, n bigint")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -80,86 +89,96 @@ def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     return named.where(chosen)
 
 
-def build(grams: pd.DataFrame, max_contexts: int = MAX_CONTEXTS) -> Model | None:
-    """The model from counted grams (lang, gram, n)."""
-    if not len(grams):
-        return None
+def build(grams: pd.DataFrame) -> list[Model]:
+    """The models of counted grams (lang, gram, n), one for each `BLOCK` languages in order of their names; none without grams."""
     languages = sorted(grams["lang"].unique())
-    gram, n = grams["gram"].to_numpy(), grams["n"].to_numpy().astype(np.float64)
-    lang = np.searchsorted(languages, grams["lang"].to_numpy())
-    parts = [(gram >> s) & 255 for s in (24, 16, 8, 0)]
-    used = np.unique(np.concatenate(parts))
-    symbol = np.zeros(256, np.int64)
-    symbol[used] = np.arange(1, len(used) + 1)
-    size, n_lang = len(used) + 1, len(languages)
-    a, b, c, s = (symbol[p] for p in parts)
-
-    def counts(context: np.ndarray, rows: int) -> np.ndarray:
-        cells = np.bincount((context * size + s) * n_lang + lang, weights=n, minlength=rows * size * n_lang)
-        return cells.reshape(rows, size, n_lang)
-
-    def coded(counted: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = counted.sum(axis=1, keepdims=True), (counted > 0).sum(axis=1, keepdims=True)
+    blocks = [languages[k : k + BLOCK] for k in range(0, len(languages), BLOCK)]
+    return [_block(block, grams[grams["lang"].isin(block)]) for block in blocks]
+
+
+def _block(languages: list[str], counted: pd.DataFrame) -> Model:
+    n_lang = len(languages)
+    whole, n = counted["gram"].to_numpy(), counted["n"].to_numpy().astype(np.float64)
+    lang = np.searchsorted(languages, counted["lang"].to_numpy(dtype=object))
+    model = Model(languages, [], [], [], [])
+
+    def added(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(keys, return_inverse=True)
+        return found, np.bincount(at * n_lang + lang, weights=n, minlength=len(found) * n_lang).reshape(-1, n_lang)
+
+    for k in range(ORDER + 1):
+        gram, times = added(whole & ((1 << 8 * (k + 1)) - 1))
+        context, total = added((whole & ((1 << 8 * (k + 1)) - 1)) >> 8)
+        of = np.searchsorted(context, gram >> 8)
+        distinct = np.stack([np.bincount(of, weights=times[:, j] > 0, minlength=len(context)) for j in range(n_lang)], axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(counted / (total + distinct))
             escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-        return np.where(counted > 0, seen, escape + shorter)
-
-    order0 = coded(counts(np.zeros(len(s), np.int64), 1), np.full((1, size, n_lang), 8.0))
-    bits, lower_row, first_row = [order0], np.zeros(1, np.int64), 1
-    budget = max_contexts
-    for k, context in ((1, c), (2, b * size + c), (3, (a * size + b) * size + c)):
-        weight = np.bincount(context, weights=n, minlength=size**k)
-        there = np.flatnonzero(weight)
-        there = np.sort(there[np.argsort(-weight[there], kind="stable")][:budget])
-        budget -= len(there)
-        place = np.full(size**k, -1, np.int64)
-        place[there] = np.arange(len(there))
-        kept = place[context] >= 0
-        cells = np.bincount(
-            (place[context[kept]] * size + s[kept]) * n_lang + lang[kept], weights=n[kept], minlength=len(there) * size * n_lang
-        ).reshape(len(there), size, n_lang)
-        backed = lower_row[there % size ** (k - 1)]  # the row of the context without its first byte
-        every = np.concatenate(bits)
-        bits.append(coded(cells, every[backed]))
-        row = np.tile(lower_row, size)
-        row[there] = first_row + np.arange(len(there))
-        first_row += len(there)
-        lower_row = row
-    return Model(languages, symbol, lower_row.astype(np.int32), np.concatenate(bits).astype(np.float32))
-
-
-def code_lengths(model: Model, texts: list[str | None]) -> np.ndarray:
-    """(text, language): exact code length in bits of each text."""
-    size, out = len(np.unique(model.symbol[model.symbol > 0])) + 1, np.zeros((len(texts), len(model.languages)))
+            seen = -np.log2(times / (total + distinct)[of])
+        if k:
+            shorter = model.bits[k - 1][np.searchsorted(model.grams[k - 1], gram & ((1 << 8 * k) - 1))]
+        else:
+            shorter = 8.0
+        model.grams.append(gram)
+        model.bits.append(np.where(times > 0, seen, escape[of] + shorter).astype(np.float32))
+        model.contexts.append(context)
+        model.escapes.append(escape.astype(np.float32))
+    return model
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `keys` among sorted ones, and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _lengths(model: Model, gram: np.ndarray) -> np.ndarray:
+    """Code length of the last bytes of sequences of four, for each language."""
+    total = np.zeros(len(model.languages))
+    for k in range(ORDER, -1, -1):
+        at, there = _found(model.grams[k], gram)
+        total += model.bits[k][at[there]].sum(axis=0, dtype=np.float64)
+        gram = gram[~there]
+        if not len(gram):
+            break
+        at, there = _found(model.contexts[k], gram >> 8)
+        total += model.escapes[k][at[there]].sum(axis=0, dtype=np.float64)
+        gram = gram & ((1 << 8 * k) - 1)
+    else:
+        total += 8.0 * len(gram)
+    return total
+
+
+def code_lengths(models: list[Model], texts: list[str | None]) -> np.ndarray:
+    """(text, language): exact code length in bits of each text; languages in order of the models."""
+    out = np.zeros((len(texts), sum(len(m.languages) for m in models)))
     for k, text in enumerate(texts):
         raw = np.frombuffer(PAD + _bytes(text), np.uint8)
         for at in range(0, len(raw) - ORDER, CHUNK):
-            s = model.symbol[raw[at : at + CHUNK + ORDER]]
-            row = model.row_of[(s[:-3] * size + s[1:-2]) * size + s[2:-1]]
-            out[k] += model.bits[row, s[3:]].sum(axis=0, dtype=np.float64)
+            b = raw[at : at + CHUNK + ORDER].astype(np.int64)
+            gram = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+            out[k] += np.concatenate([_lengths(m, gram) for m in models])
     return out
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_contexts: int = MAX_CONTEXTS) -> Model | None:
-    """The frozen model of `docs` (doc_id, text, lang)."""
-    return build(count_grams(sample_of(docs, sample_docs)).toPandas(), max_contexts)
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[Model]:
+    """The frozen models of `docs` (doc_id, text, lang)."""
+    return build(count_grams(sample_of(docs, sample_docs)).toPandas())
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: list[Model], text: str = "text") -> DataFrame:
     """Every row of `docs` with `lang_pred` and `score`, the probability of that language if all are as likely beforehand."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def predict(batch: pd.Series) -> pd.DataFrame:
         known = shared.value
         texts = batch.tolist()
         names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-        some = [i for i, t in enumerate(texts) if known is not None and t and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if known and has_letter(t)]
         if some:
             lengths = code_lengths(known, [texts[i] for i in some])
             best = lengths.argmin(axis=1)
             rest = lengths - lengths.min(axis=1, keepdims=True)
-            names[some] = np.array(known.languages, object)[best]
+            names[some] = np.array([lang for m in known for lang in m.languages], object)[best]
             scores[some] = 1 / np.exp2(-np.minimum(rest, 1000.0)).sum(axis=1)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
@@ -172,6 +191,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the predicted language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = learn(docs)
+    models = learn(docs)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True)).alias("held_out")
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), models).select("doc_id", held_out, "lang_pred", "score")

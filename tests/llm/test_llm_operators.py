@@ -420,41 +420,49 @@ def test_language_of_planted_texts(spark):
     rng = np.random.default_rng(5)
     kinds = {"aa": ["the", "and", "with", "from"], "bb": ["der", "und", "mit", "von"]}
     rows = [(i, " ".join(rng.choice(kinds[lang], 40)), lang) for i in range(120) for lang in [list(kinds)[i % 2]]]
-    edge = [(900, None, None), (901, "", "aa"), (902, "12 345 !!", "bb"), (None, "the and with", "bb"), (903, LONG, None)]
+    edge = [(900, None, None), (901, "", "aa"), (902, "12 345 !!", "bb"), (904, "½ ² ③ Ⅷ _", "bb"), (905, "12 ª", None), (None, "the and with", "bb"), (903, LONG, None)]
     docs = spark.createDataFrame(rows + edge, "doc_id long, text string, lang string")
     model = language.learn(docs)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
     assert all(got[i][0] == lang and 0.5 < got[i][1] <= 1 for i, _, lang in rows)
-    assert got[900] == got[901] == got[902] == ("und", 0.0) and got[None][0] == "aa"
+    assert got[900] == got[901] == got[902] == got[904] == ("und", 0.0) and got[None][0] == "aa" and got[905][0] in ("aa", "bb")
     assert language.identify(docs, language.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_code_lengths_against_a_slow_coder(spark):
-    text = "abracadabra abracadabra"
-    docs = spark.createDataFrame([(i, text, "x") for i in range(30)], "doc_id long, text string, lang string")
-    grams = language.count_grams(docs.select("lang", "text")).toPandas()
-    model = language.build(grams)
-    counts = {}
-    for gram, n in zip(grams["gram"], grams["n"]):
-        b = [(gram >> s) & 255 for s in (24, 16, 8, 0)]
-        for k in range(4):
-            counts.setdefault(tuple(b[3 - k : 3]), {}).setdefault(b[3], 0)
-            counts[tuple(b[3 - k : 3])][b[3]] += n
-
-    def bits(context, s):
-        while context and context not in counts:
+@pytest.mark.parametrize("block", [language.BLOCK, 1])
+def test_code_lengths_against_a_slow_coder(spark, monkeypatch, block):
+    monkeypatch.setattr(language, "BLOCK", block)
+    texts = {"x": "abracadabra abracadabra", "y": "barbara barb é", "z": "dada"}
+    docs = spark.createDataFrame([(i, t, lang) for i in range(3) for lang, t in texts.items()], "doc_id long, text string, lang string")
+    models = language.build(language.count_grams(docs.select("lang", "text")).toPandas())
+    counts = {lang: {} for lang in texts}
+    for lang, t in texts.items():
+        raw = list(language.PAD + t.encode())
+        for i in range(3, len(raw)):
+            for k in range(4):
+                here = counts[lang].setdefault(tuple(raw[i - k : i]), {})
+                here[raw[i]] = here.get(raw[i], 0) + 3
+
+    def bits(lang, context, s):
+        while context and context not in counts[lang]:
             context = context[1:]
-        here = counts[context]
+        here = counts[lang][context]
         total, distinct = sum(here.values()), len(here)
         if s in here:
             return -np.log2(here[s] / (total + distinct))
         escape = -np.log2(distinct / (total + distinct))
-        return escape + (bits(context[1:], s) if context else 8.0)
+        return escape + (bits(lang, context[1:], s) if context else 8.0)
 
-    probe = "abra zcad\n"
+    probe = "abra zcad\né barb ß"
     raw = list(language.PAD + probe.encode())
-    want = sum(bits(tuple(raw[i - 3 : i]), raw[i]) for i in range(3, len(raw)))
-    assert language.code_lengths(model, [probe])[0, 0] == pytest.approx(want, rel=1e-5)
+    want = [sum(bits(lang, tuple(raw[i - 3 : i]), raw[i]) for i in range(3, len(raw))) for lang in texts]
+    assert language.code_lengths(models, [probe])[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_language_of_the_given_documents(spark, sf_dir):
+    found = language.op7_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = found.where("held_out and lang is not null").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert right > 0.95
 
 
 # ---- token store
