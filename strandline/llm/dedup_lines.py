@@ -16,6 +16,9 @@ besides the winnowed ones, and runs of every length around a selected line are h
 again: a line goes if and only if it lies in a run that occurred before and has `min_run` lines or
 `min_words` words. The query op3 keeps to runs of `min_run` lines, as its SQL does; the pipeline sets both.
 
+Lines are joined by 64 bits, but a run counts as seen only if 128 bits agree (two hashes of its lines, each made of line
+hashes of its own seed), so no line is deleted for a chance collision even among 10^12 runs.
+
 Occurrences are matched with the first one only (an aggregate with map-side combination), never with one
 another, so a line shared by a third of all documents costs a row for each occurrence. Both sides of each
 join are written tables, so adaptive execution can split a hot key.
@@ -36,8 +39,8 @@ from strandline.functions.runtime import stored
 MIN_RUN = 3
 #: Words from which on the pipeline lets a run of fewer lines count.
 MIN_WORDS = 20
-#: Deleted lines up to which their numbers are broadcast to the documents.
-BROADCAST_LINES = 1_000_000
+#: Bytes of keys and line numbers to delete up to which they are broadcast to the documents.
+BROADCAST_BYTES = 32 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -55,7 +58,7 @@ def _keyed(docs: DataFrame, doc_key: str, text_col: str) -> DataFrame:
 def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int, min_words: int | None = None) -> DataFrame:
     """One row for each selected line: (key, hash, runs).
 
-    `runs` holds the runs that count and contain the line: (start, run_hash, line numbers).
+    `runs` holds the runs that count and contain the line: (start, run_hash, run_check, line numbers).
     """
     short = min_words is not None and min_run > 1
     n_words = F.transform("lines", lambda x: F.regexp_count(x["line"], F.lit(r"\S+")))
@@ -63,6 +66,7 @@ def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int, m
         "key",
         F.transform("lines", lambda x: x["at"]).alias("at"),
         F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit("check"), x["line"])).alias("g"),
         *([n_words.alias("n_words")] if short else []),
     )
     hashed = hashed.where(F.size("h") >= (1 if short else min_run))
@@ -80,8 +84,7 @@ def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int, m
         places = F.transform("n_words", lambda n, i: F.when(n >= share, i))
         chosen = F.concat(least, F.filter(places, lambda i: i.isNotNull()))
     hashed = hashed.select(
-        "key", "at", "h", *(["n_words"] if short else []),
-        F.transform(windows, lambda w: F.xxhash64(w)).alias("run_hash"),
+        "key", "at", "h", "g", *(["n_words"] if short else []),
         F.array_distinct(chosen).alias("chosen"),
     )
     rows = hashed.select(*[c for c in hashed.columns if c != "chosen"], F.explode("chosen").alias("i"))
@@ -94,10 +97,10 @@ def selected_lines(docs: DataFrame, doc_key: str, text_col: str, min_run: int, m
         if length < min_run:
             words = lambda s: F.aggregate(F.slice("n_words", s + 1, length), F.lit(0), lambda a, n: a + n)
             starts = F.filter(starts, lambda s: words(s) >= min_words)
-        own = (lambda s: F.element_at("run_hash", s + 1)) if length == min_run else (lambda s: F.xxhash64(F.slice("h", s + 1, length)))
+        own = {name: (lambda s, c=c: F.xxhash64(F.slice(c, s + 1, length))) for name, c in (("run_hash", "h"), ("run_check", "g"))}
         return F.transform(
             starts,
-            lambda s: F.struct(s.alias("start"), own(s).alias("run_hash"), F.slice("at", s + 1, length).alias("at")),
+            lambda s: F.struct(s.alias("start"), *[f(s).alias(name) for name, f in own.items()], F.slice("at", s + 1, length).alias("at")),
         )
 
     runs = F.concat(*[around(length) for length in range(1 if short else min_run, min_run + 1)])
@@ -114,9 +117,9 @@ def repeated_lines(
     runs = marks.join(common, "hash", "left_semi").select("key", F.explode("runs").alias("run"))
     runs = stored(runs.select("key", "run.*").distinct(), "line-runs")
     place = F.struct("key", "start")
-    firsts = runs.groupBy("run_hash").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = stored(firsts.where("n > 1").select("run_hash", "first"), "first-runs")
-    later = runs.join(firsts, "run_hash").where(place > F.col("first"))
+    firsts = runs.groupBy("run_hash", "run_check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("n > 1").select("run_hash", "run_check", "first"), "first-runs")
+    later = runs.join(firsts, ["run_hash", "run_check"]).where(place > F.col("first"))
     return later.select("key", F.explode("at").alias("line")).groupBy("key").agg(F.collect_set("line").alias("gone"))
 
 
@@ -125,13 +128,14 @@ def dedup_lines(
     doc_key: str = "doc_id",
     text_col: str = "text",
     min_run: int = MIN_RUN,
-    broadcast_lines: int = BROADCAST_LINES,
+    broadcast_bytes: int = BROADCAST_BYTES,
     min_words: int | None = None,
 ) -> DataFrame:
     """Every row of `docs`, its text without later repeats; adds `n_lines` (lines that take part) and `n_deleted`."""
     gone = stored(repeated_lines(docs, doc_key, text_col, min_run, min_words), "lines-gone")
-    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast_lines
-    gone = F.broadcast(gone) if few else gone
+    # A row takes about 100 bytes besides its numbers.
+    small = (gone.agg(F.sum(100 + 4 * F.size("gone"))).first()[0] or 0) <= broadcast_bytes
+    gone = F.broadcast(gone) if small else gone.hint("merge")
     # The caller's columns travel in one struct, so their names can't clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.col("row")[text_col]
