@@ -16,8 +16,8 @@ batch, with the model broadcast (a fixed number of parameters).
 
 Defined edge results: null and empty texts have no words and zero statistics, and are scored like any other
 text; a null n_chars is taken as the text's length; without any label every score is 0.5; rows with a
-null doc_id are held out and scored; of several labels of one doc_id the least counts; other columns
-pass through.
+null doc_id are held out and scored; of several labels of one doc_id the least counts, of several rows of one doc_id
+the least text is learnt from; other columns pass through.
 """
 
 from __future__ import annotations
@@ -168,8 +168,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             })
 
     # At most about `sample_docs` rows of two numbers: small by construction, so they are broadcast.
-    chosen = docs.join(F.broadcast(known), "doc_id")
-    chosen = chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("double").alias("n_chars"), F.col("__quality").cast("int").alias("quality"))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
+    chosen = chosen.join(F.broadcast(known), "doc_id").groupBy("doc_id", F.col("__quality").cast("int").alias("quality"))
+    # One row for each doc_id, however often it is repeated.
+    chosen = chosen.agg(F.min(F.struct("text", "n_chars")).alias("least")).select("doc_id", "least.text", "least.n_chars", "quality")
     found = chosen.mapInPandas(extract, "doc_id bigint, places binary, weights binary, quality int").toPandas().sort_values(["doc_id", "quality"])
     return fit([
         (np.frombuffer(p, np.int32).astype(np.int64), np.frombuffer(w, np.float32), int(q))
