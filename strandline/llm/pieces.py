@@ -38,15 +38,52 @@ SIGNS = ".,;:!?%&$#*|"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
 
+#: Numbers of the trainer's settings in a model file and of the model type in them, and the types known here.
+TRAINER, MODEL_TYPE = 2, 3
+KINDS = {1: "unigram", 2: "bpe"}
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def kind_of(model: bytes) -> str:
+    """The kind of a serialized model, `unigram` if it names none."""
+    trainer = next((value for field, value in _fields(model) if field == TRAINER), b"")
+    number = next((value for field, value in _fields(trainer) if field == MODEL_TYPE), 1)
+    if number not in KINDS:
+        raise ValueError(f"model type {number} is neither unigram nor BPE")
+    return KINDS[number]
+
+
 class Pieces:
-    """Encoder and decoder of one model file; `kind` is `bpe` or `unigram`."""
+    """Encoder and decoder of one model file; its `kind`, `bpe` or `unigram`, is read from the file if not given."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str, kind: str | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.piece_size()
-        self.kind, self.unknown = kind, model.unk_id()
+        self.kind, self.unknown = kind or kind_of(model.serialized_model_proto()), model.unk_id()
         names = [model.id_to_piece(i) for i in range(size)]
         self.scores = [model.get_score(i) for i in range(size)]
         self.byte_ids = [0] * 256
@@ -285,16 +322,16 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_PIECES: dict[tuple[str, str], Pieces] = {}
+_PIECES: dict[tuple[str, str | None], Pieces] = {}
 
 
-def _pieces(path: str, kind: str) -> Pieces:
+def _pieces(path: str, kind: str | None) -> Pieces:
     if (path, kind) not in _PIECES:
         _PIECES[path, kind] = Pieces(path, kind)
     return _PIECES[path, kind]
 
 
-def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe", text: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, kind: str | None = None, text: str = "text") -> DataFrame:
     """Every row of `docs` with `ids`."""
 
     @F.pandas_udf("array<int>")
@@ -305,7 +342,7 @@ def encode_texts(docs: DataFrame, model_path: str, kind: str = "bpe", text: str
     return docs.withColumn("ids", encoded(text))
 
 
-def decode_ids(rows: DataFrame, model_path: str, kind: str = "bpe", ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode_ids(rows: DataFrame, model_path: str, kind: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Every row of `rows` with the text of its ids."""
 
     @F.pandas_udf("string")
@@ -316,7 +353,7 @@ def decode_ids(rows: DataFrame, model_path: str, kind: str = "bpe", ids: str = "
     return rows.withColumn(out, decoded(ids))
 
 
-def encoded_documents(docs: DataFrame, model_path: str, kind: str = "bpe", slice_docs: int = 250) -> DataFrame:
+def encoded_documents(docs: DataFrame, model_path: str, kind: str | None = None, slice_docs: int = 250) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip): ids, and whether decoding them gives the text again.
 
     One pass; results leave a task in slices of `slice_docs` documents, so that no batch of long id arrays builds up.
@@ -333,8 +370,8 @@ def encoded_documents(docs: DataFrame, model_path: str, kind: str = "bpe", slice
 
     # A struct keeps null ids out of float columns.
     rows = docs.select(F.struct(F.col("doc_id")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    kind_of = dict(docs.dtypes)["doc_id"]
-    found = rows.mapInPandas(work, f"key struct<doc_id:{kind_of}>, ids array<int>, n_ids bigint, round_trip boolean")
+    id_type = dict(docs.dtypes)["doc_id"]
+    found = rows.mapInPandas(work, f"key struct<doc_id:{id_type}>, ids array<int>, n_ids bigint, round_trip boolean")
     return found.select("key.doc_id", "ids", "n_ids", "round_trip")
 
 
