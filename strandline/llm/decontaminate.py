@@ -2,15 +2,17 @@
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z is lower-cased. A benchmark window is
 `width` consecutive words of an item; an item of fewer words, but not none, is one window. Windows are
-hashed on both sides in the same way, the benchmark's hashes are broadcast when their number is within
-`broadcast_rows` (counted first; beyond it the join is shuffled), all document windows are scanned
-against them, and each hit is verified word by word before it counts.
+hashed on both sides in the same way, the benchmark's distinct hashes (a dozen bytes each) are broadcast when their number
+is within `broadcast_rows` (counted first; beyond it the join is shuffled), all document windows, of all
+widths at once, are scanned against them, and each hit is verified word by word before it counts. Words of windows and item
+ids meet the hits only, not the documents.
 
 Hashes of long windows are built by doubling: the hash of 2w words combines two hashes of w words, so a
 document of n words costs a few passes over arrays of n longs, and no window text is ever built.
 
 Defined edge results: null or empty texts and texts without words have no windows and no hits; null
-benchmark texts are ignored; rows that repeat a doc_id are each checked on their own text; null doc_ids
+benchmark texts are ignored, null item ids name no item but their windows count; rows that repeat a doc_id are each checked
+on their own text (hits are kept by doc_id and a hash of the text, so rows without an id don't meet, either); null doc_ids
 are kept; other columns pass through untouched, also when their names clash with internal ones (internal
 columns and the caller's never share a row's top level); a column named like an added one is replaced.
 """
@@ -26,9 +28,10 @@ WIDTH = 10
 #: What separates words, as a Java regular expression.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 2_000_000
-#: Hits (about a hundred bytes each) up to which they are broadcast to the documents.
-BROADCAST_HITS = 500_000
+#: Distinct window hashes up to which they are broadcast; each is a long and an int, about 50 bytes in the table of a join.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of hits (their words and item ids counted) up to which they are broadcast to the documents.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -83,15 +86,20 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return cut.groupBy("width", "window_words").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
 
 
-def hashed_windows(windows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Stored windows with a `hash` column, and the number of windows of each width (at most `width` entries)."""
+def hashed_windows(windows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Stored windows with a `hash` column, and their distinct widths (at most `width` of them)."""
     windows = stored(windows, "windows")
-    counted = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
     hashed = windows.withColumn("hash", F.lit(None).cast("long")).limit(0)
-    for width in sorted(counted):
+    for width in widths:
         side, names = with_window_hashes(windows.where(F.col("width") == width), "window_words", [width])
         hashed = hashed.union(side.select(*windows.columns, F.col(names[width])[0].alias("hash")))
-    return stored(hashed, "hashed-windows"), counted
+    return stored(hashed, "hashed-windows"), widths
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that repeat a doc key or have none."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("text_hash"))
 
 
 def find_windows(
@@ -101,25 +109,36 @@ def find_windows(
     text_col: str,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame | None:
-    """Candidate hits by hash: one row per key with `__hits`, an array of (at, width, window_words, item_ids).
+    """Candidate hits by hash: one row per key with `hits`, an array of (at, width, window_words, item_ids).
 
     None if the benchmark has no window at all.
     """
-    windows, counted = hashed_windows(windows)
-    if not counted:
+    windows, widths = hashed_windows(windows)
+    if not widths:
         return None
-    small = sum(counted.values()) <= broadcast_rows
-    scan = docs.select(F.col(doc_key).alias("__key"), words(F.col(text_col)).alias("__w"))
-    scan, names = with_window_hashes(scan, "__w", sorted(counted))
-    found = None
-    for width, name in names.items():
-        # The outer form: the inner one adds a filter on the array's size that repeats the whole expression.
-        rows = scan.select("__key", F.posexplode_outer(name).alias("at", "hash"))
-        side = windows.where(F.col("width") == width)
-        hit = rows.join(F.broadcast(side) if small else side, "hash")
-        found = hit if found is None else found.unionByName(hit)
+    hashes = windows.select("hash", "width").distinct()
+    small = hashes.count() <= broadcast_rows
+    scan = docs.select(_key(F.col(doc_key), F.col(text_col)).alias("key"), words(F.col(text_col)).alias("__w"))
+    scan, names = with_window_hashes(scan, "__w", widths)
+    # The windows of all widths in one array; a window's width tells where its part of the array begins.
+    n = F.size("__w")
+    every = F.flatten(F.array(*[F.col(names[w]) for w in widths])) if len(widths) > 1 else F.col(names[widths[0]])
+    # The outer form: the inner one adds a filter on the array's size that repeats the whole expression.
+    rows = scan.select("key", n.alias("n"), F.posexplode_outer(every).alias("place", "hash"))
+    found = rows.join(F.broadcast(hashes) if small else hashes, "hash")
+
+    def windows_of(width: int) -> Column:
+        return F.greatest(F.col("n") - (width - 1), F.lit(0))
+
+    at, before = F.lit(-1), F.lit(0)
+    for width in widths:
+        own = F.col("place") - before
+        at = F.when((F.col("width") == width) & (own >= 0) & (own < windows_of(width)), own).otherwise(at)
+        before = before + windows_of(width)
+    found = stored(found.select("key", "hash", "width", at.alias("at")).where("at >= 0").distinct(), "found")
+    found = found.join(windows, ["hash", "width"])
     hits = F.collect_set(F.struct("at", "width", "window_words", "item_ids"))
-    return found.groupBy("__key").agg(hits.alias("__hits"))
+    return found.groupBy("key").agg(hits.alias("hits"))
 
 
 def decontaminate(
@@ -129,7 +148,7 @@ def decontaminate(
     doc_key: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_hits: int = BROADCAST_HITS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Every row of `docs` with its verified hits.
 
@@ -142,10 +161,12 @@ def decontaminate(
     if hits is None:
         out = out.withColumn("hits", F.array().cast("array<struct<at:int,width:int,window_words:array<string>,item_ids:array<bigint>>>"))
     else:
-        hits = stored(hits.withColumnsRenamed({"__key": "key", "__hits": "hits"}), "hits")
-        few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= broadcast_hits
-        hits = F.broadcast(hits) if few else hits
-        out = out.join(hits, F.col("row")[doc_key].eqNullSafe(hits["key"]), "left").drop("key")
+        hits = stored(hits, "hits")
+        one = F.aggregate("hits", F.lit(0), lambda s, h: s + 100 + 16 * F.size(h["window_words"]) + F.octet_length(F.array_join(h["window_words"], "")) + 24 * F.size(h["item_ids"]))
+        small = (hits.agg(F.sum(100 + one.cast("long"))).first()[0] or 0) <= broadcast_bytes
+        hits = F.broadcast(hits) if small else hits.hint("merge")
+        same = F.col("row")[doc_key].eqNullSafe(F.col("key.id")) & (F.xxhash64(F.col("row")[text_col]) == F.col("key.text_hash"))
+        out = out.join(hits, same, "left").drop("key")
     verified = F.filter("hits", lambda h: F.slice(F.col("w"), h["at"] + 1, h["width"]) == h["window_words"])
     out = out.withColumn("hits", F.when(F.col("hits").isNotNull(), verified))
     ordered = F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["width"]).alias("end"))))

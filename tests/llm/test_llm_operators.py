@@ -229,8 +229,8 @@ def slow_lines(rows, least=3):
 def test_lines_against_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [r for r in TEXTS if r[0] != 2] + [(100 + k, "\n".join(rng.choice(list("abcd"), rng.integers(0, 14)))) for k in range(40)]
-    for broadcast_lines in (10**6, 0):
-        got = dedup_lines.dedup_lines(frame(spark, rows), broadcast_lines=broadcast_lines)
+    for broadcast_bytes in (10**8, 0):
+        got = dedup_lines.dedup_lines(frame(spark, rows), broadcast_bytes=broadcast_bytes)
         got = got.select("doc_id", "text", "n_lines", "n_deleted").collect()
         assert counted(tuple(r) for r in got) == counted(slow_lines(rows))
 
@@ -299,10 +299,11 @@ def slow_hits(rows, items, width=10):
 def test_decontamination_against_brute_force(spark, broadcast_rows):
     items = [(1, "A b, C d e f g h i j k l"), (2, "one"), (3, None), (4, "..."), (5, "two dogs slept"), (6, "b c d e f g h i j k"), (60, " ".join(LONG.split()[100:150]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = frame(spark)
-    got = decontaminate.decontaminate(docs, bench, broadcast_rows=broadcast_rows, broadcast_hits=broadcast_rows)
+    texts = TEXTS + [(None, "a b c d e f g h i j k l"), (None, "two dogs slept"), (2, "one by one"), (50, "dogs, slept")]
+    docs = frame(spark, texts)
+    got = decontaminate.decontaminate(docs, bench, broadcast_rows=broadcast_rows, broadcast_bytes=broadcast_rows * 100)
     rows = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()]
-    assert counted(rows) == counted(slow_hits(TEXTS, items))
+    assert counted(rows) == counted(slow_hits(texts, items))
     assert set(docs.columns) <= set(got.columns)
 
 
@@ -325,6 +326,13 @@ def sentencepiece_of(kind):
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "\n", "\n\na", "a\n b", " \n ", "▁x", "é日本𠮷", "\t\ta", "x" * 300, "😀😀 ok", "a\r\nb", "llll rrrr", "▁▁ ▁", LONG[:3000]]
 
 
+def test_kind_is_read_from_the_model_file():
+    model = sentencepiece_of("bpe").serialized_model_proto()
+    assert pieces.kind_of(model) == "bpe" and pieces.kind_of(b"") == pieces.kind_of(b"\x12\x02\x18\x01") == "unigram"
+    with pytest.raises(ValueError):
+        pieces.kind_of(b"\x12\x02\x18\x03")
+
+
 def test_pieces_equal_the_library(spark):
     library, own = sentencepiece_of("bpe"), pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)
@@ -377,6 +385,20 @@ def test_quality_learns_and_scores_everything(spark):
     assert quality.with_scores(docs, quality.learn(docs, labels.limit(0))).where("quality_score <> 0.5").count() == 0
 
 
+def test_quality_of_the_given_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    found = quality.op5_quality(spark, folder).join(labels, "doc_id").where("held_out and quality is not null").toPandas()
+    assert len(found) > 20 and (found["predicted"] == found["quality"]).mean() > 0.9
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs = documents(spark, [(i, f"word{i % 9} other words") for i in range(40)] + [(1, "zzz")] * 30)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = documents(spark, [(i, f"word{i % 9} other words") for i in range(40)])
+    assert np.array_equal(quality.learn(docs, labels).weights, quality.learn(once, labels).weights)
+
+
 def test_machine_scores_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=40), rng.normal(size=(40, quality.FACTORS)), np.zeros(quality.STATS), np.ones(quality.STATS))
