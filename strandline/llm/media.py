@@ -5,6 +5,9 @@ text blocks and `<img src="sha256:...">` references, whose `<figcaption>` is the
 stored by the digest of their stored form. A reference is resolved by a join on the digest; positions and captions stay in
 the segment, so the order of a document never depends on the join.
 
+A document's page (`document_pages`) has a heading, a paragraph for each line of the text and, after the first of them, the
+figure of the document's media with its caption.
+
 Texts become media losslessly: UTF-8 bytes, zero bytes up to a positive multiple of 64, stored as a
 binary grey map (`P5`), 64 samples of 8 bits in a row. Digest, size and features are computed from the stored bytes as
 read back.
@@ -162,36 +165,56 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, features: DataFrame, key: str = "doc_id", segments: str = "segments") -> DataFrame:
-    """One row for each media segment: key, position, caption, n_bytes, digest, and the media's columns."""
-    flat = pages.select(key, F.explode(segments).alias("s")).where("s.kind = 'media'")
-    flat = flat.select(key, "s.position", "s.caption", "s.n_bytes", "s.digest")
+    """One row for each media segment: key, position, caption, n_bytes, digest, n_segments, texts_sha256, and the media's columns."""
+    texts = F.transform(F.filter(segments, lambda s: s["kind"] == "text"), lambda s: s["text"])
+    media = F.filter(segments, lambda s: s["kind"] == "media")
+    whole = pages.select(key, F.size(segments).alias("n_segments"), F.sha2(F.array_join(texts, "\n"), 256).alias("texts_sha256"), media.alias("m"))
+    flat = whole.select(key, "n_segments", "texts_sha256", F.explode("m").alias("s"))
+    flat = flat.select(key, "s.position", "s.caption", "s.n_bytes", "s.digest", "n_segments", "texts_sha256")
     return stored(flat, "media-references").join(stored(features, "media-features"), "digest", "left")
 
 
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, html, digest, media) of each document, written to the shared folder and read back.
+    """(key, digest, media) of each document, written to the shared folder and read back.
 
-    The HTML refers to the document's media by digest, with a caption. Copies of a text are stored with
-    each copy; what is read per digest is the same.
+    Copies of a text are stored with each copy; what is read per digest is the same.
     """
-    named = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"), grey_map(F.col(text)).alias("media"))
-    named = named.withColumn("digest", F.sha2("media", 256))
-    html = F.format_string(
-        f'<article><h1>Document</h1><figure><img src="{SCHEME}%s" data-bytes="%d"><figcaption>Text of %d bytes</figcaption></figure></article>',
-        "digest", "n", "n",
-    )
+    named = docs.select(F.col(key).alias("doc_id"), grey_map(F.col(text)).alias("media"))
     path = scratch_path(docs.sparkSession, "media")
-    named.select("doc_id", html.alias("html"), "digest", "media").write.option("compression", "zstd").parquet(path)
+    named.select("doc_id", F.sha2("media", 256).alias("digest"), "media").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def document_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, html): each document as an interleaved page, which refers to its media by digest."""
+    safe = F.coalesce(F.col(text), F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(sign), F.lit(name))
+    figure = F.format_string(
+        f'<figure><img src="{SCHEME}%s" data-bytes="%d"><figcaption>Text of %d bytes</figcaption></figure>', "digest", "n", "n"
+    )
+    lines = F.split("safe", "\n")
+    html = F.concat(
+        F.lit("<article><h1>Document</h1><p>"), lines[0], F.lit("</p>"), figure,
+        F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""),
+        F.lit("</article>"),
+    )
+    n = F.coalesce(F.octet_length(text), F.lit(0))
+    rows = docs.select(F.col(key).alias("doc_id"), n.alias("n"), F.sha2(grey_map(F.col(text)), 256).alias("digest"), safe.alias("safe"))
+    return rows.select("doc_id", html.alias("html"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every document's media reference with what its stored media hold."""
+    """Query: every document's media reference with what its stored media hold, and the sequence it stands in.
+
+    `position` is the reference's place among the `n_segments` of the document's page, `texts_sha256` the digest of the
+    page's text segments, in order, joined by line feeds.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     written = with_media(docs)
-    pages = parse_pages(written.select("doc_id", "html"))
+    pages = parse_pages(document_pages(docs))
     found = resolve(pages, media_features(written))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "position", "caption",
+        "position", "caption", "n_segments", "texts_sha256",
     )
