@@ -10,7 +10,7 @@ to the 44th word are fixed; where a sentence cut off by the passage's end has up
 words, so that the text around it decides whether it is cut, its stop takes the place of the cut. From
 each sentence on, the span is the shortest run of two or more sentences with at least `min_words` words;
 its hash is that of its words, lower-cased (white space plays no part). All spans are joined by hash over
-the whole table: the occurrence that comes first (by document, then position) stays, and every sentence
+the whole table: the occurrence that comes first (by document, then text hash, then position) stays, and every sentence
 that any other occurrence covers is removed.
 
 Hashes have 96 bits, so no span is removed for a chance collision. Occurrences are matched with the first of their hash only, an aggregate
@@ -18,8 +18,8 @@ that combines on the map side; the join is between written tables, so a span tha
 share is split by adaptive execution. No group is collected.
 
 Defined edge results: null texts stay null; empty texts and texts with a single sentence have no span;
-rows that repeat a doc_id keep what they share with one another, as none of them comes first; a null
-doc_id comes first in order; other columns pass through.
+rows that repeat a doc_id with the same text count as one document (equal rows get equal results), with another text
+as separate documents in order of the text's hash; a null doc_id comes first in order; other columns pass through.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def _spans(min_words: int):
 
 
 def repeated_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, i, j, start, end, first_id): one row for each later occurrence.
+    """(key, i, j, start, end, first_id): a row for each later occurrence (two if documents of its own id hold it, too).
 
     `i` and `j` are the first and last sentence, `start` and `end` positions in words; `first_id` is the document
     of the first occurrence.
@@ -162,7 +162,16 @@ def repeated_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text",
     firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").drop("n"), "first-spans")
     again = F.col("size").bitwiseAND(F.lit(1)) == 1
-    later = found.join(firsts, ["h1", "h2"]).where(again | (F.col("id") > F.col("first_id")))
+    columns = ["id", "text_hash", "place", "size", "first_id"]
+    later = found.join(firsts, ["h1", "h2"]).where(again | (F.col("id") > F.col("first_id"))).select(columns)
+    # Different texts of one id, as a rule none: the one of the least hash comes first.
+    ids = rows.groupBy("key.id").agg(F.min("key.text_hash").alias("least"), F.max("key.text_hash").alias("most"))
+    ids = stored(ids.where("least < most").select("id"), "ids-of-several-texts")
+    if not ids.isEmpty():
+        twins = stored(found.join(ids, "id"), "spans-of-several-texts")
+        least = twins.groupBy("id", "h1", "h2").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1")
+        more = twins.join(least, ["id", "h1", "h2"]).where("text_hash > least")
+        later = later.union(more.withColumn("first_id", F.col("id")).select(columns))
     i, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     j = i + F.shiftright("size", 33).cast("int")
     end = start + F.shiftright(F.col("size").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int")
@@ -198,31 +207,47 @@ def without_words(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def dedup_spans(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of `docs`, its text without the sentences of later spans; adds `n_removed_words`."""
+#: Bytes of runs up to which they are broadcast to the documents.
+BROADCAST_BYTES = 32 << 20
+
+
+def dedup_spans(
+    docs: DataFrame, doc_key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Every row of `docs`, its text without the sentences of later spans; adds `n_removed_words` and `removed`.
+
+    `removed` holds the runs that went: (start, end, first_sentence, last_sentence, first_ids), empty in an untouched document.
+    """
     runs = removed_runs(docs, doc_key, text, min_words)
-    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__runs"))
-    runs = stored(runs.withColumnRenamed("__runs", "runs"), "runs")
+    run = F.struct("start", "end", "first_sentence", "last_sentence", "first_ids")
+    runs = stored(runs.groupBy("key").agg(F.array_sort(F.collect_list(run)).alias("runs")), "runs")
+    size = F.aggregate("runs", F.lit(100), lambda s, r: s + 60 + 8 * F.size(r["first_ids"]))
+    small = (runs.agg(F.sum(size.cast("long"))).first()[0] or 0) <= broadcast_bytes
+    runs = F.broadcast(runs) if small else runs.hint("merge")
     # The caller's columns travel in one struct, so their names can't clash with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     own_id = F.coalesce(F.col("row")[doc_key].cast("long"), F.lit(NO_ID))
     out = rows.join(runs, (own_id == F.col("key.id")) & (F.xxhash64(F.col("row")[text]) == F.col("key.text_hash")), "left")
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, runs_of: pd.Series) -> pd.Series:
-        return pd.Series([
-            t if r is None else without_words(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(texts, runs_of)
-        ])
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else without_words(t, list(zip(s, e))) for t, s, e in zip(texts, starts, ends)], dtype=object)
 
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    added = {text: cut(F.col("row")[text], F.col("runs")), "n_removed_words": F.coalesce(gone, F.lit(0).cast("long"))}
+    none = F.array().cast(runs.schema["runs"].dataType)
+    added = {
+        text: cut(F.col("row")[text], F.col("runs.start"), F.col("runs.end")),
+        "n_removed_words": F.coalesce(gone, F.lit(0).cast("long")),
+        "removed": F.coalesce("runs", none),
+    }
     own = [added.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
     return out.select(*own, *[column.alias(name) for name, column in added.items() if name not in docs.columns])
 
 
 def op2_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every removed run of sentences, with the documents that hold its spans' first occurrences."""
+    """Query: every document that loses sentences, its text without them, and the runs that went.
+
+    Documents that keep their whole text are not repeated here; `dedup_spans` returns them, too.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removed_runs(docs).select(
-        F.nullif(F.col("key.id"), F.lit(NO_ID)).alias("doc_id"), "start", "end", "first_sentence", "last_sentence", "first_ids"
-    )
+    return dedup_spans(docs).where("n_removed_words > 0")

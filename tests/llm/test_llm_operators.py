@@ -159,6 +159,32 @@ def slow_spans(rows, min_words=dedup_spans.MIN_WORDS):
     return found
 
 
+def slow_sentences(text):
+    """Ends of sentences, each window of words looked at by itself."""
+    words, ends = [], set()
+    for line in text.lower().split("\n"):
+        sentence = []
+        for k, w in enumerate(line.split()):
+            words.append(w)
+            sentence.append(zlib.crc32(w.encode()))
+            if w[-1] in ".!?" or k == len(line.split()) - 1:
+                ends.add(len(words))
+                if len(sentence) > dedup_spans.LONG_SENTENCE:
+                    for a in range(len(sentence) - dedup_spans.CUT_WINDOW + 1):
+                        window = sentence[a : a + dedup_spans.CUT_WINDOW]
+                        last = max(b for b, h in enumerate(window) if h == min(window))
+                        ends.add(len(words) - len(sentence) + a + last + 1)
+                sentence = []
+    return words, sorted(ends)
+
+
+def test_sentences_against_a_slow_cutter():
+    rng = np.random.default_rng(12)
+    texts = [t for _, t in TEXTS if t] + ["\n".join(" ".join(rng.choice(WORDS, rng.integers(0, 50))) + rng.choice([".", "", "!"]) for _ in range(6)) for _ in range(200)]
+    for t in texts:
+        assert dedup_spans.sentences(t) == slow_sentences(t)
+
+
 def test_spans_against_brute_force(spark):
     rows = [r for r in TEXTS if r[0] is not None and r[0] != 2]
     got = {}
@@ -175,6 +201,15 @@ def test_spans_cleaned_texts_and_edge_cases(spark):
     assert dedup_spans.dedup_spans(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [10**8, 0])
+def test_spans_of_rows_that_share_an_id(spark, broadcast_bytes):
+    rows = [(None, "One. " + PASSAGE), (None, PASSAGE + " Two."), (5, PASSAGE + " Three here."), (5, PASSAGE + " Three here."), (5, "Four. " + PASSAGE)]
+    got = [(r["doc_id"], r["n_removed_words"] > 0, len(r["removed"])) for r in dedup_spans.dedup_spans(frame(spark, rows), broadcast_bytes=broadcast_bytes).collect()]
+    assert sum(x[1] for x in got if x[0] is None) == 1 and sum(x[1] for x in got if x[0] == 5) == 3
+    own = [(5, PASSAGE + " Three here."), (5, PASSAGE + " Three here."), (5, "Four. " + PASSAGE)]
+    assert len({(r["text"], r["n_removed_words"] > 0) for r in dedup_spans.dedup_spans(frame(spark, own)).collect()}) == 2
+
+
 def test_passage_within_other_text_is_found(spark):
     passage = " ".join(f"{WORDS[k % 20]}{k}" for k in range(55))
     rows = [(1, "some words before it " + passage + " and others after"), (2, "quite another beginning " + passage + " ends so"), (3, "nothing of it")]
@@ -412,17 +447,31 @@ def test_machine_scores_pairs_in_linear_time():
 
 def test_media_against_plain_hashing(spark):
     docs = frame(spark)
-    written = media.with_media(docs)
-    found = media.resolve(media.parse_pages(written.select("doc_id", "html")), media.media_features(written)).collect()
-    assert len(found) == len(TEXTS)
+    texts = TEXTS + [(70, "<p>a & b</p> &amp; &lt\n<img src='x'>\n\n  c \x00 d\r\ne"), (71, "&"), (72, "\n\nx")]
+    docs = frame(spark, texts)
+    found = media.resolve(media.parse_pages(media.document_pages(docs)), media.media_features(media.with_media(docs))).collect()
+    assert len(found) == len(texts)
     want = []
-    for i, t in TEXTS:
+    for i, t in texts:
         raw = (t or "").encode()
         payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
         stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
-        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
-    got = [tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) for r in found]
-    assert counted(got) == counted(want)
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        parts = ["Document", *filter(None, lines)]
+        sequence = (1 + bool(lines[0]), f"Text of {len(raw)} bytes", len(parts) + 1, hashlib.sha256("\n".join(parts).encode()).hexdigest())
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), *sequence))
+    columns = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 position caption n_segments texts_sha256".split()
+    assert counted(tuple(r[c] for c in columns) for r in found) == counted(want)
+    none = frame(spark, [])
+    assert media.resolve(media.parse_pages(media.document_pages(none)), media.media_features(media.with_media(none))).count() == 0
+
+
+def test_segments_of_the_given_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = media.parse_pages(pages).collect()
+    assert len(rows) == pages.count() and any(len(r["segments"]) > 3 for r in rows)
+    for r in rows:
+        assert [s["position"] for s in r["segments"]] == list(range(len(r["segments"])))
 
 
 def test_segments_keep_order_and_captions(spark):
