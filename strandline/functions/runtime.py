@@ -10,16 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Only where the cluster names none (a local session, tests) is a temporary folder made and
-    put into the session's settings.
+    Only in a local session that names none (tests) is a temporary folder made and put into the
+    session's settings; on a cluster executors could not see it, so a missing setting is refused there.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip("/")
@@ -27,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; no two calls give the same one."""
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -43,10 +48,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system API (works for any store)."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def drop_tables(spark: SparkSession, keep: str | None = None) -> int:
+    """Delete this application's intermediate tables, but for those whose path begins with `keep`; returns how many went.
+
+    For use between jobs: results that have not been written yet still read them.
+    """
+    gone = [p for p in _WRITTEN if not (keep and p.startswith(keep))]
+    for path in gone:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        _WRITTEN.remove(path)
+    return len(gone)
 
 
 _SHIPPED: set[str] = set()

@@ -13,31 +13,54 @@ from pyspark.sql.window import Window
 from strandline.functions.runtime import stored
 
 
-def exact_quantile(df: DataFrame, column: str, p: float, weight: str | None = None) -> float | None:
+#: Distinct values that are put in order by one window.
+FEW_VALUES = 100_000
+
+
+def exact_quantile(df: DataFrame, column: str, p: float, weight: str | None = None, few: int = FEW_VALUES) -> float | None:
     """The p-quantile with linear interpolation between neighbours; rows may carry an integer weight.
 
-    An approximate quantile brackets the wanted ranks first, so that only the values within the bracket
-    (about a five-hundredth) are sorted exactly.
+    Approximate quantiles cut the values into ranges whose exact weights are counted; the ranges of the wanted ranks are
+    cut again until they hold few values, which alone are put in order.
     """
     w = F.col(weight) if weight else F.lit(1)
     some = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), w.cast("long").alias("w")).where("w > 0")
     some = stored(some, "quantile")
-    steps = [max(0.0, p - 0.001), min(1.0, p + 0.001)]
-    got = some.agg(F.sum("w").alias("n"), F.percentile_approx("x", steps, 100_000).alias("q")).first()
-    if not got["n"]:
+    n = some.agg(F.sum("w")).first()[0]
+    if not n:
         return None
-    at = (got["n"] - 1) * p
+    at = (n - 1) * p
     ranks = [math.floor(at), math.ceil(at)]
-    # With weights the bracket of unweighted ranks may miss; it is widened to everything if it does.
-    for low, high in ((got["q"][0], got["q"][1]), (-math.inf, math.inf)):
-        below = some.agg(F.coalesce(F.sum(F.when(F.col("x") < low, F.col("w"))), F.lit(0)).alias("b")).first()["b"]
-        inside = some.where(F.col("x").between(low, high)).groupBy("x").agg(F.sum("w").alias("w"))
-        upto = F.sum("w").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(below)
-        ranked = inside.select("x", upto.alias("upto"))
-        found = ranked.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"x{k}") for k, r in enumerate(ranks)]).first()
-        if below <= ranks[0] and found["x1"] is not None:
-            return found["x0"] + (found["x1"] - found["x0"]) * (at - ranks[0])
-    return None
+    inside, below = some, 0
+    while True:
+        # Ends of ranges; a value belongs to the first range whose end it does not exceed.
+        got = inside.agg(F.count("*").alias("rows"), F.percentile_approx("x", [k / 100 for k in range(101)], 1000).alias("cuts")).first()
+        cuts = sorted(set(got["cuts"]))
+        if got["rows"] <= few or len(cuts) == 1:
+            break
+        # The summary's ends may not be those of the column, so the outer ranges are open.
+        cuts = cuts[:-1]
+        number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x")))
+        sums = {r["k"]: r["n"] for r in inside.groupBy(number.alias("k")).agg(F.sum("w").alias("n")).collect()}
+        upto, wanted = below, []
+        for k in sorted(sums):
+            if any(upto <= r < upto + sums[k] for r in ranks):
+                wanted.append((k, upto))
+            upto += sums[k]
+        first, last = wanted[0], wanted[-1]
+        narrower = inside
+        if first[0] > 0:
+            narrower = narrower.where(F.col("x") > cuts[first[0] - 1])
+        if last[0] < len(cuts):
+            narrower = narrower.where(F.col("x") <= cuts[last[0]])
+        below = first[1]
+        if last[0] - first[0] + 1 >= len(sums):
+            break
+        inside = narrower
+    values = inside.groupBy("x").agg(F.sum("w").alias("w"))
+    ranked = values.select("x", (F.sum("w").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(below)).alias("upto"))
+    found = ranked.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"x{k}") for k, r in enumerate(ranks)]).first()
+    return found["x0"] + (found["x1"] - found["x0"]) * (at - ranks[0])
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "pval", q: str = "qval") -> DataFrame:

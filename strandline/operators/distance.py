@@ -42,11 +42,11 @@ def same_is_zero(d: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray) -> np.ndar
     return np.where(pos_a[:, None] == pos_b[None, :], 0.0, d)
 
 
-def block_pairs(vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, extra: list[str] | None = None, method="Euclidean") -> DataFrame:
+def block_pairs(vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, extra: list[str] | None = None, method="Euclidean", zero_self: bool = True) -> DataFrame:
     """Apply `fn(a, b, d)` to each pair of blocks a <= b: frames of the blocks' rows and their distances.
 
     Each block goes once to each of its pairs, by key, so blocks meet through an ordinary shuffle.
-    `method` is a name or a function of two arrays of vectors.
+    `method` is a name or a function of two arrays of vectors; a cell's own entry is 0 unless `zero_self` is off.
     """
     measure = method if callable(method) else lambda x, y: block_distance(x, y, method)
     last = vec.agg(F.max("pos")).first()[0] or 0
@@ -62,7 +62,7 @@ def block_pairs(vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, e
         if not len(a) or not len(b):
             return fn(a.iloc[:0], b.iloc[:0], np.zeros((0, 0)))
         d = measure(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()))
-        return fn(a, b, same_is_zero(d, a["pos"].to_numpy(), b["pos"].to_numpy()))
+        return fn(a, b, same_is_zero(d, a["pos"].to_numpy(), b["pos"].to_numpy()) if zero_self else d)
 
     return rows.groupBy("a", "b").applyInPandas(meet, schema)
 
@@ -154,51 +154,57 @@ def sts_cost(vec: DataFrame, method="Euclidean", block: int = BLOCK) -> DataFram
     return block_pairs(vec, partial, "c double", block, method=method).agg(F.sum("c").alias("cost"))
 
 
-def neighbour_weights(n: int, sigma: float = 1.0, rounds: int = 10) -> tuple[np.ndarray, int]:
-    """The weights exp(-(i - j)^2 / (sigma n)), normalised by columns and rows in turn and made symmetric, as a band.
+class Weights:
+    """The weights exp(-(i - j)^2 / (sigma n)), normalised by columns and rows in turn and made symmetric.
 
-    Row i of the band holds columns i-b..i+b; farther weights are below 1e-15.
+    Normalising only scales rows and columns, so two numbers for each cell say everything, and any part of the
+    matrix is made where it is needed. Weights further than `reach` from the diagonal are below 1e-15.
     """
-    b = min(max(n - 1, 0), math.ceil(math.sqrt(36 * sigma * n)))
-    offset = np.arange(-b, b + 1)
-    column = np.arange(n)[:, None] + offset[None, :]
-    inside = (column >= 0) & (column < n)
-    band = np.where(inside, np.exp(-(offset[None, :] ** 2) / (sigma * n)), 0.0)
-    safe = np.where(inside, column, 0)
-    for _ in range(rounds):
-        sums = np.bincount(safe[inside], weights=band[inside], minlength=n)
-        band = np.where(inside, band / sums[safe], 0.0)
-        band = band / band.sum(axis=1, keepdims=True)
-    mirrored = np.where(inside, band[safe, 2 * b - np.arange(2 * b + 1)[None, :]], 0.0)
-    return (band + mirrored) / 2, b
-
-
-def dense_band(band: np.ndarray, b: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The given rows and columns (from 0) of a band matrix."""
-    at = columns[None, :] - rows[:, None] + b
-    return np.where((at >= 0) & (at <= 2 * b), band[rows[:, None], np.clip(at, 0, 2 * b)], 0.0)
+
+    def __init__(self, n: int, sigma: float = 1.0, rounds: int = 10):
+        self.n, self.width = n, sigma * n
+        self.reach = min(max(n - 1, 0), math.ceil(math.sqrt(36 * sigma * n)))
+        size = 1 << (n + 2 * self.reach).bit_length()
+        kernel = np.zeros(size)
+        offset = np.arange(-self.reach, self.reach + 1)
+        kernel[offset] = np.exp(-(offset**2) / self.width)  # negative offsets wrap round
+        image = np.fft.rfft(kernel)
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            return np.fft.irfft(np.fft.rfft(x, size) * image, size)[:n]
+
+        self.row, self.column = np.ones(n), np.ones(n)
+        for _ in range(rounds):
+            self.column = 1 / spread(self.row)
+            self.row = 1 / spread(self.column)
+
+    def part(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """The given rows and columns (from 0)."""
+        gap = rows[:, None] - columns[None, :]
+        near = np.where(np.abs(gap) <= self.reach, np.exp(-(gap.astype(float) ** 2) / self.width), 0.0)
+        scales = np.outer(self.row[rows], self.column[columns]) + np.outer(self.column[rows], self.row[columns])
+        return near * scales / 2
 
 
 def neighbourhood_cost(vec: DataFrame, sigma: float = 1.0, method="Euclidean", form: str = "reported", block: int = BLOCK) -> DataFrame:
     """(cost): trace of D W W^T ('reported') or of D W ('internal', the cost that the sort lowers)."""
     n = vec.agg(F.max("pos")).first()[0] or 0
-    band, b = neighbour_weights(n, sigma)
-    shared = vec.sparkSession.sparkContext.broadcast(band)  # n rows of O(sqrt(sigma n)) numbers
+    shared = vec.sparkSession.sparkContext.broadcast(Weights(n, sigma))  # two numbers for each cell
 
     def partial(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         if not d.size:
             return pd.DataFrame({"c": [0.0]})
+        w = shared.value
         i, j = x["pos"].to_numpy() - 1, y["pos"].to_numpy() - 1
         if form == "internal":
-            w = dense_band(shared.value, b, i, j)
-            v = dense_band(shared.value, b, j, i)
-            cost = (d * w).sum() if _is_diagonal(x, y) else (d * w).sum() + (d.T * v).sum()
+            near = w.part(i, j)
         else:
-            low, high = max(0, max(i.min(), j.min()) - b), min(n - 1, min(i.max(), j.max()) + b)
-            both = np.arange(low, high + 1)
-            w = dense_band(shared.value, b, i, both) @ dense_band(shared.value, b, j, both).T
-            cost = (d * w).sum() * (1 if _is_diagonal(x, y) else 2)
-        return pd.DataFrame({"c": [float(cost)]})
+            low, high = max(0, max(i.min(), j.min()) - w.reach), min(n - 1, min(i.max(), j.max()) + w.reach)
+            near = np.zeros(d.shape)
+            for at in range(low, high + 1, block):
+                both = np.arange(at, min(high + 1, at + block))
+                near += w.part(i, both) @ w.part(j, both).T
+        return pd.DataFrame({"c": [float((d * near).sum()) * (1 if _is_diagonal(x, y) else 2)]})
 
     return block_pairs(vec, partial, "c double", block, method=method).agg(F.sum("c").alias("cost"))
 
@@ -226,60 +232,72 @@ def half_window(n: int, alpha: float) -> int:
     return int(math.ceil(n * alpha) / 2)
 
 
-def _centre_variance(row: np.ndarray, i: int, n: int, h: int, cyclic: bool, exclusion: str) -> float:
-    """Sample variance of a centre's window. row: distances to positions 1..n held at [position - 1]; i counts from 1."""
-    if not cyclic:
-        start, end = max(1, i - h), min(n, i + h)
-        window = row[start - 1 : end]
-        at = i - 1 if exclusion == "positional" else i - start
+def _windows(i: np.ndarray, n: int, h: int, cyclic: bool, exclusion: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, left out) position of the window of each centre i (from 1), on a line that goes on after n if cyclic; 0: none left out."""
+    if cyclic:
+        low = np.where(i - h < 1, n - i, n + i) if exclusion == "positional" else n + i - h
+        high, own = n + i + h, n + i
     else:
-        start = n - i if i - h < 1 else n + i
-        if exclusion != "positional":
-            start = n + i - h
-        index = np.arange(start, n + i + h + 1) - 1
-        window = row[index % n]
-        at = i - 1 if exclusion == "positional" else n + i - start
-    if 0 <= at < len(window):
-        window = np.delete(window, at)
-    return float(window.var(ddof=1)) if len(window) > 1 else float("nan")
+        low, high, own = np.maximum(1, i - h), np.minimum(n, i + h), i
+    out = low + i - 1 if exclusion == "positional" else own
+    return low, high, np.where((out >= low) & (out <= high), out, 0)
+
+
+def _partners(n: int, h: int, block: int, cyclic: bool, exclusion: str) -> Callable:
+    """Rows (own, other): the blocks that the windows of each block's centres reach."""
+    blocks = max(1, math.ceil(n / block))
+
+    def reached(batches):
+        for batch in batches:
+            for own in batch["id"]:
+                i = np.arange(own * block + 1, min(n, (own + 1) * block) + 1)
+                low, high, _ = _windows(i, n, h, cyclic, exclusion)
+                places = np.arange(low.min(), high.max() + 1, 1)
+                found = np.unique((places - 1) % n // block) if len(places) < n else np.arange(blocks)
+                yield pd.DataFrame({"own": np.full(len(found), own, np.int32), "other": found.astype(np.int32)})
+
+    return reached
 
 
 def local_variance(
-    vec: DataFrame, alpha: float = 0.3, data_type: str = "linear", method="Euclidean", exclusion: str = "positional", keys: list[str] | None = None
+    vec: DataFrame, alpha: float = 0.3, data_type: str = "linear", method="Euclidean", exclusion: str = "positional", keys: list[str] | None = None, block: int = BLOCK
 ) -> DataFrame:
     """(keys..., local_variance): for each centre the variance of its distances to the cells within half a window, summed.
 
-    A bucketed range join on rank: a bucket's task holds its centres and the cells within reach. By default the
+    A range join on rank in blocks: a task holds two blocks and gives, for each centre, the number, sum and sum of squares of the
+    distances in its window, which are added up over the blocks. By default the
     window's element with the centre's own number is left out, and the cyclic window is that of the method's definition;
     `exclusion='self'` leaves out the centre and takes a symmetric window. `keys` separates several orderings of the
     same number of cells.
     """
     keys = keys or []
+    spark = vec.sparkSession
     n = vec.agg(F.max("pos")).first()[0] or 0
     h, cyclic = half_window(n, alpha), data_type == "cyclical"
-    size = max(1, h)
-    buckets = max(1, math.ceil(n / size))
-    own = F.floor((F.col("pos") - 1) / size).cast("int")
-    if cyclic:
-        reach = F.sequence(F.lit(0), F.lit(buckets - 1))  # the low end's window wraps to any distance
-    else:
-        reach = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.lit(buckets - 1)))
-    rows = vec.select(*keys, "pos", "features", own.alias("own"), F.explode(reach).alias("bucket"))
+    pairs = spark.range(max(1, math.ceil(n / block))).mapInPandas(_partners(n, h, block, cyclic, exclusion), "own int, other int")
+    rows = vec.select(*keys, "pos", "features", F.floor((F.col("pos") - 1) / block).cast("int").alias("at"))
+    centres = rows.join(pairs.withColumn("at", F.col("own")), "at").withColumn("asks", F.lit(True))
+    around = rows.join(pairs.withColumn("at", F.col("other")), "at").withColumn("asks", F.lit(False))
     measure = method if callable(method) else lambda x, y: block_distance(x, y, method)
-
-    def variance(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, x = pdf["pos"].to_numpy(), np.stack(pdf["features"].to_numpy())
-        first, last = (1, n) if cyclic else (max(1, h), n - h)
-        centre = (pdf["own"] == pdf["bucket"]).to_numpy() & (pos >= first) & (pos <= last)
-        total = 0.0
-        if centre.any():
-            d = same_is_zero(measure(x[centre], x), pos[centre], pos)
-            row = np.full(n, np.nan)
-            for k, i in enumerate(pos[centre]):
-                row[pos - 1] = d[k]
-                total += _centre_variance(row, int(i), n, h, cyclic, exclusion)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"v": [total]})
-
-    schema = ", ".join([*(f"{k} {dict(vec.dtypes)[k]}" for k in keys), "v double"])
-    return rows.groupBy(*keys, "bucket").applyInPandas(variance, schema).groupBy(*keys).agg(F.sum("v").alias("local_variance"))
+    first, last = (1, n) if cyclic else (max(1, h), n - h)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"] & pdf["pos"].between(first, last)], pdf[~pdf["asks"]]
+        i, p = a["pos"].to_numpy(), b["pos"].to_numpy()
+        out = {k: np.full(len(i), pdf[k].iloc[0]) for k in keys} | {"pos": i}
+        if not len(i) or not len(p):
+            return pd.DataFrame(out | {"k": np.zeros(len(i)), "s": np.zeros(len(i)), "q": np.zeros(len(i))})
+        d = same_is_zero(measure(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy())), i, p)
+        low, high, gone = (x[:, None] for x in _windows(i, n, h, cyclic, exclusion))
+        times = np.zeros(d.shape)
+        for turn in range(3 if cyclic else 1):
+            place = p[None, :] + turn * n
+            times += (place >= low) & (place <= high) & (place != gone)
+        return pd.DataFrame(out | {"k": times.sum(axis=1), "s": (times * d).sum(axis=1), "q": (times * d * d).sum(axis=1)})
+
+    types = dict(vec.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "pos long, k double, s double, q double"])
+    found = centres.unionByName(around).groupBy(*keys, "own", "other").applyInPandas(sums, schema)
+    each = found.groupBy(*keys, "pos").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    variance = F.when(F.col("k") > 1, F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("k"), F.lit(0.0)) / (F.col("k") - 1)).otherwise(F.lit(float("nan")))
+    return each.groupBy(*keys).agg(F.sum(variance).alias("local_variance"))

@@ -39,8 +39,10 @@ def with_pseudotime(expr: DataFrame, ordering: DataFrame, genes: DataFrame | Non
 
 
 def annotate(ordering: DataFrame, cell_annot: DataFrame) -> DataFrame:
-    """The ordering with each cell's group; of several annotations of a cell the first by name counts."""
-    first = cell_annot.groupBy("cell_id").agg(F.min("group_id").alias("group_id"))
+    """The ordering with each cell's group; of several annotations of a cell the one of the least `nth` (its line) counts, without
+    such a column the first by name."""
+    order = F.struct("nth", "group_id") if "nth" in cell_annot.columns else F.col("group_id")
+    first = cell_annot.groupBy("cell_id").agg(F.min_by("group_id", order).alias("group_id"))
     return ordering.join(first, "cell_id", "left")
 
 

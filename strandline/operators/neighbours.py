@@ -77,6 +77,24 @@ def knn_of_queries(vec: DataFrame, queries: DataFrame, k: int, metric="Euclidean
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "cell_id", "dist", "nth")
 
 
+def distances_to(vec: DataFrame, queries: DataFrame, metric="Euclidean") -> DataFrame:
+    """(cell_id, dist): each cell's distances to all rows of `queries` (query, features), in order of `query`; the queries are few and broadcast."""
+    points = queries.select("query", "features").limit(QUERY_LIMIT + 1).collect()
+    if len(points) > QUERY_LIMIT:
+        raise ValueError(f"at most {QUERY_LIMIT} queries")
+    points = sorted(points, key=lambda p: p["query"])
+    shared = vec.sparkSession.sparkContext.broadcast(np.array([p["features"] for p in points], dtype=float).reshape(len(points), -1))
+    measure = metric if callable(metric) else lambda x, y: block_distance(x, y, metric)
+
+    def measured(batches):
+        for batch in batches:
+            if len(batch):
+                d = measure(np.stack(batch["features"].to_numpy()), shared.value)
+                yield pd.DataFrame({"cell_id": batch["cell_id"].to_numpy(), "dist": list(d)})
+
+    return vec.select("cell_id", "features").mapInPandas(measured, "cell_id string, dist array<double>")
+
+
 def knn_by_lists(vec: DataFrame, k: int, lists: int, probes: int, chunk: int = 2048, seed: int = 1) -> DataFrame:
     """edges(src, dst, dist, nth): the k nearest others among the cells of the `probes` nearest of `lists` centroid lists.
 
@@ -117,6 +135,19 @@ def knn_by_lists(vec: DataFrame, k: int, lists: int, probes: int, chunk: int = 2
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("src", "dst", "dist", "nth")
 
 
+def nearest(vec: DataFrame, k: int, include_self: bool = False, metric="Euclidean", lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """`knn`, or `knn_by_lists` if a number of lists is given (a cell is then its own first neighbour with `include_self`)."""
+    if lists is None:
+        return knn(vec, k, include_self, metric)
+    if metric != "Euclidean":
+        raise ValueError("lists are searched by Euclidean distance only")
+    found = knn_by_lists(vec, k - include_self, lists, probes or max(1, lists // 4))
+    if not include_self:
+        return found
+    own = vec.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("nth"))
+    return own.union(found.withColumn("nth", F.col("nth") + 1))
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """(recall): the share of the exact edges that the approximate ones hold."""
     hit = exact.select("src", "dst").join(approximate.select("src", "dst").distinct().withColumn("hit", F.lit(1)), ["src", "dst"], "left")
@@ -156,9 +187,13 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
     return summed.withColumn("inverse", F.when(F.col("degree") != 0, 1 / F.col("degree")).otherwise(F.lit(0.0)))
 
 
-def knn_graph(vec: DataFrame, l: int = 15, k: int = 15, seed: int = 123, metric="Euclidean") -> DataFrame:
-    """Undirected edges(src, dst, w) of each cell's l nearest others, or of a random k of them."""
+def knn_graph(vec: DataFrame, l: int = 15, k: int = 15, seed: int = 123, metric="Euclidean", lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """Undirected edges(src, dst, w) of each cell's l nearest others, or of a random k of them.
+
+    With `lists` the neighbours are searched among `probes` (a quarter of the lists by default) centroid lists, which is
+    approximate but does not meet all pairs; Euclidean only.
+    """
     if k > l:
         raise ValueError("k is greater than the number of neighbours")
-    edges = knn(vec, l, False, metric)
+    edges = nearest(vec, l, False, metric, lists, probes)
     return symmetrise_max(pick_neighbours(edges, k, seed) if k < l else edges)

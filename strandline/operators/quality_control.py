@@ -206,10 +206,14 @@ def preprocess(expr: DataFrame, lod: float = 1.0, log_transform: bool = True, re
 
 
 def libsize_normalise(expr: DataFrame) -> DataFrame:
-    """Values divided by their cell's sum and multiplied by the median sum; features whose sum is not positive are dropped first."""
+    """Values divided by their cell's sum over all features and multiplied by the median sum; then features whose scaled sum is not positive are dropped.
+
+    Cells whose sum is 0 can't be scaled and take no part.
+    """
     expr = stored(expr.select("gene_id", "cell_id", "value"), "expr")
-    there = expr.groupBy("gene_id").agg(F.sum("value").alias("s")).where("s > 0").select("gene_id")
-    kept = expr.join(there, "gene_id", "left_semi")
-    sums = kept.groupBy("cell_id").agg(F.sum("value").alias("total"))
+    sums = stored(expr.groupBy("cell_id").agg(F.sum("value").alias("total")), "sums")
     median = exact_quantile(sums, "total", 0.5)
-    return kept.join(sums, "cell_id").select("gene_id", "cell_id", (F.col("value") / F.col("total") * F.lit(median)).alias("value"))
+    scaled = expr.join(sums.where("total <> 0"), "cell_id").select("gene_id", "cell_id", (F.col("value") / F.col("total") * F.lit(median)).alias("value"))
+    scaled = stored(scaled, "scaled")
+    there = scaled.groupBy("gene_id").agg(F.sum("value").alias("s")).where("s > 0").select("gene_id")
+    return scaled.join(there, "gene_id", "left_semi")

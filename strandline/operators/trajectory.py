@@ -6,22 +6,27 @@ with a few scalars gathered each round.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.runtime import stored
-from strandline.functions.stats import seeded
+from strandline.functions.stats import exact_quantile, seeded
 from strandline.operators.distance import by_rank, sts_cost
 from strandline.operators.graph import eigenvectors, landmark_distances
 from strandline.operators.linalg import pca_embed
 from strandline.operators.matrix import global_rank
-from strandline.operators.neighbours import affinity, knn, knn_graph, knn_of_queries, weighted_degree
+from strandline.operators.neighbours import affinity, knn_graph, knn_of_queries, nearest, weighted_degree
 from strandline.operators.sorting import auto_spin
 
 
-def diffusion_map(vec: DataFrame, data_type: str = "scSeq", n_neighbours: int = 10, epsilon: float = 1.0, k: int = 10, pca: float = 15, markers: list[int] | None = None):
-    """(vec of diffusion components, eigenvalues, residual): eigenvectors of the symmetric Markov matrix of a neighbour graph, scaled to unit length."""
+def diffusion_map(vec: DataFrame, data_type: str = "scSeq", n_neighbours: int = 10, epsilon: float = 1.0, k: int = 10, pca: float = 15, markers: list[int] | None = None, lists: int | None = None):
+    """(vec of diffusion components, eigenvalues, residual): eigenvectors of the symmetric Markov matrix of a neighbour graph, scaled to unit length.
+
+    With `lists` the neighbours are searched in centroid lists instead of among all pairs.
+    """
     if data_type == "scSeq":
         base, _ = pca_embed(vec, pca)
     elif markers is not None:
@@ -29,7 +34,7 @@ def diffusion_map(vec: DataFrame, data_type: str = "scSeq", n_neighbours: int =
     else:
         base = vec
     base = stored(base, "embedded")
-    edges = knn(base, n_neighbours, include_self=True)
+    edges = nearest(base, n_neighbours, include_self=True, lists=lists)
     weights = stored(affinity(edges, epsilon, base), "affinity")
     degree = stored(weighted_degree(weights).select("cell_id", F.sqrt("inverse").alias("root")), "degree")
     scaled = weights.join(degree.withColumnsRenamed({"cell_id": "src", "root": "a"}), "src").join(degree.withColumnsRenamed({"cell_id": "dst", "root": "b"}), "dst")
@@ -148,17 +153,19 @@ def wanderlust(
     partial_order: list[str] | None = None,
     graph: DataFrame | None = None,
     waypoints: DataFrame | None = None,
+    lists: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(trajectory(cell_id, score, rank), waypoints(slot, cell_id)): positions along a path from the start cell, voted by landmarks.
 
-    `start` is a cell id, a position from 1, or None for the first cell.
+    `start` is a cell id, a position from 1, or None for the first cell. With `lists` the graph's neighbours are searched in
+    centroid lists.
     """
     vec = stored(vec, "vec")
     if start is None or isinstance(start, int):
         start = vec.where(F.col("pos") == (start or 1)).first()["cell_id"]
     total = None
     for g in range(num_graphs):
-        edges = graph if graph is not None and k == l else stored(knn_graph(vec, l, k, seed + g), "graph")
+        edges = graph if graph is not None and k == l else stored(knn_graph(vec, l, k, seed + g, lists=lists), "graph")
         chosen = waypoints
         if chosen is None:
             wanted = num_waypoints - len(partial_order or [])
@@ -189,34 +196,38 @@ def wanderlust(
 
 
 def wanderlust_features(vec: DataFrame, components: int = 4, **options) -> DataFrame:
-    """vec of diffusion components 2..components+1 of raw features scaled to a common sum; features without a positive sum are dropped."""
-    size = F.size("features")
-    sums = vec.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).where("s > 0")
-    kept = sorted(r["i"] for r in sums.collect())
-    chosen = F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.element_at("features", i + 1)) if kept else F.col("features")
+    """vec of diffusion components 2..components+1 of raw features scaled to a common sum; features whose scaled sum is not positive are dropped.
+
+    Cells whose sum is 0 can't be scaled and keep zeros.
+    """
     own = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
-    median = vec.agg(F.expr("percentile(aggregate(features, 0D, (s, x) -> s + x), 0.5D)")).first()[0] or 1.0
-    scaled = vec.where(size > 0).select(
-        "cell_id", "pos", F.transform(chosen, lambda x: F.when(own != 0, x / own * F.lit(median)).otherwise(F.lit(0.0))).alias("features")
-    )
+    sums = stored(vec.select("cell_id", "pos", "features", own.alias("own")).where(F.size("features") > 0), "sums")
+    median = exact_quantile(sums, "own", 0.5) or 1.0
+    scaled = F.transform("features", lambda x: F.when(F.col("own") != 0, x / F.col("own") * F.lit(median)).otherwise(F.lit(0.0)))
+    scaled = stored(sums.select("cell_id", "pos", scaled.alias("features")), "scaled")
+    totals = scaled.agg(vector_to_array(Summarizer.sum(array_to_vector("features")))).first()[0]
+    kept = [i for i, s in enumerate(totals) if s > 0]
+    if 0 < len(kept) < len(totals):
+        chosen = F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.element_at("features", i + 1))
+        scaled = scaled.withColumn("features", chosen)
     found, _, _ = diffusion_map(scaled, k=max(components + 1, 5), **options)
     return found.withColumn("features", F.slice("features", 2, components))
 
 
 def wanderlust_expr(vec: DataFrame, start: str | int | None = None, components: int = 4, **options) -> tuple[DataFrame, DataFrame]:
     """`wanderlust` on the diffusion components of expression vectors."""
-    return wanderlust(wanderlust_features(vec, components), start, **options)
+    return wanderlust(wanderlust_features(vec, components, lists=options.get("lists")), start, **options)
 
 
-def swanderlust(vec: DataFrame, components: int = 4, restarts: int = 20, num_waypoints: int = 150, seed: int = 123, **options) -> DataFrame:
+def swanderlust(vec: DataFrame, components: int = 4, restarts: int = 20, num_waypoints: int = 150, seed: int = 123, lists: int | None = None, **options) -> DataFrame:
     """ordering(cell_id, rank, score): trajectories from both ends of the refined distance-based order; the one of lower
     side-to-side cost wins, the second on a tie. The graph and the waypoints do not depend on the start and are made once.
     """
     vec = stored(vec, "vec")
     ends = auto_spin(vec, restarts=restarts)
     first, last = ends.agg(F.min_by("cell_id", "rank"), F.max_by("cell_id", "rank")).first()
-    space = stored(wanderlust_features(vec, components), "diffusion")
-    graph = stored(knn_graph(space, 15, 15, seed), "graph")
+    space = stored(wanderlust_features(vec, components, lists=lists), "diffusion")
+    graph = stored(knn_graph(space, 15, 15, seed, lists=lists), "graph")
     waypoints = flock(space, stored(sample_waypoints(space, num_waypoints, seed), "waypoints"), 2)
     tried = []
     for start in (first, last):

@@ -44,9 +44,9 @@ def coerced(expr: DataFrame) -> DataFrame:
 
 
 def read_cell_types(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """cell_annot(cell_id, group_id) of a two-column text table with a header."""
+    """cell_annot(cell_id, group_id, nth) of a two-column text table with a header; `nth` rises with the line in the file."""
     table = spark.read.csv(path, sep=sep, header=True)
-    return table.select(F.col(table.columns[0]).alias("cell_id"), F.col(table.columns[1]).alias("group_id"))
+    return table.select(F.col(table.columns[0]).alias("cell_id"), F.col(table.columns[1]).alias("group_id"), F.monotonically_increasing_id().alias("nth"))
 
 
 def read_gene_set(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

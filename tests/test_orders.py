@@ -31,6 +31,15 @@ def euclid(x):
     return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
 
 
+def slow_weights(n, sigma=1.0):
+    i = np.arange(n)
+    w = np.exp(-((i[:, None] - i[None]) ** 2) / (sigma * n))
+    for _ in range(10):
+        w = w / w.sum(axis=0, keepdims=True)
+        w = w / w.sum(axis=1, keepdims=True)
+    return (w + w.T) / 2
+
+
 @pytest.mark.parametrize("method", distance.METRICS)
 def test_distances_in_blocks(spark, method):
     x = np.abs(np.random.default_rng(2).normal(size=(23, 5)))
@@ -53,8 +62,8 @@ def test_sts_cost_prefers_the_true_order(spark):
 
 def test_neighbourhood_costs(spark):
     _, x = planted(40)
-    band, b = distance.neighbour_weights(40)
-    w = distance.dense_band(band, b, np.arange(40), np.arange(40))
+    w = slow_weights(40)
+    assert np.allclose(distance.Weights(40).part(np.arange(40), np.arange(40)), w)
     assert np.allclose(w, w.T) and np.allclose(w.sum(axis=1), 1, atol=0.05)
     d = euclid(x)
     vec = vec_of(spark, x)
@@ -75,6 +84,83 @@ def test_distributed_sort_is_the_local_one(spark):
     assert [int(r["cell_id"]) for r in got] == order.tolist()
 
 
+def test_distributed_neighbourhood_sort_is_the_local_one(spark):
+    _, x = planted(50, seed=3)
+    d = distance.block_distance(x, x)
+    np.fill_diagonal(d, 0.0)
+    order, cost = sorting.local_sort(d, "neighborhood", max_iter=4)
+    found = sorting.neighbourhood_sort_distributed(vec_of(spark, x), max_iter=4, block=13)
+    assert [int(r["cell_id"]) for r in found.orderBy("rank").collect()] == order.tolist()
+    got = distance.neighbourhood_cost(distance.by_rank(vec_of(spark, x), found), form="internal", block=13).first()[0]
+    assert got == pytest.approx(cost)
+
+
+@pytest.mark.parametrize("method", ["STS", "neighborhood"])
+def test_restarts_above_the_local_limit_give_the_same(spark, monkeypatch, method):
+    _, x = planted(40, seed=5)
+    options = {"restarts": 3, "max_iter": 3}
+    want = sorting.sort_best_of(vec_of(spark, x), method, **options).orderBy("rank").collect()
+    monkeypatch.setattr(sorting, "LOCAL_LIMIT", 10)
+    got = sorting.sort_best_of(vec_of(spark, x), method, block=16, **options).orderBy("rank").collect()
+    assert [r["cell_id"] for r in got] == [r["cell_id"] for r in want]
+    assert got[0]["score"] == pytest.approx(want[0]["score"])
+
+
+def test_refinement_above_the_local_limit_gives_the_same(spark, monkeypatch):
+    _, x = planted(30, seed=6, noise=0.2)
+    options = {"restarts": 2, "increment": 0.4}
+    want = sorting.auto_spin(vec_of(spark, x), **options).orderBy("rank").collect()
+    monkeypatch.setattr(sorting, "LOCAL_LIMIT", 14)
+    got = sorting.auto_spin(vec_of(spark, x), **options).orderBy("rank").collect()
+    assert [r["cell_id"] for r in got] == [r["cell_id"] for r in want]
+
+
+def slow_local_variance(d, alpha, cyclic, exclusion):
+    """One centre's window after another, as lists of positions from 1."""
+    n, total = len(d), 0.0
+    h = int(np.ceil(n * alpha) / 2)
+    for i in range(1, n + 1):
+        if not cyclic and not max(1, h) <= i <= n - h:
+            continue
+        if not cyclic:
+            window = list(range(max(1, i - h), min(n, i + h) + 1))
+            own = window.index(i)
+        else:
+            begin = (n - i if i - h < 1 else n + i) if exclusion == "positional" else n + i - h
+            window = list(range(begin, n + i + h + 1))
+            own = window.index(n + i)
+        out = i - 1 if exclusion == "positional" else own
+        kept = [d[i - 1, (q - 1) % n] for k, q in enumerate(window) if k != out]
+        total += np.var(kept, ddof=1)
+    return total
+
+
+@pytest.mark.parametrize("data_type", ["linear", "cyclical"])
+@pytest.mark.parametrize("exclusion", ["positional", "self"])
+def test_local_variance_in_blocks(spark, data_type, exclusion):
+    _, x = planted(37, seed=8)
+    for alpha in (0.2, 0.5, 1.0 if data_type == "cyclical" else 0.7):
+        want = slow_local_variance(euclid(x), alpha, data_type == "cyclical", exclusion)
+        for block in (5, 64):
+            assert distance.local_variance(vec_of(spark, x), alpha, data_type, exclusion=exclusion, block=block).first()[0] == pytest.approx(want)
+
+
+def test_flips_in_blocks(spark):
+    _, x = planted(33, seed=9)
+    n, d = 33, euclid(x)
+    vec = vec_of(spark, x).withColumn("w", F.explode(F.array(*[F.lit(w) for w in (4, 7, 15)])))
+    got = {(r["w"], r["window"]): (r["before"], r["after"], r["flip"]) for r in sorting.flip_decisions(vec, n, block=5).collect()}
+    assert len(got) == sum(n // w for w in (4, 7, 15))
+    for (w, k), (before, after, flip) in got.items():
+        start, end = k * w + 1, n if (k + 2) * w > n else (k + 1) * w
+        border = end if k == 0 else start
+        near = [p for p in range(1, n + 1) if any(int(np.floor(border - w / 2 + j)) == p and border - w / 2 + j <= border for j in range(w))]
+        far = [p for p in range(border + (k == 0), n + 1) if p <= border + w / 2]
+        turn = lambda p: start + end - p if start <= p <= end else p
+        assert before == pytest.approx(sum(d[a - 1, b - 1] for a in near for b in far))
+        assert after == pytest.approx(sum(d[turn(a) - 1, turn(b) - 1] for a in near for b in far)) and flip == (before > after)
+
+
 def test_auto_spin_refines(spark):
     t, x = planted()
     assert spearman(sorting.auto_spin(vec_of(spark, x), restarts=3, increment=0.3), t) > 0.95
@@ -194,6 +280,44 @@ def test_pca_matches_numpy(spark):
     assert len(values) < 4 and len(embedded.first()["features"]) == len(values)
 
 
+def test_wide_tables_have_the_same_components(spark, monkeypatch):
+    x = np.random.default_rng(10).normal(size=(12, 40)) * np.linspace(3, 0.1, 40)
+    vec = vec_of(spark, x)
+    centre = x.mean(axis=0)
+    want = np.linalg.svd(x - centre, compute_uv=False) ** 2
+    monkeypatch.setattr(linalg, "DRIVER_LIMIT", 20)
+    values, loadings = linalg.components(vec, 12, 40, linalg.means(vec))
+    assert np.allclose(values, want, atol=1e-8)
+    v = loadings(0, 5)
+    assert np.allclose(v.T @ v, np.eye(5)) and np.allclose((x - centre).T @ ((x - centre) @ v), v * want[:5])
+    assert np.allclose(loadings(5, 8).T @ v, 0, atol=1e-8)
+    monkeypatch.setattr(linalg, "DRIVER_LIMIT", 5)
+    values, loadings = linalg.components(vec, 12, 40, linalg.means(vec))
+    assert np.allclose(values[:11], want[:11], rtol=1e-4)
+    assert np.allclose(np.abs(np.sum(loadings(0, 3) * v[:, :3], axis=0)), 1, atol=1e-3)
+
+
+@pytest.mark.parametrize("limit", [5000, 15])
+def test_gene_choice_does_not_depend_on_the_side_decomposed(spark, monkeypatch, limit):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(14, 30)) * rng.choice([0.1, 3], 30, p=[0.8, 0.2])
+    rows = [(f"g{j:02d}", f"c{i:02d}", float(x[i, j])) for i in range(14) for j in range(30)]
+    monkeypatch.setattr(linalg, "DRIVER_LIMIT", limit)
+    got = {r["gene_id"]: r["score"] for r in linalg.pca_gene_selection(spark.createDataFrame(rows, "gene_id string, cell_id string, log2v double")).collect()}
+    _, sizes, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+
+    def cut(scores):
+        y = np.sort(scores)[::-1]
+        k = np.arange(len(y))
+        far = np.round(np.abs((len(y) - 1) * (y - y[0]) - (y[-1] - y[0]) * k), 9)
+        return y[np.argmax(far)]
+
+    kept = sizes**2 / 13 >= cut(sizes**2 / 13) * (1 - 1e-9)
+    scores = np.abs(v[kept]).sum(axis=0)
+    assert set(got) == {f"g{j:02d}" for j in np.flatnonzero(scores >= cut(scores) * (1 - 1e-9))}
+    assert all(got[f"g{j:02d}"] == pytest.approx(s) for j, s in enumerate(scores) if f"g{j:02d}" in got)
+
+
 def test_wanderlust_follows_the_line(spark):
     t, x = planted(50, noise=0.005)
     start = f"{int(np.argmin(t)):04d}"
