@@ -26,6 +26,26 @@ def sparse_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expr(lines, "l_partkey")
 
 
+def faint_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with every ninth cell at a fiftieth of its expression."""
+    faint = F.col("cell_id").cast("long") % 9 == 4
+    return dense_expr(spark, sf_dir).withColumn("value", F.when(faint, F.col("value") * 0.02).otherwise(F.col("value")))
+
+
+def twin_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with first lines counted for a gene whose name differs in case only."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+    named = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return _expr(named.withColumn("gene", F.when(F.col("l_linenumber") == 1, F.lower("p_brand")).otherwise(F.col("p_brand"))), "gene")
+
+
+def signed_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 with the values of every fiftieth gene unreadable, that is, -1."""
+    unread = F.col("gene_id").cast("long") % 50 == 7
+    return sparse_expr(spark, sf_dir).withColumn("value", F.when(unread, F.lit(-1.0)).otherwise(F.col("value")))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec(cell_id, pos, features) of the embeddings; pos counts from 1 in order of vec_id."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -40,6 +60,14 @@ def cell_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("cell_id"), F.col("label").cast("string").alias("group_id"))
 
 
+def doubled_cell_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_annot(cell_id, group_id, nth): every third cell has another annotation on an earlier line."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("v"), F.col("label").cast("string").alias("group_id"))
+    more = own.where("v % 3 = 0").select((F.col("v") * 2).alias("nth"), "v", F.concat(F.lit("z"), "group_id").alias("group_id"))
+    both = own.select((F.col("v") * 2 + 1).alias("nth"), "v", "group_id").union(more)
+    return both.select(F.col("v").cast("string").alias("cell_id"), "group_id", "nth")
+
+
 def vector_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding dimension as a gene with value 2^(20 e)."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

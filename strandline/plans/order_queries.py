@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions.runtime import scratch_path
+from strandline.functions.runtime import scratch_path, stored
 from strandline.operators import clusters, distance, graph, linalg, matrix, neighbours, sorting, trajectory
 from strandline.operators import quality_control as qc
 from strandline.operators.drivers import regression_sums
@@ -89,15 +89,15 @@ def knn_block_recall(spark, sf_dir):
 
 
 def knn_list_recall(spark, sf_dir):
-    """Recall of the search by centroid lists against the exact one."""
-    vec = vectors(spark, sf_dir)
-    return neighbours.recall(neighbours.knn_by_lists(vec, 10, 16, 12), neighbours.knn(vec, 10))
+    """Recall of the search in a quarter of the centroid lists against the exact one, on the first ten principal components."""
+    vec = stored(linalg.pca_embed(vectors(spark, sf_dir), 10)[0], "embedded")
+    return neighbours.recall(neighbours.nearest(vec, 10, lists=16), neighbours.knn(vec, 10))
 
 
 def sts_sort_centroids(spark, sf_dir):
     """The distributed sort with sums over 64 centroids."""
     vec = _ordered(spark, sf_dir)
-    return sorting.sts_sort_distributed(vec, max_iter=4, centres=distance.centroids_of(vec, 64))
+    return sorting.sts_sort_distributed(vec, centres=distance.centroids_of(vec, 64))
 
 
 def sts_round(spark, sf_dir):
@@ -106,11 +106,11 @@ def sts_round(spark, sf_dir):
 
 
 def sts_sort(spark, sf_dir):
-    return sorting.sts_sort_distributed(_ordered(spark, sf_dir), max_iter=4, block=256)
+    return sorting.sts_sort_distributed(_ordered(spark, sf_dir), block=256)
 
 
 def neighborhood_sort(spark, sf_dir):
-    return sorting.sort_best_of(vectors(spark, sf_dir), "neighborhood", 3, max_iter=20)
+    return sorting.sort_best_of(vectors(spark, sf_dir), "neighborhood")
 
 
 def spin(spark, sf_dir):
@@ -118,7 +118,7 @@ def spin(spark, sf_dir):
 
 
 def best_of_restarts(spark, sf_dir):
-    return sorting.sort_best_of(vectors(spark, sf_dir), restarts=10)
+    return rounded(sorting.sort_best_of(vectors(spark, sf_dir)), 2)
 
 
 def window_assign(spark, sf_dir):
@@ -137,7 +137,7 @@ def flip_decision(spark, sf_dir):
 
 
 def auto_spin(spark, sf_dir):
-    return sorting.auto_spin(vectors(spark, sf_dir), restarts=4, increment=0.2)
+    return sorting.auto_spin(vectors(spark, sf_dir))
 
 
 def gene_covariance(spark, sf_dir):
@@ -189,9 +189,8 @@ def _measured(spark, sf_dir):
     """cell_lm straight from distances to five cells, for weights and realignment."""
     vec = vectors(spark, sf_dir)
     marks = trajectory.sample_waypoints(vec, 5, 2)
-    near = neighbours.knn_of_queries(vec, marks.join(vec, "cell_id").select(F.col("nth").alias("query"), "features"), 1_000_000)
-    rows = near.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("query", "dist"))).alias("x"))
-    return rows.select("cell_id", F.transform("x", lambda s: s["dist"]).alias("dist")), marks.select(F.col("nth").alias("slot"), "cell_id")
+    cells = neighbours.distances_to(vec, marks.join(vec, "cell_id").select(F.col("nth").alias("query"), "features"))
+    return cells, marks.select(F.col("nth").alias("slot"), "cell_id")
 
 
 def landmark_weights(spark, sf_dir):
@@ -209,19 +208,19 @@ def realign_once(spark, sf_dir):
 
 def band_sample(spark, sf_dir):
     cells, _ = _measured(spark, sf_dir)
-    return trajectory.band_sample(cells.select("cell_id", F.col("dist")[0].alias("d")), 30)
+    return trajectory.band_sample(cells.select("cell_id", F.col("dist")[0].alias("d")), 30).withColumn("nth", F.col("nth").cast("long"))
 
 
 def diffusion_map(spark, sf_dir):
-    return trajectory.diffusion_map(vectors(spark, sf_dir), "massCyt", k=6)[0]
+    return trajectory.diffusion_map(vectors(spark, sf_dir), "massCyt")[0]
 
 
 def wanderlust(spark, sf_dir):
-    return trajectory.wanderlust(vectors(spark, sf_dir), "0", num_waypoints=30, seed=2)[0]
+    return trajectory.wanderlust(vectors(spark, sf_dir), "0", seed=2)[0]
 
 
 def wanderlust_waypoints(spark, sf_dir):
-    return trajectory.wanderlust(vectors(spark, sf_dir), "0", num_waypoints=10, seed=2, flock_rounds=1)[1]
+    return trajectory.wanderlust(vectors(spark, sf_dir), "0", num_waypoints=40, seed=2, num_graphs=2, banded=True, partial_order=["7", "3"], k=10, lists=16)[1]
 
 
 def wanderlust_expr(spark, sf_dir):
@@ -244,7 +243,7 @@ def order_cells_none(spark, sf_dir):
 
 def cluster_genes(spark, sf_dir):
     profiles = matrix.row_zscore(qc.log2_floor(dense_expr(spark, sf_dir)))
-    return clusters.cluster_genes(profiles, qc.count_of(profiles, "cell_id"), (2, 4))
+    return clusters.cluster_genes(profiles, qc.count_of(profiles, "cell_id"))
 
 
 def two_pass_pipeline(spark, sf_dir):
@@ -260,14 +259,6 @@ def two_pass_pipeline(spark, sf_dir):
     return out
 
 
-def driver_profiles(spark, sf_dir):
-    """z-scored profiles, in order, of the genes that trend most with the given order."""
-    expr = vector_expr(spark, sf_dir)
-    log = qc.log2_floor(expr)
-    genes = log.select("gene_id").distinct().where(F.col("gene_id") >= "g48")
-    return rounded(matrix.row_zscore(matrix.subset(log, genes, vector_order(spark, sf_dir))).select("gene_id", "cell_id", "rank", "z"), 5)
-
-
 def cell_type_counts(spark, sf_dir):
     """Cells of each type in each tenth of the order."""
     order = matrix.annotate(vector_order(spark, sf_dir), cell_types(spark, sf_dir))
@@ -305,13 +296,31 @@ _DIST5 = f"""{PAIRS}, {_MARKS.format(k=5)}, lm AS MATERIALIZED (SELECT i AS cell
 
 
 
-def _sts_rounds_sql(rounds: int) -> str:
-    """Side-to-side rounds, unrolled; each one ranks by falling s, ties by the rank before."""
-    parts = [_RANKED_PAIRS, "r0 AS MATERIALIZED (SELECT DISTINCT pi AS id, cell_id, pi AS r FROM d)"]
+def _sts_sql(base: str, rounds: int = 10, restarts: int = 1) -> str:
+    """CTEs of side-to-side sorts, rounds unrolled: last(t, cell_id, r) of each restart t, and best(t, cost).
+
+    Each round ranks by falling s, ties by the rank before; a restart stops after the round in which s in the new order equals s taken
+    by the previous round's permutation.
+    """
+    start = "CASE WHEN t = 0 THEN lpad(CAST(pos AS VARCHAR), 20, '0') ELSE md5('123:' || t || ':' || cell_id) END"
+    parts = [base, f"""d AS MATERIALIZED (SELECT a.pos AS pi, b.pos AS pj, CASE WHEN a.pos = b.pos THEN 0
+  ELSE sqrt(abs(list_dot_product(a.f, a.f) - 2 * list_dot_product(a.f, b.f) + list_dot_product(b.f, b.f))) END AS d FROM vec a CROSS JOIN vec b)"""]
+    parts.append(f"""r0 AS MATERIALIZED (SELECT t, pos AS id, cell_id, row_number() OVER (PARTITION BY t ORDER BY {start}) AS r, 0 AS prev, false AS done
+  FROM vec, range(0, {restarts}) s(t))""")
     for k in range(rounds):
-        parts.append(f"""s{k} AS MATERIALIZED (SELECT d.pi AS id, sum(d.d * (o.r - (n + 1) / 2)) AS s FROM d JOIN r{k} o ON o.id = d.pj, n GROUP BY 1)""")
-        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT id, cell_id, row_number() OVER (ORDER BY s DESC, r) AS r FROM r{k} JOIN s{k} USING (id))")
-    return f"WITH {', '.join(parts)} SELECT cell_id, r AS rank FROM r{rounds}"
+        parts.append(f"s{k} AS MATERIALIZED (SELECT o.t, d.pi AS id, sum(d.d * (o.r - (n + 1) / 2)) AS s FROM d JOIN r{k} o ON o.id = d.pj, n GROUP BY 1, 2)")
+        before = "r" if k == 0 else "prev"
+        parts.append(f"n{k} AS MATERIALIZED (SELECT t, id, cell_id, r, {before} AS prev, done, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, r) AS nxt FROM r{k} JOIN s{k} USING (t, id))")
+        parts.append(f"""g{k} AS MATERIALIZED (SELECT a.t, sum(abs(a.s - c.s)) <= 1.5e-8 * sum(abs(a.s)) AS same
+  FROM n{k} a JOIN n{k} b ON b.t = a.t AND b.r = a.nxt JOIN n{k} c ON c.t = b.t AND c.r = b.prev GROUP BY 1)""")
+        parts.append(f"""r{k + 1} AS MATERIALIZED (SELECT t, id, cell_id, CASE WHEN done THEN r ELSE nxt END AS r, CASE WHEN done THEN prev ELSE r END AS prev,
+  done OR same AS done FROM n{k} JOIN g{k} USING (t))""")
+    parts.append(f"last AS (SELECT t, id, cell_id, r FROM r{rounds})")
+    if restarts > 1:
+        parts.append("""costs AS MATERIALIZED (SELECT a.t, sum(d.d * (a.r - (n + 1) / 2) * (b.r - (n + 1) / 2)) AS cost FROM d JOIN last a ON a.id = d.pi
+  JOIN last b ON b.t = a.t AND b.id = d.pj, n GROUP BY 1)""")
+        parts.append("best AS (SELECT t, cost FROM costs WHERE cost <= (SELECT min(cost) + 1e-9 * abs(min(cost)) FROM costs) ORDER BY t LIMIT 1)")
+    return "WITH " + ", ".join(parts)
 
 
 def _relaxed_sql(rounds: int) -> str:
@@ -326,6 +335,17 @@ def _relaxed_sql(rounds: int) -> str:
       SELECT v.cell_id, CAST(top.slot AS BIGINT) AS slot, round(coalesce(t.d, top.m), 5) AS d FROM vec v CROSS JOIN top LEFT JOIN t{rounds} t ON t.cell_id = v.cell_id AND t.slot = top.slot"""
 
 
+def _band_sample_sql() -> str:
+    bands, upper = [], 0.998
+    while upper > 0.08:
+        bands.append(f"({len(bands)}, {upper - 0.1!r}::DOUBLE, {upper!r}::DOUBLE)")
+        upper -= 0.1
+    return f"""WITH {_DIST5}, near AS (SELECT cell_id, dist AS d FROM lm WHERE slot = 0), bands(band, low, high) AS (VALUES {", ".join(bands)}),
+  inside AS (SELECT band, cell_id FROM near JOIN bands ON d BETWEEN low * (SELECT max(d) FROM near) AND high * (SELECT max(d) FROM near)),
+  pool AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5('123:' || band || ':' || cell_id)) <= 30)
+  SELECT row_number() OVER (ORDER BY md5('124:' || band || ':' || cell_id), band, cell_id) - 1 AS nth, cell_id FROM pool QUALIFY nth < 30"""
+
+
 BY_NAME = {
     "distance_euclidean": (distance_euclidean, f"WITH {PAIRS} SELECT i, j, round(d, 5) AS d FROM pairs WHERE pi < pj"),
     "distance_correlation": (distance_correlation, f"""WITH {VEC}, c AS (SELECT cell_id, pos, list_transform(f, lambda x: x - list_avg(f)) AS f FROM vec)
@@ -357,10 +377,10 @@ BY_NAME = {
     "sts_sort_centroids": (sts_sort_centroids, None),
     "sts_round": (sts_round, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
   SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),
-    "sts_sort": (sts_sort, _sts_rounds_sql(4)),
+    "sts_sort": (sts_sort, f"{_sts_sql(RANKED)} SELECT cell_id, r AS rank FROM last"),
     "neighborhood_sort": (neighborhood_sort, None),
-    "spin": (spin, None),
-    "best_of_restarts": (best_of_restarts, None),
+    "spin": (spin, f"{_sts_sql(VEC)} SELECT cell_id, r AS rank, 'untitled' AS group_id FROM last"),
+    "best_of_restarts": (best_of_restarts, f"{_sts_sql(VEC, restarts=10)} SELECT cell_id, r AS rank, round(cost, 2) AS score FROM last JOIN best USING (t)"),
     "window_assign": (window_assign, """WITH o AS (SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS rank, count(*) OVER () AS n FROM embeddings),
   s AS (SELECT o.*, CAST(ceil(0.1 * n) + k * ceil(n * 0.05) AS BIGINT) AS w FROM o, range(0, 40) r(k) WHERE ceil(0.1 * n) + k * ceil(n * 0.05) < ceil(n * 0.9))
   SELECT cell_id, rank, w, CAST(least((rank - 1) // w, n // w - 1) AS BIGINT) AS window FROM s""".replace("AS window FROM", 'AS "window" FROM')),
@@ -393,7 +413,7 @@ BY_NAME = {
     "realign_once": (realign_once, f"""WITH {_DIST5}, t AS (SELECT cell_id, dist AS t FROM lm WHERE slot = 0), ref AS (SELECT nth AS slot, t AS p, t > (SELECT min(t) FROM t) AS moves FROM marks JOIN t USING (cell_id)),
   m AS (SELECT cell_id, slot, CASE WHEN slot >= 1 AND moves THEN CASE WHEN t < p THEN -dist ELSE dist END + p ELSE dist END AS x FROM lm JOIN t USING (cell_id) JOIN ref USING (slot))
   SELECT cell_id, slot, round(x - (SELECT min(x) FROM m), 5) AS position FROM m"""),
-    "band_sample": (band_sample, None),
+    "band_sample": (band_sample, _band_sample_sql()),
     "diffusion_map": (diffusion_map, None),
     "wanderlust": (wanderlust, None),
     "wanderlust_waypoints": (wanderlust_waypoints, None),
@@ -403,11 +423,6 @@ BY_NAME = {
     "order_cells_none": (order_cells_none, "SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings"),
     "cluster_genes": (cluster_genes, None),
     "two_pass_pipeline": (two_pass_pipeline, None),
-    "driver_profiles": (driver_profiles, """WITH e AS (SELECT 'g' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS gene_id, CAST(vec_id AS VARCHAR) AS cell_id,
-  log2(greatest(pow(2.0, 20 * CAST(embedding[i] AS DOUBLE)), 1.0)) AS v FROM embeddings, range(49, 65) r(i)),
-  s AS (SELECT gene_id, avg(v) AS m, stddev_samp(v) AS s FROM e GROUP BY 1),
-  o AS (SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS rank FROM embeddings)
-  SELECT gene_id, cell_id, rank, round((v - m) / s, 5) + 0.0 AS z FROM e JOIN s USING (gene_id) JOIN o USING (cell_id)"""),
     "cell_type_counts": (cell_type_counts, """WITH o AS (SELECT row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS rank, CAST(label AS VARCHAR) AS group_id, count(*) OVER () AS n FROM embeddings)
   SELECT CAST(floor((rank - 1) * 10 / n) AS BIGINT) AS tenth, group_id, count(*) AS n_cells FROM o GROUP BY 1, 2"""),
 }

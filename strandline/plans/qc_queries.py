@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import stats
 from strandline.operators import drivers, matrix
 from strandline.operators import quality_control as qc
-from strandline.plans.fixtures import cell_types, dense_expr, mixed_order, sparse_expr, supplier_order, vector_expr, vector_order
+from strandline.plans.fixtures import cell_types, dense_expr, doubled_cell_types, faint_expr, mixed_order, signed_expr, sparse_expr, supplier_order, twin_expr, vector_expr, vector_order
 from strandline.sources.tables import coerced
 
 X1 = """dense AS (SELECT p_brand AS gene_id, CAST(l_suppkey AS VARCHAR) AS cell_id, sum(l_quantity) AS value
@@ -71,7 +71,7 @@ def retain_genes(spark, sf_dir):
 
 
 def filter_genes_by_mean(spark, sf_dir):
-    return qc.filter_genes_by_mean(sparse_expr(spark, sf_dir), 2.0)
+    return qc.filter_genes_by_mean(twin_expr(spark, sf_dir), 64.0)
 
 
 def _names(spark, sf_dir):
@@ -89,15 +89,15 @@ def is_element_ignore_case(spark, sf_dir):
 
 
 def outlier_cells(spark, sf_dir):
-    return qc.identify_outliers(dense_expr(spark, sf_dir))
+    return qc.identify_outliers(faint_expr(spark, sf_dir))
 
 
 def preprocess(spark, sf_dir):
-    return rounded(qc.preprocess(dense_expr(spark, sf_dir)))
+    return rounded(qc.preprocess(faint_expr(spark, sf_dir)))
 
 
 def libsize_normalise(spark, sf_dir):
-    return rounded(qc.libsize_normalise(sparse_expr(spark, sf_dir)))
+    return rounded(qc.libsize_normalise(signed_expr(spark, sf_dir)))
 
 
 def elbow(spark, sf_dir):
@@ -127,7 +127,7 @@ def subset_ordered(spark, sf_dir):
 
 
 def annotate_order(spark, sf_dir):
-    return matrix.annotate(vector_order(spark, sf_dir), cell_types(spark, sf_dir))
+    return matrix.annotate(vector_order(spark, sf_dir), doubled_cell_types(spark, sf_dir))
 
 
 def _n(spark, sf_dir):
@@ -153,11 +153,18 @@ def spline_test(spark, sf_dir):
 
 def spline_pvalues(spark, sf_dir):
     aligned = matrix.with_pseudotime(sparse_expr(spark, sf_dir), supplier_order(spark, sf_dir))
-    return drivers.spline_test(aligned, _n(spark, sf_dir))
+    return rounded(drivers.spline_test(aligned, _n(spark, sf_dir)), 4)
 
 
 def driver_genes(spark, sf_dir):
-    return drivers.driver_genes(vector_expr(spark, sf_dir), mixed_order(spark, sf_dir))
+    return rounded(drivers.driver_genes(vector_expr(spark, sf_dir), mixed_order(spark, sf_dir)), 4)
+
+
+def driver_profiles(spark, sf_dir):
+    """z-scored profiles, in order, of the driver genes of the given order."""
+    expr, order = vector_expr(spark, sf_dir), mixed_order(spark, sf_dir)
+    genes = drivers.driver_genes(expr, order).select("gene_id")
+    return rounded(matrix.row_zscore(matrix.subset(qc.log2_floor(expr), genes, order)).select("gene_id", "cell_id", "rank", "z"), 5)
 
 
 def signature_profiles(spark, sf_dir):
@@ -174,7 +181,17 @@ def row_zscore(spark, sf_dir):
 
 NAMES_SQL = "names AS (SELECT DISTINCT lower(p_brand) AS gene_id FROM part WHERE regexp_matches(p_brand, '[135]$'))"
 
-OUTLIERS = f"""{X1}, n AS (SELECT count(DISTINCT cell_id) AS n FROM dense),
+FAINT = """dense AS (SELECT p_brand AS gene_id, CAST(l_suppkey AS VARCHAR) AS cell_id,
+  sum(l_quantity) * CASE WHEN l_suppkey % 9 = 4 THEN 0.02::DOUBLE ELSE 1.0::DOUBLE END AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_suppkey)"""
+TWINS = """twins AS (SELECT CASE WHEN l_linenumber = 1 THEN lower(p_brand) ELSE p_brand END AS gene_id, CAST(l_suppkey AS VARCHAR) AS cell_id,
+  sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+SIGNED = """signed AS (SELECT CAST(l_partkey AS VARCHAR) AS gene_id, CAST(l_suppkey AS VARCHAR) AS cell_id,
+  CASE WHEN l_partkey % 50 = 7 THEN -1.0::DOUBLE ELSE sum(l_quantity) END AS value FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+MIXED = """ordered AS (SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE))), vec_id) AS rank
+  FROM embeddings)"""
+
+OUTLIERS = f"""{FAINT}, n AS (SELECT count(DISTINCT cell_id) AS n FROM dense),
 means AS (SELECT gene_id, sum(log2(greatest(value, 1.0))) / (SELECT n FROM n) AS m FROM dense GROUP BY 1),
 coarse AS (SELECT i, 1 + 4 * i AS t FROM range(0, 101) r(i)),
 lefts AS (SELECT i, t, gene_id FROM coarse JOIN means ON m > log2(t)),
@@ -194,7 +211,10 @@ vals AS (SELECT cell_id, log2(greatest(value, 1.0)) AS v FROM dense WHERE gene_i
 cut AS (SELECT quantile_cont(v, 0.15) AS c FROM vals WHERE cell_id IN (SELECT cell_id FROM fgood WHERE k = (SELECT k FROM pick))),
 outliers AS (SELECT cell_id FROM vals GROUP BY 1 HAVING median(v) <= (SELECT c FROM cut))"""
 
-SCATTERING = f"""{X2}, {ORDER}, n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS size FROM ordered),
+
+def _scattering_sql(table: str, order: str) -> str:
+    """CTEs of the scattering of the genes of a table `sparse`, along an order `ordered`."""
+    return f"""{table}, {order}, n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS size FROM ordered),
 cells AS (SELECT cell_id, rank - 1 AS pos FROM ordered),
 wins AS (SELECT w, w * size AS a, least(w * size + size, n - 1) AS b FROM n, range(0, 1000) r(w) WHERE w < ceil((n - 1) / size)),
 genes AS (SELECT DISTINCT gene_id FROM sparse),
@@ -204,7 +224,13 @@ per AS (SELECT gene_id, w, max(y) - min(y) AS r FROM logs JOIN wins ON pos BETWE
 whole AS (SELECT gene_id, max(y) - min(y) AS r FROM logs GROUP BY 1 HAVING max(y) > min(y)),
 scattered AS (SELECT gene_id, round(sum(per.r) / any_value(whole.r), 6) AS scattering FROM per JOIN whole USING (gene_id) GROUP BY 1)"""
 
-SPLINE = f"""{X1}, {ORDER}, n AS (SELECT count(*) AS n FROM ordered),
+
+SCATTERING = _scattering_sql(X2, ORDER)
+
+
+def _spline_sql(table: str, order: str, genes: str = "true") -> str:
+    """CTEs of the spline test of the genes of a table `dense` along an order `ordered`; absent cells have the floor, 1."""
+    return f"""{table}, {order}, n AS (SELECT count(*) AS n FROM ordered),
 t AS (SELECT cell_id, rank, (rank - 1) / (n - 1) AS t FROM ordered, n),
 raw AS (SELECT cell_id, rank, t AS c1,
   (pow(t, 3) - pow(greatest(t - 1, 0), 3)) - (pow(greatest(t - 2/3, 0), 3) - pow(greatest(t - 1, 0), 3)) * 3 AS c2,
@@ -216,11 +242,30 @@ o3 AS (SELECT cell_id, rank, q1, q2, c3 - q2 * (sum(c3 * q2) OVER ()) / (sum(q2
 norm AS (SELECT sum(q1 * q1) AS n1, sum(q2 * q2) AS n2, sum(q3 * q3) AS n3, arg_max(q1, rank) - arg_min(q1, rank) AS e1,
   arg_max(q2, rank) - arg_min(q2, rank) AS e2, arg_max(q3, rank) - arg_min(q3, rank) AS e3 FROM o3),
 sums AS (SELECT gene_id, sum(y) AS sy, sum(y * y) AS syy, sum(y * q1) AS s1, sum(y * q2) AS s2, sum(y * q3) AS s3
-  FROM (SELECT gene_id, cell_id, log10(greatest(value, 1.0)) AS y FROM dense) JOIN o3 USING (cell_id) GROUP BY 1),
+  FROM (SELECT gene_id, cell_id, log10(greatest(value, 1.0)) AS y FROM dense WHERE {genes}) JOIN o3 USING (cell_id) GROUP BY 1),
 fit AS (SELECT gene_id, s1 / n1 AS b1, s2 / n2 AS b2, s3 / n3 AS b3, syy - sy * sy / n AS rss0,
   s1 * s1 / n1 + s2 * s2 / n2 + s3 * s3 / n3 AS ex, e1, e2, e3, n FROM sums, norm, n),
 curve AS (SELECT gene_id, max(b1 * q1 + b2 * q2 + b3 * q3) - min(b1 * q1 + b2 * q2 + b3 * q3) AS range FROM fit, o3 GROUP BY 1)"""
 
+
+SPLINE = _spline_sql(X1, ORDER)
+# The survival function of chi-squared with three degrees of freedom, erfc as a series of positive terms; beyond 60 it is 0 to twelve digits.
+TESTED = """test AS (SELECT *, rss0 > 1e-12 AS fine, CASE WHEN rss0 > 1e-12 THEN n * ln(rss0 / greatest(rss0 - ex, rss0 * 1e-12)) END AS lrt FROM fit),
+probs AS (SELECT *, CASE WHEN NOT fine THEN 1.0 WHEN lrt > 60 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-lrt / 2) * list_sum(list_transform(range(0, 160),
+    lambda k: exp(2 * k * ln(2) + (k + 0.5) * ln(greatest(lrt, 1e-12) / 2) - lgamma(2 * k + 2.0) + lgamma(k + 1.0)))) + sqrt(2 * lrt / pi()) * exp(-lrt / 2) END AS pval FROM test),
+ranked AS (SELECT *, row_number() OVER (ORDER BY pval, gene_id) AS r, count(*) OVER () AS m FROM probs),
+de AS (SELECT gene_id, CASE WHEN fine THEN 'OK' ELSE 'FAIL' END AS status, lrt, pval, least(1.0, min(pval * m / r) OVER (ORDER BY r DESC)) AS qval,
+  CASE WHEN fine THEN range END AS cyclic_driving_force, CASE WHEN fine THEN abs(b1 * e1 + b2 * e2 + b3 * e3) END AS linear_driving_force
+  FROM ranked JOIN curve USING (gene_id))"""
+DRIVERS = f"""{X4}, {_scattering_sql("sparse AS (SELECT * FROM expr4)", MIXED)},
+steady AS (SELECT gene_id FROM scattered WHERE scattering < (SELECT quantile_cont(scattering, 0.75) FROM scattered)),
+{_spline_sql("dense AS (SELECT * FROM expr4 WHERE gene_id IN (SELECT gene_id FROM steady))", "unused AS (SELECT 1)").replace("n AS (SELECT count(*) AS n FROM ordered)", "n2 AS (SELECT 1)", 1)}, {TESTED},
+signif AS (SELECT *, linear_driving_force AS force, row_number() OVER (ORDER BY linear_driving_force DESC, gene_id) AS k, count(*) OVER () AS c,
+  max(linear_driving_force) OVER () AS top, min(linear_driving_force) OVER () AS low FROM de WHERE qval < 0.05),
+bent AS (SELECT *, round(abs((c - 1) * (force - top) - (low - top) * (k - 1)), 9) AS d FROM signif),
+drivers AS (SELECT * FROM bent WHERE force >= (SELECT force FROM bent ORDER BY d DESC, k LIMIT 1))"""
+DE_COLUMNS = "gene_id, status, round(lrt, 4) + 0.0 AS lrt, round(pval, 4) + 0.0 AS pval, round(qval, 4) + 0.0 AS qval, round(cyclic_driving_force, 4) + 0.0 AS cyclic_driving_force, round(linear_driving_force, 4) + 0.0 AS linear_driving_force"
+
 BY_NAME = {
     "number_coercion": (number_coercion, f"WITH {X2} SELECT gene_id, cell_id, CASE WHEN value % 7 IN (0, 1) THEN -1.0 ELSE value END AS value FROM sparse"),
     "log2_floor": (log2_floor, f"WITH {X1} SELECT gene_id, cell_id, round(log2(greatest(value, 200.0)), 6) AS log2v FROM dense"),
@@ -237,8 +282,8 @@ BY_NAME = {
     "retain_genes": (retain_genes, f"""WITH {X2}, n AS (SELECT count(DISTINCT cell_id) AS n FROM sparse), weak AS (SELECT gene_id FROM sparse, n GROUP BY 1
   HAVING sum(value) / any_value(n) BETWEEN 0 AND 6 OR count(*) FILTER (WHERE value >= 6) / any_value(n) < 0.2)
   SELECT * FROM sparse WHERE lower(gene_id) NOT IN (SELECT lower(gene_id) FROM weak)"""),
-    "filter_genes_by_mean": (filter_genes_by_mean, f"""WITH {X2}, n AS (SELECT count(DISTINCT cell_id) AS n FROM sparse), weak AS (SELECT gene_id FROM sparse, n GROUP BY 1
-  HAVING sum(log2(greatest(value, 1.0))) / any_value(n) <= 1) SELECT * FROM sparse WHERE gene_id NOT IN (SELECT gene_id FROM weak)"""),
+    "filter_genes_by_mean": (filter_genes_by_mean, f"""WITH {TWINS}, n AS (SELECT count(DISTINCT cell_id) AS n FROM twins), weak AS (SELECT gene_id FROM twins, n GROUP BY 1
+  HAVING sum(log2(greatest(value, 1.0))) / any_value(n) <= log2(64.0)) SELECT * FROM twins WHERE lower(gene_id) NOT IN (SELECT lower(gene_id) FROM weak)"""),
     "case_insensitive_anti": (case_insensitive_anti, f"WITH {X1}, {NAMES_SQL} SELECT * FROM dense WHERE lower(gene_id) NOT IN (SELECT gene_id FROM names)"),
     "is_element_ignore_case": (is_element_ignore_case, f"WITH {NAMES_SQL} SELECT DISTINCT p_brand AS gene_id, lower(p_brand) IN (SELECT gene_id FROM names) AS found FROM part"),
     "outlier_cells": (outlier_cells, f"WITH {OUTLIERS} SELECT cell_id FROM outliers"),
@@ -246,8 +291,9 @@ BY_NAME = {
   k AS (SELECT count(DISTINCT cell_id) AS n FROM kept), weak AS (SELECT gene_id FROM kept, k GROUP BY 1
   HAVING sum(value) / any_value(n) BETWEEN 0 AND 2 OR count(*) FILTER (WHERE value >= 2) / any_value(n) < 0.1)
   SELECT gene_id, cell_id, round(log2(greatest(value, 1.0)), 6) AS log2v FROM kept WHERE gene_id NOT IN (SELECT gene_id FROM weak)"""),
-    "libsize_normalise": (libsize_normalise, f"""WITH {X2}, s AS (SELECT cell_id, sum(value) AS t FROM sparse GROUP BY 1), m AS (SELECT quantile_cont(t, 0.5) AS m FROM s)
-  SELECT gene_id, cell_id, round(value / t * m, 6) AS value FROM sparse JOIN s USING (cell_id), m"""),
+    "libsize_normalise": (libsize_normalise, f"""WITH {SIGNED}, s AS (SELECT cell_id, sum(value) AS t FROM signed GROUP BY 1), m AS (SELECT quantile_cont(t, 0.5) AS m FROM s),
+  scaled AS (SELECT gene_id, cell_id, value / t * m AS value FROM signed JOIN s USING (cell_id), m WHERE t <> 0)
+  SELECT gene_id, cell_id, round(value, 6) + 0.0 AS value FROM scaled WHERE gene_id IN (SELECT gene_id FROM scaled GROUP BY 1 HAVING sum(value) > 0)"""),
     "elbow": (elbow, f"""WITH {X1}, n AS (SELECT count(DISTINCT cell_id) AS n FROM dense), s AS (SELECT gene_id, round(sum(value) / any_value(n), 6) AS score FROM dense, n GROUP BY 1),
   r AS (SELECT *, row_number() OVER (ORDER BY score DESC, gene_id) AS r, count(*) OVER () AS c, max(score) OVER () AS top, min(score) OVER () AS low FROM s),
   d AS (SELECT *, round(abs((c - 1) * (score - top) - (low - top) * (r - 1)), 9) AS d FROM r)
@@ -264,13 +310,16 @@ BY_NAME = {
     "pseudotime_join": (pseudotime_join, f"WITH {X2}, {ORDER} SELECT gene_id, cell_id, greatest(value, 10.0) AS value, rank AS pseudotime FROM sparse JOIN ordered USING (cell_id)"),
     "subset_ordered": (subset_ordered, f"WITH {X1}, {ORDER} SELECT gene_id, cell_id, value, rank FROM dense JOIN ordered USING (cell_id) WHERE gene_id IN (SELECT gene_id FROM dense WHERE value > 900)"),
     "annotate_order": (annotate_order, """SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS rank,
-  CAST(label AS VARCHAR) AS group_id FROM embeddings"""),
+  CASE WHEN vec_id % 3 = 0 THEN 'z' ELSE '' END || CAST(label AS VARCHAR) AS group_id FROM embeddings"""),
     "scattering": (scattering, f"WITH {SCATTERING} SELECT gene_id, scattering FROM scattered"),
     "scattering_filter": (scattering_filter, f"WITH {SCATTERING} SELECT gene_id, scattering FROM scattered WHERE scattering < (SELECT quantile_cont(scattering, 0.4321) FROM scattered)"),
     "spline_test": (spline_test, f"""WITH {SPLINE} SELECT gene_id, 'OK' AS status, round(n * ln(rss0 / (rss0 - ex)), 4) AS lrt,
   round(range, 4) AS cyclic_driving_force, round(abs(b1 * e1 + b2 * e2 + b3 * e3), 4) AS linear_driving_force FROM fit JOIN curve USING (gene_id)"""),
-    "spline_pvalues": (spline_pvalues, None),
-    "driver_genes": (driver_genes, None),
+    "spline_pvalues": (spline_pvalues, f"WITH {_spline_sql(X2.replace('sparse AS', 'dense AS'), ORDER)}, {TESTED} SELECT {DE_COLUMNS} FROM de"),
+    "driver_genes": (driver_genes, f"WITH {DRIVERS} SELECT {DE_COLUMNS}, round(force, 4) + 0.0 AS force FROM drivers"),
+    "driver_profiles": (driver_profiles, f"""WITH {DRIVERS}, l AS (SELECT gene_id, cell_id, log2(greatest(value, 1.0)) AS v FROM expr4 WHERE gene_id IN (SELECT gene_id FROM drivers)),
+  ms AS (SELECT gene_id, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1)
+  SELECT gene_id, cell_id, rank, round((v - m) / s, 5) + 0.0 AS z FROM l JOIN ms USING (gene_id) JOIN ordered USING (cell_id)"""),
     "signature_profiles": (signature_profiles, f"""WITH {X4}, l AS (SELECT gene_id, cell_id, log2(greatest(value, 1.0)) AS v FROM expr4 WHERE gene_id < 'g16'),
   s AS (SELECT gene_id, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1),
   o AS (SELECT CAST(vec_id AS VARCHAR) AS cell_id, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS rank, CAST(label AS VARCHAR) AS group_id FROM embeddings)
