@@ -141,7 +141,7 @@ def nearest(vec: DataFrame, k: int, include_self: bool = False, metric="Euclidea
         return knn(vec, k, include_self, metric)
     if metric != "Euclidean":
         raise ValueError("lists are searched by Euclidean distance only")
-    found = knn_by_lists(vec, k - include_self, lists, probes or max(1, lists // 4))
+    found = knn_by_lists(vec, k - include_self, lists, probes or max(1, lists // 2))
     if not include_self:
         return found
     own = vec.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("nth"))
@@ -190,7 +190,7 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 def knn_graph(vec: DataFrame, l: int = 15, k: int = 15, seed: int = 123, metric="Euclidean", lists: int | None = None, probes: int | None = None) -> DataFrame:
     """Undirected edges(src, dst, w) of each cell's l nearest others, or of a random k of them.
 
-    With `lists` the neighbours are searched among `probes` (a quarter of the lists by default) centroid lists, which is
+    With `lists` the neighbours are searched among `probes` (half of the lists by default) centroid lists, which is
     approximate but does not meet all pairs; Euclidean only.
     """
     if k > l:

@@ -89,7 +89,7 @@ def knn_block_recall(spark, sf_dir):
 
 
 def knn_list_recall(spark, sf_dir):
-    """Recall of the search in a quarter of the centroid lists against the exact one, on the first ten principal components."""
+    """Recall of the search in half of the centroid lists against the exact one, on the first ten principal components."""
     vec = stored(linalg.pca_embed(vectors(spark, sf_dir), 10)[0], "embedded")
     return neighbours.recall(neighbours.nearest(vec, 10, lists=16), neighbours.knn(vec, 10))
 
