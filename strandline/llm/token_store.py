@@ -17,7 +17,7 @@ and cut into segments in one streaming pass (memory: one segment, or one documen
 added up from per-segment totals when the file is read.
 
 Defined edge results: null texts count as empty, an empty document holds just the end id; rows that repeat
-a key are ordered by text and each get a row; null keys come first; an empty table gives an empty file.
+a key are ordered by a hash of the text and each get a row; null keys come first; an empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -255,10 +255,12 @@ def write_tokens(
 ) -> str:
     """Tokenise `docs` and write the token file at `path`, in ascending key order; returns `path`.
 
-    Buckets are the range partitions of the key, as many as the session's shuffle partitions.
+    Buckets are the range partitions of the key and, among equal keys (or none), a hash of the text, as many as the session's
+    shuffle partitions; so a key that very many rows share is no single task's.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    order = [F.col("key").asc_nulls_first(), "text_hash"]
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     rows = rows.select(F.spark_partition_id().alias("bucket"), F.col("key").isNull().alias("no_key"), F.coalesce("key", F.lit(0)).alias("key"), "text")
     segments = rows.mapInPandas(_segments(tokenizer_path, segment_tokens), SEGMENT_SCHEMA)
     segments.write.option("compression", "zstd").parquet(path)
