@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm.decontaminate import op9_decontaminate
+from strandline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
 from strandline.llm.dedup_spans import op2_dedup_spans
 from strandline.llm.language import op7_language
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_dedup_lines": OP3_SQL,
+    "op9_decontaminate": OP9_SQL,
     "op10_warc": OP10_SQL,
 }

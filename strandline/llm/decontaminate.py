@@ -213,3 +213,28 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+OP9_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda w: w <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda w: w <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), {WIDTH}) AS width, array_to_string(w[begins:begins + least(len(w), {WIDTH}) - 1], ' ') AS words
+  FROM items, unnest(range(1, greatest(len(w) - {WIDTH}, 0) + 2)) s(begins) WHERE len(w) > 0
+), widths AS (SELECT DISTINCT width FROM windows
+), places AS (
+  SELECT doc_id, begins, width, array_to_string(w[begins:begins + width - 1], ' ') AS words
+  FROM cut CROSS JOIN widths, unnest(range(1, greatest(len(w) - width + 2, 1))) s(begins)
+), hits AS (
+  SELECT DISTINCT doc_id, begins, width, item_id FROM places JOIN windows USING (width, words)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(begins, begins + width)) AS p FROM hits) GROUP BY 1
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM cut LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
