@@ -114,12 +114,13 @@ def repeated_lines(
     """(key, gone): the line numbers of later repeats, one row for each document that has any."""
     marks = stored(selected_lines(docs, doc_key, text_col, min_run, min_words), "line-marks")
     common = stored(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "common-lines")
-    runs = marks.join(common, "hash", "left_semi").select("key", F.explode("runs").alias("run"))
+    # Merge joins at every size: either side grows with the documents.
+    runs = marks.join(common.hint("merge"), "hash", "left_semi").select("key", F.explode("runs").alias("run"))
     runs = stored(runs.select("key", "run.*").distinct(), "line-runs")
     place = F.struct("key", "start")
     firsts = runs.groupBy("run_hash", "run_check").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").select("run_hash", "run_check", "first"), "first-runs")
-    later = runs.join(firsts, ["run_hash", "run_check"]).where(place > F.col("first"))
+    later = runs.join(firsts.hint("merge"), ["run_hash", "run_check"]).where(place > F.col("first"))
     return later.select("key", F.explode("at").alias("line")).groupBy("key").agg(F.collect_set("line").alias("gone"))
 
 
