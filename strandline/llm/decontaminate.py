@@ -31,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct window hashes up to which they are broadcast; each is a long and an int, about 50 bytes in the table of a join.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of hits (their words and item ids counted) up to which they are broadcast to the documents.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 96 << 20
 
 
 def words(text: Column) -> Column:
@@ -109,7 +109,7 @@ def find_windows(
     text_col: str,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame | None:
-    """Candidate hits by hash: one row per key with `hits`, an array of (at, width, window_words, item_ids).
+    """Candidate hits by hash: one row per key with `hits`, an array of (at, width, window, item_ids).
 
     None if the benchmark has no window at all.
     """
@@ -136,8 +136,9 @@ def find_windows(
         at = F.when((F.col("width") == width) & (own >= 0) & (own < windows_of(width)), own).otherwise(at)
         before = before + windows_of(width)
     found = stored(found.select("key", "hash", "width", at.alias("at")).where("at >= 0").distinct(), "found")
-    found = found.join(windows, ["hash", "width"])
-    hits = F.collect_set(F.struct("at", "width", "window_words", "item_ids"))
+    # Words hold no blanks, so a window's words are one text.
+    found = found.join(windows.withColumn("window", F.array_join("window_words", " ")), ["hash", "width"])
+    hits = F.collect_set(F.struct("at", "width", "window", "item_ids"))
     return found.groupBy("key").agg(hits.alias("hits"))
 
 
@@ -157,17 +158,18 @@ def decontaminate(
     """
     hits = find_windows(docs, benchmark_windows(benchmark, width), doc_key, text_col, broadcast_rows)
     # The caller's columns travel in one struct, so their names can't clash with those used here.
-    out = docs.select(F.struct(*docs.columns).alias("row")).withColumn("w", words(F.col("row")[text_col]))
+    out = docs.select(F.struct(*docs.columns).alias("row"))
     if hits is None:
-        out = out.withColumn("hits", F.array().cast("array<struct<at:int,width:int,window_words:array<string>,item_ids:array<bigint>>>"))
+        out = out.withColumn("hits", F.array().cast("array<struct<at:int,width:int,window:string,item_ids:array<bigint>>>"))
     else:
         hits = stored(hits, "hits")
-        one = F.aggregate("hits", F.lit(0), lambda s, h: s + 100 + 16 * F.size(h["window_words"]) + F.octet_length(F.array_join(h["window_words"], "")) + 24 * F.size(h["item_ids"]))
+        one = F.aggregate("hits", F.lit(0), lambda s, h: s + 80 + F.octet_length(h["window"]) + 8 * F.size(h["item_ids"]))
         small = (hits.agg(F.sum(100 + one.cast("long"))).first()[0] or 0) <= broadcast_bytes
         hits = F.broadcast(hits) if small else hits.hint("merge")
         same = F.col("row")[doc_key].eqNullSafe(F.col("key.id")) & (F.xxhash64(F.col("row")[text_col]) == F.col("key.text_hash"))
         out = out.join(hits, same, "left").drop("key")
-    verified = F.filter("hits", lambda h: F.slice(F.col("w"), h["at"] + 1, h["width"]) == h["window_words"])
+    out = out.withColumn("w", words(F.col("row")[text_col]))  # after the join, which moves texts only where the hits are many
+    verified = F.filter("hits", lambda h: F.array_join(F.slice(F.col("w"), h["at"] + 1, h["width"]), " ") == h["window"])
     out = out.withColumn("hits", F.when(F.col("hits").isNotNull(), verified))
     ordered = F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("start"), (h["at"] + h["width"]).alias("end"))))
     empty = F.array().cast("array<struct<start:int,end:int>>")
