@@ -23,7 +23,19 @@ found by contraction: every node is merged into the least node it is linked to,
 between the merged nodes, and the rounds go on until no link is left. Each round's tables are written to
 the shared folder.
 
-Defined edge results: null, empty and blank texts have fingerprint zero, which links like any other; rows that
+Similar shingle sets (`similar_documents`, the pipeline's stage): a similarity of 0.8 of two texts moves about ten of 64
+bits, which no selective grid of 64 bits can reach. There the fingerprint is the sparse one: the set of the distinct hashes of
+five-word shingles, that is one bit in 2^64 for each. Its Hamming distance, the symmetric difference, is at most
+(m1 + m2) (1 - s) / (1 + s) for sets of m1 and m2 hashes with a Jaccard similarity of s. The hashes are cut into more parts than
+that, so two such sets agree on a whole part: the Manhattan distance of its segments' counts, the lower bound,
+is zero, and the part's point is named by the same kind of linear hash. The number of parts belongs to a class of sizes; a set
+is placed in its own class and, if a partner could be of the next, there too. Sets that meet on a point are candidates,
+and their Jaccard similarity is computed from the whole texts. Equal sets are one node. At a point of up to
+`FEW` sets all pairs are candidates; at a greater one each set is paired with the first only (within each batch before
+the shuffle, too, so that a group that holds a third of all rows sends a row for each batch). Two similar sets stay apart only if
+no chain of such pairs joins them: if each of their common points holds more than `FEW` sets whose first is similar to neither.
+
+Defined edge results: null, empty and blank texts have fingerprint zero, which links like any other (and equal, empty sets); rows that
 repeat a doc_id are kept and each has its own fingerprint; a null doc_id is kept, and a group of nothing
 but null doc_ids has a null component_id; other columns are not touched.
 """
@@ -50,6 +62,13 @@ FEW = 16
 #: A grid point with more fingerprints than this is searched by several tasks.
 CHUNK = 4096
 ROUNDS = 60
+#: Words of a shingle and least Jaccard similarity of near duplicates, where no contract sets another rule.
+SET_SHINGLE = 5
+SIMILARITY = 0.8
+#: Each class of set sizes ends at this multiple of the one before.
+CLASS_RATIO = 1.75
+#: Sets of so few hashes are dealt to parts several times, as a part of theirs is often empty.
+SMALL_SET, SMALL_DEALS = 32, 4
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -261,13 +280,161 @@ def near_duplicates(docs: DataFrame, doc_key: str = "doc_id", text: str = "text"
     return marked.join(named, "fp").select("doc_id", "fp", text_form.alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, size: int = SET_SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, in ascending order."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(p, SEED) for p in shingles(text, size)), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of u64 that spreads sums of hashes over all bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def set_points(hashes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The grid points of a sorted set: two sets with a similarity of `least` or more agree on one of them."""
+    m = len(hashes)
+    if not m:
+        return np.zeros(0, np.int64)
+    level, top = 0, 4
+    while top < m:
+        level, top = level + 1, int(top * CLASS_RATIO)
+    reached = [(level, top)]
+    if m / least >= top:
+        reached.append((level + 1, int(top * CLASS_RATIO)))
+    found = []
+    for deal in range(SMALL_DEALS if m <= SMALL_SET else 1):
+        dealt = hashes if deal == 0 else np.sort(_mixed(hashes + np.uint64(deal)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(dealt), dtype=np.uint64)])
+        for level, top in reached:
+            n_parts = int(2 * top * (1 - least) / (1 + least) + 1e-9) + 1
+            part = ((dealt >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+            ends = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(ends))  # what an empty part agrees on says nothing
+            own = (full + (level * SMALL_DEALS + deal << 40)).astype(np.uint64)
+            found.append(_mixed(sums[ends[full + 1]] - sums[ends[full]] + _mixed(own)))
+    return np.concatenate(found).view(np.int64)
+
+
+def _candidates(point: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+    """Pairs of the rows, which come sorted by point: all at points of up to `FEW`, each with the first one at greater points."""
+    starts = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+    sizes = np.diff(np.r_[starts, len(point)])
+    size_of = np.repeat(sizes, sizes)
+    many = size_of > FEW
+    found = [np.stack([np.repeat(node[starts], sizes)[many], node[many]], axis=1)]
+    for shift in range(1, min(FEW, int(sizes.max()))):
+        same = np.flatnonzero((point[shift:] == point[:-shift]) & ~many[shift:])
+        found.append(np.stack([node[same], node[same + shift]], axis=1))
+    pairs = np.concatenate(found)
+    return _signed(pairs[pairs[:, 0] != pairs[:, 1]])
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(point, a, b): members of a point (a = b); where a batch has more than `FEW`, the first of them and links (a, b) of the others to it."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        node = np.repeat(batch["node"].to_numpy(), batch["points"].map(len))
+        if not len(node):
+            continue
+        points = np.concatenate(batch["points"].to_numpy())
+        _, first, which, sizes = np.unique(points, return_index=True, return_inverse=True, return_counts=True)
+        sent = (sizes[which] <= FEW) | (first[which] == np.arange(len(node)))
+        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": node[sent]})
+        linked = _signed(np.stack([node[first][which], node], axis=1)[~sent])
+        linked = linked[linked["a"] != linked["b"]]
+        yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"]})  # under any point, so that they spread
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of `_placed`, sorted by point, become candidates (a, b)."""
+    held, hot = np.zeros((0, 2), np.int64), None  # rows of the last point, or its first row if it has many
+    for batch in batches:
+        own = (batch["a"] == batch["b"]).to_numpy()
+        yield _signed(batch.loc[~own, ["a", "b"]].to_numpy())
+        rows = np.concatenate([held, batch.loc[own, ["point", "a"]].to_numpy()])
+        held = rows[:0]
+        if hot is not None:
+            n = int(np.searchsorted(rows[:, 0], hot[0], "right"))
+            pairs = np.stack([np.full(n, hot[1]), rows[:n, 1]], axis=1)
+            yield _signed(pairs[pairs[:, 0] != pairs[:, 1]])
+            rows = rows[n:]
+        if not len(rows):
+            continue
+        cut, hot = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")), None
+        if len(rows) - cut <= FEW:
+            held, rows = rows[cut:], rows[:cut]
+        else:
+            hot = rows[cut]
+        if len(rows):
+            yield _candidates(rows[:, 0], rows[:, 1])
+    if len(held):
+        yield _candidates(held[:, 0], held[:, 1])
+
+
+def similar_documents(
+    docs: DataFrame, doc_key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, least: float = SIMILARITY
+) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs` with a doc_id: the least doc_id that is linked by sets of similarity `least` or more."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch["text"]]
+            names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": names, "points": [set_points(s, least) for s in sets]})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, tuple[str, np.ndarray]] = {}
+
+        def of(side: str, text: str) -> np.ndarray:  # the last set of each side, as rows of one document are often neighbours
+            if side not in kept or kept[side][0] != text:
+                kept[side] = text, shingle_set(text, size)
+            return kept[side][1]
+
+        for batch in batches:
+            near = [similarity(of("a", x), of("b", y)) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.where("doc_id is not null")
+    marked = stored(rows.mapInPandas(mark, "doc_id bigint, set binary, points array<bigint>"), "shingle-sets")
+    firsts = stored(marked.groupBy("set").agg(F.min("doc_id").alias("first")), "distinct-sets")
+    # XXH64 of eight bytes is a bijection, so a node is a document; merge joins at every size, as both sides grow with the documents.
+    copies = marked.select("set", "doc_id").join(firsts.hint("merge"), "set").where("doc_id <> first")
+    copies = copies.select(F.xxhash64("first").alias("a"), F.xxhash64("doc_id").alias("b"))
+    nodes = marked.join(firsts.withColumnRenamed("first", "doc_id").hint("merge"), ["set", "doc_id"], "left_semi")
+    placed = nodes.select(F.xxhash64("doc_id").alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint")
+    # The first member of a large point is the least at one half of the points and the greatest at the other.
+    placed = placed.repartition("point").sortWithinPartitions("point", F.expr("if(point % 2 = 0, a, ~a)"))
+    met = placed.mapInPandas(_met, "a bigint, b bigint")
+    pairs = stored(met.distinct(), "candidate-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.select(F.xxhash64("doc_id").alias("node"), "text").join(named.hint("merge"), "node", "left_semi")
+    texts = stored(texts, "candidate-texts")
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}).hint("merge"), "a")
+    both = both.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}).hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    roots = components(both.mapInPandas(verify, "a bigint, b bigint").union(copies).distinct())
+    ids = marked.select("doc_id", F.xxhash64("doc_id").alias("node")).join(roots.hint("merge"), "node", "left")
+    rooted = stored(ids.select("doc_id", F.coalesce("root", "node").alias("root")), "rooted-ids")
+    least_ids = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first-ids")
+    return rooted.join(least_ids.hint("merge"), "root").select("doc_id", "component_id")
+
+
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each near-duplicate group, that of its least doc_id; columns as they are.
+    """One row of `docs` for each group of similar texts (`similar_documents`), that of its least doc_id; columns as they are.
 
     A doc_id that several rows repeat counts as one document; the row with the least text stays. Rows with
     a null doc_id can't be told apart, so all of them stay.
     """
-    groups = near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    groups = similar_documents(docs).groupBy("doc_id")
     groups = groups.agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     # What goes is far less than what stays, so the texts meet the smaller set.
     first = (F.col("doc_id") == F.col("component_id")).alias("first")

@@ -133,6 +133,74 @@ def test_components_of_chains_and_stars(spark):
     assert len({got[i] for i in range(61)}) == 1 and len({got[i] for i in range(1000, 1050)}) == 1 and got[0] != got[1000]
 
 
+def _near_texts(rng, sizes, copies=6):
+    """Texts of the given numbers of words, and copies of each with a few words changed, cut or added."""
+    out = []
+    for size in sizes:
+        words = [f"w{rng.integers(10**6)}" for _ in range(size)]
+        out.append(" ".join(words))
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(rng.integers(1, max(2, size // 30))):
+                own[rng.integers(len(own))] = f"x{rng.integers(10**6)}"
+            cut = int(rng.integers(0, 1 + size // 12))
+            out.append(" ".join(own[cut:] if rng.random() < 0.5 else own + [f"y{k}" for k in range(cut)]))
+    return out
+
+
+def _similar_components(texts):
+    """Brute force: the least index that each text is linked to, by exact sets of word tuples."""
+    sets = [{w[k : k + 5] for k in range(len(w) - 4)} if len(w) > 5 else {w} if w else set() for w in (tuple((t or "").split()) for t in texts)]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if root[i] != root[j] and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = _near_texts(rng, [8, 12, 20, 33, 40, 60, 61, 90, 150, 400, 401, 2000])
+    texts += [None, "", " \t", "a", "a", "b c d e f", texts[7], texts[0] + "\n"] + [f"lone{k} " * 9 for k in range(5)]
+    order = rng.permutation(len(texts))
+    table = spark.createDataFrame([(int(i), texts[i], k) for k, i in enumerate(order)], "doc_id long, text string, a int").repartition(5)
+    want = _similar_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table).collect()}
+    assert got == dict(enumerate(want))
+    assert len(set(want)) < 0.6 * len(want)
+    kept = sorted(r["doc_id"] for r in simhash.first_of_each_group(table).collect())
+    assert kept == sorted(set(want))
+
+
+def test_similar_sets_share_a_point():
+    rng = np.random.default_rng(12)
+    shared = tried = 0
+    for m in [*range(4, 60), 100, 257, 1000, 5000]:
+        for _ in range(20):
+            union = rng.integers(0, 2**64, m, dtype=np.uint64)
+            differ = m // 5  # a similarity of 0.8 or just more, dealt to either side
+            cut = int(rng.integers(differ + 1))
+            a, b = np.sort(union[cut:]), np.sort(np.delete(union, np.s_[cut:differ]))
+            assert simhash.similarity(a, b) >= 0.8
+            tried += 1
+            shared += len(np.intersect1d(simhash.set_points(a), simhash.set_points(b))) > 0
+    assert shared >= tried - 2
+    far = [simhash.set_points(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(300)]
+    assert len(np.unique(np.concatenate(far))) == sum(map(len, far))
+
+
+def test_similar_documents_of_one_large_group(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:60] + [f"own{k}"] + base[61:])) for k in range(400)] + [(None, " ".join(base)), (7, "another text of this id")]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 401 and {r["component_id"] for r in got} == {0}
+    kept = simhash.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == ["0", "None"]
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = simhash.first_of_each_group(documents(spark)).collect()
     ids = sorted(r["doc_id"] for r in rows if r["doc_id"] is not None)
