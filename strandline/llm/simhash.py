@@ -29,8 +29,9 @@ five-word shingles, that is one bit in 2^64 for each. Its Hamming distance, the
 (m1 + m2) (1 - s) / (1 + s) for sets of m1 and m2 hashes with a Jaccard similarity of s. The hashes are cut into more parts than
 that, so two such sets agree on a whole part: the Manhattan distance of its segments' counts, the lower bound,
 is zero, and the part's point is named by the same kind of linear hash. The number of parts belongs to a class of sizes; a set
-is placed in its own class and, if a partner could be of the next, there too. Sets that meet on a point are candidates,
-and their Jaccard similarity is computed from the whole texts. Equal sets are one node. At a point of up to
+is placed in its own class and, if a partner could be of the next, there too. Sets that meet on a point are candidates.
+The Manhattan distance of their bit counts in 256 segments, again a lower bound, rejects most chance
+meetings, and the Jaccard similarity of the rest is computed from the whole texts. Equal sets are one node. At a point of up to
 `FEW` sets all pairs are candidates; at a greater one each set is paired with the first only (within each batch before
 the shuffle, too, so that a group that holds a third of all rows sends a row for each batch). Two similar sets stay apart only if
 no chain of such pairs joins them: if each of their common points holds more than `FEW` sets whose first is similar to neither.
@@ -69,6 +70,8 @@ SIMILARITY = 0.8
 CLASS_RATIO = 1.75
 #: Sets of so few hashes are dealt to parts several times, as a part of theirs is often empty.
 SMALL_SET, SMALL_DEALS = 32, 4
+#: Segments whose bit counts bound the distance of two candidates before their texts are fetched.
+SEGMENTS = 256
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -286,6 +289,12 @@ def shingle_set(text: str | None, size: int = SET_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(p, SEED) for p in shingles(text, size)), np.uint64))
 
 
+def segment_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes each of `SEGMENTS` equal segments holds; 255 stands for more, which only lowers distances."""
+    segment = (hashes >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(segment, minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; 1 for two empty ones."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -389,7 +398,14 @@ def similar_documents(
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch["text"]]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": names, "points": [set_points(s, least) for s in sets]})
+            about = {"size": [len(s) for s in sets], "counts": [segment_counts(s) for s in sets]}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": names, **about, "points": [set_points(s, least) for s in sets]})
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("counts_a", "counts_b"))
+            at_most = (batch["size_a"] + batch["size_b"]).to_numpy() * (1 - least) / (1 + least) + 1e-6
+            yield batch.loc[np.abs(a - b).sum(axis=1) <= at_most, ["a", "b"]]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, tuple[str, np.ndarray]] = {}
@@ -405,7 +421,7 @@ def similar_documents(
 
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.where("doc_id is not null")
-    marked = stored(rows.mapInPandas(mark, "doc_id bigint, set binary, points array<bigint>"), "shingle-sets")
+    marked = stored(rows.mapInPandas(mark, "doc_id bigint, set binary, size bigint, counts binary, points array<bigint>"), "shingle-sets")
     firsts = stored(marked.groupBy("set").agg(F.min("doc_id").alias("first")), "distinct-sets")
     # XXH64 of eight bytes is a bijection, so a node is a document; merge joins at every size, as both sides grow with the documents.
     copies = marked.select("set", "doc_id").join(firsts.hint("merge"), "set").where("doc_id <> first")
@@ -416,12 +432,22 @@ def similar_documents(
     placed = placed.repartition("point").sortWithinPartitions("point", F.expr("if(point % 2 = 0, a, ~a)"))
     met = placed.mapInPandas(_met, "a bigint, b bigint")
     pairs = stored(met.distinct(), "candidate-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.select(F.xxhash64("doc_id").alias("node"), "text").join(named.hint("merge"), "node", "left_semi")
-    texts = stored(texts, "candidate-texts")
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}).hint("merge"), "a")
-    both = both.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}).hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    roots = components(both.mapInPandas(verify, "a bigint, b bigint").union(copies).distinct())
+
+    def both_sides(pairs: DataFrame, rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """`pairs` with `columns` of either side; only rows of nodes in pairs are sorted by what they hold."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = stored(rows.join(nodes.hint("merge"), "node", "left_semi").distinct(), name)
+        for side in ("a", "b"):
+            named = own.withColumnsRenamed({"node": side} | {c: f"{c}_{side}" for c in columns})
+            pairs = pairs.join(named.hint("merge"), side)
+        return pairs
+
+    counts = marked.select(F.xxhash64("doc_id").alias("node"), "size", "counts")
+    near = both_sides(pairs, counts, ["size", "counts"], "candidate-counts").mapInPandas(bounded, "a bigint, b bigint")
+    near = stored(near.distinct(), "near-pairs")
+    texts = rows.select(F.xxhash64("doc_id").alias("node"), "text")
+    links_found = both_sides(near, texts, ["text"], "candidate-texts").mapInPandas(verify, "a bigint, b bigint")
+    roots = components(links_found.union(copies).distinct())
     ids = marked.select("doc_id", F.xxhash64("doc_id").alias("node")).join(roots.hint("merge"), "node", "left")
     rooted = stored(ids.select("doc_id", F.coalesce("root", "node").alias("root")), "rooted-ids")
     least_ids = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first-ids")
