@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from strandline.llm.conversations import OP12_SQL, op12_conversations
 from strandline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from strandline.llm.dedup_lines import OP3_SQL, op3_dedup_lines
 from strandline.llm.dedup_spans import op2_dedup_spans
 from strandline.llm.language import op7_language
+from strandline.llm.manifest import OP13_SQL, op13_manifest
 from strandline.llm.media import op6_media
 from strandline.llm.pieces import op4_pieces
 from strandline.llm.quality import op5_quality
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op10_warc": op10_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op12_conversations": op12_conversations,
+    "op13_manifest": op13_manifest,
 }
 ORACLES: dict[str, str] = {
     "op3_dedup_lines": OP3_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op12_conversations": OP12_SQL,
+    "op13_manifest": OP13_SQL,
 }

@@ -64,7 +64,7 @@ def test_run_keeps_clean_documents(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, sf_dir)
     want = con.sql(catalog.ORACLES[name])
