@@ -13,6 +13,7 @@ from strandline.llm.pieces import op4_pieces
 from strandline.llm.quality import op5_quality
 from strandline.llm.simhash import op1_simhash
 from strandline.llm.token_store import op8_token_store
+from strandline.llm.toxicity import op11_toxicity
 from strandline.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op10_warc": op10_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op11_toxicity": op11_toxicity,
     "op12_conversations": op12_conversations,
     "op13_manifest": op13_manifest,
 }
