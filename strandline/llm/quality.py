@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BITS = 15
@@ -180,20 +180,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
 
 def with_scores(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """Every row of `docs` (text, n_chars) with `quality_score`."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    """Every row of `docs` (text, n_chars) with `quality_score`, which replaces a column of that name."""
+    return docs.withColumn("quality_score", _score(docs.sparkSession, machine, "text", "n_chars"))
+
+
+def _score(spark: SparkSession, machine: Machine | None, text: str, n_chars: str) -> Column:
+    shared = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([score_text(shared.value, t, c) for t, c in zip(texts, sizes)], dtype="float64")
 
-    return docs.withColumn("quality_score", scored("text", F.col("n_chars").cast("double")))
+    return scored(text, F.col(n_chars).cast("double"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, columns as they are."""
     machine = learn(docs, labels)
-    return with_scores(docs, machine).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    # The caller's columns travel in one struct, so their names can't clash with the score's.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("score", _score(docs.sparkSession, machine, "row.text", "row.n_chars"))
+    return rows.where(F.col("score") >= threshold).select("row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,11 @@ is zero, and the part's point is named by the same kind of linear hash. The numb
 is placed in its own class and, if a partner could be of the next, there too. Sets that meet on a point are candidates.
 The Manhattan distance of their bit counts in 256 segments, again a lower bound, rejects most chance
 meetings, and the Jaccard similarity of the rest is computed from the whole texts. Equal sets are one node. At a point of up to
-`FEW` sets all pairs are candidates; at a greater one each set is paired with the first only (within each batch before
-the shuffle, too, so that a group that holds a third of all rows sends a row for each batch). Two similar sets stay apart only if
-no chain of such pairs joins them: if each of their common points holds more than `FEW` sets whose first is similar to neither.
+`FEW` sets all pairs are candidates; at a greater one each set is first paired with the first only (within each batch before
+the shuffle, too, so that a group that holds a third of all rows sends a row for each batch). Where the links found so far don't join all sets of such a
+point, its sets are dealt to chunks that meet pairwise: every two sets of different groups are compared by their segment counts, and what the
+bound does not reject is verified like the rest. No link is lost. That is quadratic only in points that many dissimilar sets share (a
+template of which each page changes some 10 to 20 in a hundred words), with two small distances a pair and nothing emitted for pairs that are rejected.
 
 Defined edge results: null, empty and blank texts have fingerprint zero, which links like any other (and equal, empty sets); rows that
 repeat a doc_id are kept and each has its own fingerprint; a null doc_id is kept, and a group of nothing
@@ -332,22 +334,31 @@ def set_points(hashes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     return np.concatenate(found).view(np.int64)
 
 
-def _candidates(point: np.ndarray, node: np.ndarray) -> pd.DataFrame:
-    """Pairs of the rows, which come sorted by point: all at points of up to `FEW`, each with the first one at greater points."""
+def _candidates(point: np.ndarray, node: np.ndarray, flagged: np.ndarray) -> pd.DataFrame:
+    """Pairs of the rows, which come sorted by point: all at points of up to `FEW`, each with the first one at greater or flagged points,
+    whose members are rows (node, point, hot), too."""
     starts = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
     sizes = np.diff(np.r_[starts, len(point)])
     size_of = np.repeat(sizes, sizes)
-    many = size_of > FEW
-    found = [np.stack([np.repeat(node[starts], sizes)[many], node[many]], axis=1)]
+    hot = (size_of > FEW) | np.repeat(np.logical_or.reduceat(flagged, starts), sizes)
+    found = [np.stack([np.repeat(node[starts], sizes)[hot], node[hot]], axis=1)]
     for shift in range(1, min(FEW, int(sizes.max()))):
-        same = np.flatnonzero((point[shift:] == point[:-shift]) & ~many[shift:])
+        same = np.flatnonzero((point[shift:] == point[:-shift]) & (size_of[shift:] <= FEW))
         found.append(np.stack([node[same], node[same + shift]], axis=1))
     pairs = np.concatenate(found)
-    return _signed(pairs[pairs[:, 0] != pairs[:, 1]])
+    return pd.concat([_signed(pairs[pairs[:, 0] != pairs[:, 1]]).assign(hot=False), _members(point[hot], node[hot])])
+
+
+def _members(point: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": node, "b": point, "hot": np.ones(len(node), bool)})
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(point, a, b): members of a point (a = b); where a batch has more than `FEW`, the first of them and links (a, b) of the others to it."""
+    """(point, a, b, hot): members of a point (a = b).
+
+    Where a batch has more than `FEW` of them, only the first is sent to the point, flagged as hot, with links (a, b) of the others to it and rows
+    (a = node, b = point, hot) of all.
+    """
     for batch in batches:
         if not len(batch):
             continue
@@ -356,50 +367,74 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         points = np.concatenate(batch["points"].to_numpy())
         _, first, which, sizes = np.unique(points, return_index=True, return_inverse=True, return_counts=True)
-        sent = (sizes[which] <= FEW) | (first[which] == np.arange(len(node)))
-        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": node[sent]})
+        many = sizes[which] > FEW
+        leads = first[which] == np.arange(len(node))
+        sent = ~many | leads
+        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": node[sent], "hot": many[sent]})
         linked = _signed(np.stack([node[first][which], node], axis=1)[~sent])
         linked = linked[linked["a"] != linked["b"]]
-        yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"]})  # under any point, so that they spread
+        yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"], "hot": False})  # under any point, so that they spread
+        yield _members(points[many], node[many]).assign(point=node[many])[["point", "a", "b", "hot"]]
 
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of `_placed`, sorted by point, become candidates (a, b)."""
-    held, hot = np.zeros((0, 2), np.int64), None  # rows of the last point, or its first row if it has many
+    """Rows of `_placed`, sorted by point, become candidates (a, b) and members of hot points (a = node, b = point, hot)."""
+    held, lead = np.zeros((0, 3), np.int64), None  # rows (point, node, flag) of the last point, or its first row if it has many
     for batch in batches:
         own = (batch["a"] == batch["b"]).to_numpy()
-        yield _signed(batch.loc[~own, ["a", "b"]].to_numpy())
-        rows = np.concatenate([held, batch.loc[own, ["point", "a"]].to_numpy()])
+        yield batch.loc[~own, ["a", "b", "hot"]]
+        rows = np.concatenate([held, batch.loc[own, ["point", "a", "hot"]].astype("int64").to_numpy()])
         held = rows[:0]
-        if hot is not None:
-            n = int(np.searchsorted(rows[:, 0], hot[0], "right"))
-            pairs = np.stack([np.full(n, hot[1]), rows[:n, 1]], axis=1)
-            yield _signed(pairs[pairs[:, 0] != pairs[:, 1]])
+        if lead is not None:
+            n = int(np.searchsorted(rows[:, 0], lead[0], "right"))
+            pairs = np.stack([np.full(n, lead[1]), rows[:n, 1]], axis=1)
+            yield _signed(pairs[pairs[:, 0] != pairs[:, 1]]).assign(hot=False)
+            yield _members(rows[:n, 0], rows[:n, 1])
             rows = rows[n:]
         if not len(rows):
             continue
-        cut, hot = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")), None
+        cut, lead = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")), None
         if len(rows) - cut <= FEW:
             held, rows = rows[cut:], rows[:cut]
         else:
-            hot = rows[cut]
+            lead = rows[cut]
         if len(rows):
-            yield _candidates(rows[:, 0], rows[:, 1])
+            yield _candidates(rows[:, 0], rows[:, 1], rows[:, 2] > 0)
     if len(held):
-        yield _candidates(held[:, 0], held[:, 1])
+        yield _candidates(held[:, 0], held[:, 1], held[:, 2] > 0)
+
+
+def counts_within(a: pd.DataFrame, b: pd.DataFrame, least: float, rows: int = 16) -> np.ndarray:
+    """Index pairs (into a, into b) of different roots whose segment counts leave a similarity of `least` possible.
+
+    A coarse Manhattan distance, over sums of sixteen segments, is a lower bound of that over segments and rejects most first.
+    """
+    x, y = (np.frombuffer(b"".join(f["counts"]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for f in (a, b))
+    coarse_x, coarse_y = (z.reshape(len(z), 16, -1).sum(axis=2, dtype=np.int32) for z in (x, y))
+    share, found = (1 - least) / (1 + least), [np.zeros((0, 2), np.int64)]
+    sizes, roots = b["size"].to_numpy(), b["root"].to_numpy()
+    for k in range(0, len(x), rows):
+        at = slice(k, k + rows)
+        most = (a["size"].to_numpy()[at, None] + sizes) * share + 1e-6
+        near = (np.abs(coarse_x[at, None] - coarse_y).sum(axis=2) <= most) & (a["root"].to_numpy()[at, None] != roots)
+        i, j = np.nonzero(near)
+        close = np.abs(x[at][i] - y[j]).sum(axis=1) <= most[i, j]
+        found.append(np.stack([i[close] + k, j[close]], axis=1))
+    return np.concatenate(found)
 
 
 def similar_documents(
-    docs: DataFrame, doc_key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, least: float = SIMILARITY
+    docs: DataFrame, doc_key: str = "doc_id", text: str = "text", size: int = SET_SHINGLE, least: float = SIMILARITY, chunk: int = CHUNK
 ) -> DataFrame:
-    """(doc_id, component_id) for every row of `docs` with a doc_id: the least doc_id that is linked by sets of similarity `least` or more."""
+    """(doc_id, text_hash, first): for every document of `docs`, a doc_id with a text, whether it is the first of those that links of sets of
+    similarity `least` or more join with it, in order of doc_id (null first) and of text_hash, the xxhash64 of the text."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch["text"]]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             about = {"size": [len(s) for s in sets], "counts": [segment_counts(s) for s in sets]}
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": names, **about, "points": [set_points(s, least) for s in sets]})
+            yield pd.DataFrame({"key": batch["key"], "set": names, **about, "points": [set_points(s, least) for s in sets]})
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -419,19 +454,25 @@ def similar_documents(
             near = [similarity(of("a", x), of("b", y)) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
             yield batch.loc[near, ["a", "b"]]
 
-    rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.where("doc_id is not null")
-    marked = stored(rows.mapInPandas(mark, "doc_id bigint, set binary, size bigint, counts binary, points array<bigint>"), "shingle-sets")
-    firsts = stored(marked.groupBy("set").agg(F.min("doc_id").alias("first")), "distinct-sets")
-    # XXH64 of eight bytes is a bijection, so a node is a document; merge joins at every size, as both sides grow with the documents.
-    copies = marked.select("set", "doc_id").join(firsts.hint("merge"), "set").where("doc_id <> first")
-    copies = copies.select(F.xxhash64("first").alias("a"), F.xxhash64("doc_id").alias("b"))
-    nodes = marked.join(firsts.withColumnRenamed("first", "doc_id").hint("merge"), ["set", "doc_id"], "left_semi")
-    placed = nodes.select(F.xxhash64("doc_id").alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        a, b = (pdf[pdf["own"] == k].reset_index(drop=True) for k in (i, j))
+        near = counts_within(a, b, least)
+        return _signed(np.stack([a["node"].to_numpy()[near[:, 0]], b["node"].to_numpy()[near[:, 1]]], axis=1))
+
+    rows = document_keys(docs, doc_key, text)
+    marked = stored(rows.mapInPandas(mark, f"key {KEY}, set binary, size bigint, counts binary, points array<bigint>"), "shingle-sets")
+    node = F.xxhash64("key.doc_id", "key.text_hash")
+    firsts = stored(marked.groupBy("set").agg(F.min("key").alias("first")), "distinct-sets")
+    # Merge joins at every size, as both sides grow with the documents.
+    joined = marked.select("set", "key").join(firsts.hint("merge"), "set").where("key <> first")
+    copies = joined.select(F.xxhash64("first.doc_id", "first.text_hash").alias("a"), node.alias("b")).where("a <> b")
+    nodes = marked.join(firsts.withColumnRenamed("first", "key").hint("merge"), ["set", "key"], "left_semi")
+    placed = nodes.select(node.alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint, hot boolean")
     # The first member of a large point is the least at one half of the points and the greatest at the other.
     placed = placed.repartition("point").sortWithinPartitions("point", F.expr("if(point % 2 = 0, a, ~a)"))
-    met = placed.mapInPandas(_met, "a bigint, b bigint")
-    pairs = stored(met.distinct(), "candidate-pairs")
+    met = stored(placed.mapInPandas(_met, "a bigint, b bigint, hot boolean"), "met-sets")
+    pairs = stored(met.where("not hot").select("a", "b").distinct(), "candidate-pairs")
 
     def both_sides(pairs: DataFrame, rows: DataFrame, columns: list[str], name: str) -> DataFrame:
         """`pairs` with `columns` of either side; only rows of nodes in pairs are sorted by what they hold."""
@@ -442,36 +483,69 @@ def similar_documents(
             pairs = pairs.join(named.hint("merge"), side)
         return pairs
 
-    counts = marked.select(F.xxhash64("doc_id").alias("node"), "size", "counts")
+    counts = marked.select(node.alias("node"), "size", "counts").distinct()
     near = both_sides(pairs, counts, ["size", "counts"], "candidate-counts").mapInPandas(bounded, "a bigint, b bigint")
     near = stored(near.distinct(), "near-pairs")
-    texts = rows.select(F.xxhash64("doc_id").alias("node"), "text")
+    texts = rows.select(node.alias("node"), "text")
     links_found = both_sides(near, texts, ["text"], "candidate-texts").mapInPandas(verify, "a bigint, b bigint")
-    roots = components(links_found.union(copies).distinct())
-    ids = marked.select("doc_id", F.xxhash64("doc_id").alias("node")).join(roots.hint("merge"), "node", "left")
-    rooted = stored(ids.select("doc_id", F.coalesce("root", "node").alias("root")), "rooted-ids")
-    least_ids = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first-ids")
-    return rooted.join(least_ids.hint("merge"), "root").select("doc_id", "component_id")
+    links_found = stored(links_found.union(copies).distinct(), "set-links")
+    roots = components(links_found)
+
+    # Points of many sets: where links through their first members haven't joined all of them, the rest is compared chunk by chunk.
+    members = met.where("hot").select(F.col("a").alias("node"), F.col("b").alias("point")).distinct()
+    members = members.join(roots.hint("merge"), "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
+    members = stored(members, "members-of-hot-points")
+    left = members.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    left = stored(left.select("point", F.ceil(F.col("n") / chunk).cast("int").alias("n_chunks")), "open-points")
+    if not left.isEmpty():
+        open_rows = stored(members.join(left, "point"), "members-of-open-points")
+        own = stored(counts.join(open_rows.select("node").distinct(), "node", "left_semi"), "counts-of-members")
+        dealt = open_rows.join(own.hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+        dealt = dealt.select("point", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size", "counts")
+        more = dealt.groupBy("point", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+        more = stored(more.distinct().join(near.hint("merge"), ["a", "b"], "left_anti"), "pairs-at-open-points")
+        found = both_sides(more, texts, ["text"], "texts-at-open-points").mapInPandas(verify, "a bigint, b bigint")
+        found = stored(found.distinct(), "links-at-open-points")
+        if not found.isEmpty():
+            roots = components(links_found.union(found).distinct())
+
+    ids = marked.select("key", node.alias("node")).distinct().join(roots.hint("merge"), "node", "left")
+    rooted = stored(ids.select("key", F.coalesce("root", "node").alias("root")), "rooted-ids")
+    first_keys = stored(rooted.groupBy("root").agg(F.min("key").alias("first")), "first-ids")
+    found = rooted.join(first_keys.hint("merge"), "root")
+    return found.select("key.doc_id", "key.text_hash", (F.col("key") == F.col("first")).alias("first"), F.col("first.doc_id").alias("component_id"))
+
+
+#: Names a document: a doc_id, NO_ID for a null one, and its text's hash.
+KEY = "struct<doc_id: bigint, text_hash: bigint>"
+NO_ID = -(1 << 63)
+
+
+def document_keys(docs: DataFrame, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) of every row; a null text is empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.struct(F.coalesce(F.col(doc_key).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(whole).alias("text_hash")).alias("key"), whole.alias("text"))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each group of similar texts (`similar_documents`), that of its least doc_id; columns as they are.
+    """One row of `docs` for each group of similar texts (`similar_documents`), that of its first document; columns as they are.
 
-    A doc_id that several rows repeat counts as one document; the row with the least text stays. Rows with
-    a null doc_id can't be told apart, so all of them stay.
+    A doc_id with different texts is as many documents; of rows with equal doc_id and text one stays.
     """
-    groups = similar_documents(docs).groupBy("doc_id")
-    groups = groups.agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    found = similar_documents(docs)
     # What goes is far less than what stays, so the texts meet the smaller set.
-    first = (F.col("doc_id") == F.col("component_id")).alias("first")
-    gone = stored(groups.where("doc_id <> component_id OR n > 1").select("doc_id", first), "ids-gone")
-    out = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = gone.where("first").select("doc_id")
-    if not repeated.isEmpty():
-        rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
-        rows = rows.agg(F.min(F.struct(F.col("text").alias("__least"), *docs.columns)).alias("r"))
-        out = out.unionByName(rows.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
-    return out
+    gone = stored(found.where("not first").select("doc_id", "text_hash"), "documents-gone")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = row.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID))).withColumn("h", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    left = row.join(gone, (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_anti")
+    again = stored(document_keys(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key.*"), "repeated-documents")
+    if again.isEmpty():
+        return left.select("row.*")
+    same = (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
+    once = left.join(again, same, "left_anti").select("row")
+    repeated = left.join(again, same, "left_semi").groupBy("d", "h").agg(F.min("row").alias("row")).select("row")
+    return once.union(repeated).select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,19 +194,54 @@ def test_similar_sets_share_a_point():
 
 def test_similar_documents_of_one_large_group(spark):
     base = [f"w{k}" for k in range(120)]
-    rows = [(k, " ".join(base[:60] + [f"own{k}"] + base[61:])) for k in range(400)] + [(None, " ".join(base)), (7, "another text of this id")]
+    rows = [(k, " ".join(base[:60] + [f"own{k}"] + base[61:])) for k in range(400)] + [(7, "another text of this id")]
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert len(got) == 401 and {r["component_id"] for r in got} == {0}
+    assert len(got) == 401 and sorted({r["component_id"] for r in got}) == [0, 7]
     kept = simhash.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == ["0", "None"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [rows[0], (7, "another text of this id")]
+
+
+def test_near_copies_of_template_pages_are_all_linked(spark):
+    """Pages of 69 common words and 9 own ones, each with one near copy: at points of more sets than `FEW` no link is lost."""
+    rng = np.random.default_rng(21)
+    common, rows = [f"c{k}" for k in range(69)], []
+    for k in range(150):
+        own = [f"o{k}x{i}" for i in range(9)]
+        page = common[:40] + own + common[40:]
+        copy = list(page)
+        copy[int(rng.integers(10, 30))] = f"z{k}"
+        copy[-1] = f"y{k}"
+        rows += [(2 * k, " ".join(page)), (2 * k + 1, " ".join(copy))]
+    assert simhash.similarity(*map(simhash.shingle_set, (rows[0][1], rows[1][1]))) >= 0.8
+    assert simhash.similarity(*map(simhash.shingle_set, (rows[0][1], rows[2][1]))) < 0.8
+    want = dict(enumerate(_similar_components([t for _, t in rows])))
+    for chunk in (simhash.CHUNK, 100):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table, chunk=chunk).collect()}
+        assert got == want == {k: k - k % 2 for k in range(300)}
 
 
 def test_one_row_of_each_group_stays(spark):
     rows = simhash.first_of_each_group(documents(spark)).collect()
     ids = sorted(r["doc_id"] for r in rows if r["doc_id"] is not None)
     assert ids.count(2) == 0 and 1 in ids and 3 in ids and 4 not in ids and len(ids) == len(set(ids))
-    doubled = documents(spark, [(2, "b b b"), (2, "a a a"), (3, "other words entirely here now")])
-    assert [r["text"] for r in simhash.first_of_each_group(doubled).where("doc_id = 2").collect()] == ["a a a"]
+    # A doc_id with several texts is several documents: only the one that resembles an earlier one goes.
+    text = " ".join(f"w{k}" for k in range(40))
+    mixed = documents(spark, [(1, text), (2, text + " more"), (2, "other words entirely here now"), (2, "other words entirely here now"), (None, text[:-4])])
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in simhash.first_of_each_group(mixed).collect()))) == sorted(
+        map(repr, [(None, text[:-4]), (2, "other words entirely here now")])
+    )
+    none = documents(spark, [])
+    assert simhash.first_of_each_group(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+    assert language.identify(none, language.learn(documents(spark))).count() == 0
+
+
+def test_quality_keeps_a_column_of_its_own_name(spark):
+    docs = documents(spark).withColumn("quality_score", F.lit(7.5)).withColumn("row", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (6, 1), (9, 0)], "doc_id long, quality int")
+    kept = quality.accepted(docs, labels, 0.0)
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS)
+    assert [r[0] for r in kept.select("quality_score").distinct().collect()] == [7.5]
 
 
 # ---- spans
