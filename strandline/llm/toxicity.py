@@ -2,8 +2,9 @@
 
 Examples are labelled documents, at most about `per_class` toxic and as many others, chosen by a hash of doc_id among those whose
 crc32(doc_id as text) mod 5 is not 0 (a bounded, documented sample; everything else covers all rows). The index's
-terms are the `n_terms` words whose presence depends most on the label among the examples (chi-square; at least `MIN_EXAMPLES` examples with
-different texts and `MIN_SHARE` of the rarer kind's number, so that a few near copies don't make terms). A term's weight is
+terms are the `n_terms` words whose presence depends most on the label among the examples: chi-square of at least `LEAST_CHI`, which no word of a
+large vocabulary reaches by chance, `LEAST_LIFT` times as frequent in one kind as in the other (toxic texts that are longer on average have more of every word),
+in at least `MIN_EXAMPLES` examples with different texts and `MIN_SHARE` of the rarer kind's number, so that a few near copies don't make terms. A term's weight is
 (1 + log tf) * log(1 + N / df), with df and N counted over all documents; vectors have unit length. Examples with equal vectors
 are one entry of the index, which holds the share of toxic ones among them, each counted for as many labelled documents as it stands for.
 
@@ -39,6 +40,8 @@ from strandline.functions.runtime import stored
 PER_CLASS = 1500
 TERMS = 400
 MIN_EXAMPLES, MIN_SHARE = 5, 0.01
+#: The chi-square (one degree of freedom) of a chance of 6e-7.
+LEAST_CHI, LEAST_LIFT = 25.0, 3.0
 K = 12
 BLOCK = 32
 SOFTEN, PRIOR = 0.05, 0.5
@@ -263,8 +266,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_term
     a, rest = F.col("a"), F.col("n") - F.col("a")
     cross = a * (down - rest) - rest * (up - a)
     chi = (up + down) * cross * cross / ((a + rest) * (up + down - a - rest) + F.lit(1e-9))
+    lift = (a + 0.5) / (up + 1) / ((rest + 0.5) / (down + 1))
     least = max(MIN_EXAMPLES, MIN_SHARE * min(up, down))
-    best = with_term.where(F.col("n") >= least).withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(n_terms)
+    best = with_term.where(F.col("n") >= least).withColumn("chi", chi).where((F.col("chi") >= LEAST_CHI) & (F.greatest(lift, 1 / lift) >= LEAST_LIFT)).orderBy(F.desc("chi"), "term").limit(n_terms)
     terms = [r["term"] for r in best.select("term").collect()]
     numbers = {t: k for k, t in enumerate(terms)}
 
