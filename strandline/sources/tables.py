@@ -43,10 +43,15 @@ def coerced(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", as_number(F.col("value").cast("string")))
 
 
-def read_cell_types(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """cell_annot(cell_id, group_id, nth) of a two-column text table with a header; `nth` rises with the line in the file."""
+def read_cell_types(spark: SparkSession, path: str, sep: str = "\t", lines: bool = False) -> DataFrame:
+    """cell_annot(cell_id, group_id) of a two-column text table with a header.
+
+    With `lines` a column `nth` rises with the line, by which `annotate` takes a cell's first annotation; that is the order of
+    one file, of several files each has its own.
+    """
     table = spark.read.csv(path, sep=sep, header=True)
-    return table.select(F.col(table.columns[0]).alias("cell_id"), F.col(table.columns[1]).alias("group_id"), F.monotonically_increasing_id().alias("nth"))
+    named = table.select(F.col(table.columns[0]).alias("cell_id"), F.col(table.columns[1]).alias("group_id"))
+    return named.withColumn("nth", F.monotonically_increasing_id()) if lines else named
 
 
 def read_gene_set(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

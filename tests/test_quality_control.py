@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from strandline.functions.stats import benjamini_hochberg, elbow, exact_quantile
-from strandline.operators import quality_control as qc
+from strandline.operators import matrix, quality_control as qc
 from strandline.sources import tables
 
 
@@ -114,6 +114,10 @@ def test_annotation_and_results(spark, tmp_path):
     (tmp_path / "cells.txt").write_text("SampleID\tGroupID\nc1\tMDP\n")
     (tmp_path / "genes.txt").write_text("gene\ng1\ng1\n\n")
     assert tables.read_cell_types(spark, str(tmp_path / "cells.txt")).collect()[0].asDict() == {"cell_id": "c1", "group_id": "MDP"}
+    (tmp_path / "cells.txt").write_text("SampleID\tGroupID\nc1\tZ\nc1\tA\n")
+    order = spark.createDataFrame([("c1", 1), ("c2", 2)], "cell_id string, rank long")
+    found = matrix.annotate(order, tables.read_cell_types(spark, str(tmp_path / "cells.txt"), lines=True))
+    assert sorted(map(tuple, found.select("cell_id", "group_id").collect())) == [("c1", "Z"), ("c2", None)]
     assert tables.read_gene_set(spark, str(tmp_path / "genes.txt")).count() == 1
     folder = tables.write_results({"exp_raw": spark.range(3)}, str(tmp_path / "out"), "run")
     assert spark.read.parquet(f"{folder}/exp_raw").count() == 3
