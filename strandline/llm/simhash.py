@@ -354,10 +354,10 @@ def _members(point: np.ndarray, node: np.ndarray) -> pd.DataFrame:
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(point, a, b, hot): members of a point (a = b).
+    """(point, a, b) of three kinds, so that the many narrow rows are all that the shuffle writes: a member `a` of a point, b null.
 
-    Where a batch has more than `FEW` of them, only the first is sent to the point, flagged as hot, with links (a, b) of the others to it and rows
-    (a = node, b = point, hot) of all.
+    Where a batch has more than `FEW` of a point's members, only the first is sent there, flagged by b = a, with links (a, b), at point b, of the others
+    to it, and rows of all of them that name the hot point: a = point, b the hot point.
     """
     for batch in batches:
         if not len(batch):
@@ -370,20 +370,26 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         many = sizes[which] > FEW
         leads = first[which] == np.arange(len(node))
         sent = ~many | leads
-        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": node[sent], "hot": many[sent]})
+        flag = pd.array(node[sent], "Int64")
+        flag[~many[sent]] = pd.NA
+        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": flag})
         linked = _signed(np.stack([node[first][which], node], axis=1)[~sent])
         linked = linked[linked["a"] != linked["b"]]
-        yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"], "hot": False})  # under any point, so that they spread
-        yield _members(points[many], node[many]).assign(point=node[many])[["point", "a", "b", "hot"]]
+        yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"]})  # under any point, so that they spread
+        yield pd.DataFrame({"point": node[many], "a": node[many], "b": points[many]})
 
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of `_placed`, sorted by point, become candidates (a, b) and members of hot points (a = node, b = point, hot)."""
+    """Rows of `_placed`, sorted by point, with their kind (0 member, 1 flagged member, 2 link, 3 member of a hot point), become candidates (a, b) and
+    members of hot points (a = node, b = point, hot)."""
     held, lead = np.zeros((0, 3), np.int64), None  # rows (point, node, flag) of the last point, or its first row if it has many
     for batch in batches:
-        own = (batch["a"] == batch["b"]).to_numpy()
-        yield batch.loc[~own, ["a", "b", "hot"]]
-        rows = np.concatenate([held, batch.loc[own, ["point", "a", "hot"]].astype("int64").to_numpy()])
+        point, a, kind = (batch[c].to_numpy() for c in ("point", "a", "kind"))
+        other = batch["b"].to_numpy()
+        for wanted, hot in ((2, False), (3, True)):
+            at = kind == wanted
+            yield pd.DataFrame({"a": a[at], "b": other[at], "hot": np.full(int(at.sum()), hot)})
+        rows = np.concatenate([held, np.stack([point, a, kind], axis=1)[kind <= 1].astype(np.int64)])
         held = rows[:0]
         if lead is not None:
             n = int(np.searchsorted(rows[:, 0], lead[0], "right"))
@@ -468,9 +474,11 @@ def similar_documents(
     joined = marked.select("set", "key").join(firsts.hint("merge"), "set").where("key <> first")
     copies = joined.select(F.xxhash64("first.doc_id", "first.text_hash").alias("a"), node.alias("b")).where("a <> b")
     nodes = marked.join(firsts.withColumnRenamed("first", "key").hint("merge"), ["set", "key"], "left_semi")
-    placed = nodes.select(node.alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint, hot boolean")
+    placed = nodes.select(node.alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint")
     # The first member of a large point is the least at one half of the points and the greatest at the other.
     placed = placed.repartition("point").sortWithinPartitions("point", F.expr("if(point % 2 = 0, a, ~a)"))
+    kind = F.when(F.col("b").isNull(), 0).when(F.col("a") == F.col("b"), 1).when(F.col("a") != F.col("point"), 2).otherwise(3).cast("long")
+    placed = placed.select("point", "a", F.coalesce("b", F.lit(0)).alias("b"), kind.alias("kind"))
     met = stored(placed.mapInPandas(_met, "a bigint, b bigint, hot boolean"), "met-sets")
     pairs = stored(met.where("not hot").select("a", "b").distinct(), "candidate-pairs")
 
