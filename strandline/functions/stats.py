@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.ranks import global_rank, running
 from strandline.functions.runtime import stored
 
 
@@ -63,32 +64,51 @@ def exact_quantile(df: DataFrame, column: str, p: float, weight: str | None = No
     return found["x0"] + (found["x1"] - found["x0"]) * (at - ranks[0])
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "pval", q: str = "qval") -> DataFrame:
-    """Adjusted p-values: the least of p * M / rank over this and all greater p, at most 1.
+def benjamini_hochberg(df: DataFrame, p: str = "pval", q: str = "qval", few: int = FEW_VALUES) -> DataFrame:
+    """Adjusted p-values: the least of p * M / rank over this and all greater p, at most 1; null p stay null.
 
-    One ordered window over the tested genes, which are few next to the expression table.
+    Up to `few` rows are put in order by one window; more are ranked by range partitions, whose least values are carried on.
     """
-    m = F.count(F.col(p)).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last(), "gene_id"))
-    ranked = df.withColumn("__r", rank).withColumn("__m", m).withColumn("__x", F.col(p) * F.col("__m") / F.col("__r"))
-    least = F.min("__x").over(Window.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(q, F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("__r", "__m", "__x")
-
-
-def elbow(df: DataFrame, score: str = "score", key: str = "gene_id", group: list[str] | None = None) -> DataFrame:
+    tested = stored(df, "tested")
+    some = tested.where(F.col(p).isNotNull())
+    m = some.count()
+    order = [F.col(p), F.col("gene_id")]
+    if m <= few:
+        ranked = some.withColumn("__r", F.row_number().over(Window.orderBy(*order))).withColumn("__x", F.col(p) * m / F.col("__r"))
+        least = ranked.withColumn("__least", F.min("__x").over(Window.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranked = global_rank(some, order, "__r").withColumn("__x", F.col(p) * m / F.col("__r"))
+        least = running(ranked, [F.col("__r").desc()], "__x", "__least", F.min)
+    adjusted = least.withColumn(q, F.least("__least", F.lit(1.0))).drop("__r", "__x", "__least")
+    return adjusted.unionByName(tested.where(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))
+
+
+def elbow(df: DataFrame, score: str = "score", key: str = "gene_id", group: list[str] | None = None, few: int = FEW_VALUES) -> DataFrame:
     """Rows at or above the elbow of the falling scores; groups of one row are kept whole.
 
-    The elbow is the first point with the greatest distance from the chord between the greatest and the least score.
+    The elbow is the first point with the greatest distance from the chord between the greatest and the least score. Without groups, more than
+    `few` rows are ranked by range partitions instead of one window.
     """
     group = group or []
-    order = Window.partitionBy(*group).orderBy(F.col(score).desc(), key)
+
+    def distance(n: Column, top: Column, low: Column) -> Column:
+        # Up to a positive factor: the cross product with the chord's direction.
+        return F.round(F.abs((n - 1) * (F.col(score) - top) - (low - top) * (F.col("__r") - 1)), 9)
+
+    falling = [F.col(score).desc(), F.col(key)]
+    if not group:
+        df = stored(df, "scores")
+        about = df.agg(F.count("*").alias("n"), F.max(score).alias("top"), F.min(score).alias("low")).first()
+        if about["n"] > few:
+            ranked = global_rank(df, falling, "__r").withColumn("__r", F.col("__r").cast("double"))
+            far = distance(F.lit(float(about["n"])), F.lit(about["top"]), F.lit(about["low"]))
+            cut = ranked.agg(F.max(F.struct(far.alias("d"), -F.col("__r"), F.col(score).alias("s"))).alias("best")).first()["best"]["s"]
+            return df.where(F.col(score) >= cut)
     whole = Window.partitionBy(*group)
-    ranked = df.withColumn("__r", F.row_number().over(order).cast("double"))
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*falling)).cast("double"))
     ranked = ranked.withColumn("__n", F.count("*").over(whole)).withColumn("__top", F.max(score).over(whole))
     ranked = ranked.withColumn("__low", F.min(score).over(whole))
-    # Distance from the chord up to a positive factor: the cross product with its direction.
-    cross = F.abs((F.col("__n") - 1) * (F.col(score) - F.col("__top")) - (F.col("__low") - F.col("__top")) * (F.col("__r") - 1))
-    ranked = ranked.withColumn("__d", F.round(cross, 9))
+    ranked = ranked.withColumn("__d", distance(F.col("__n"), F.col("__top"), F.col("__low")))
     best = F.max(F.struct("__d", -F.col("__r"), F.col(score).alias("__s"))).over(whole)
     ranked = ranked.withColumn("__cut", best["__s"])
     return ranked.where(F.col(score) >= F.col("__cut")).drop("__r", "__n", "__top", "__low", "__d", "__cut")

@@ -6,10 +6,10 @@ Input is (gene_id, cell_id, value, pseudotime) with pseudotime 1..n; a gene's ab
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.runtime import stored
@@ -18,26 +18,64 @@ from strandline.operators.matrix import with_pseudotime
 from strandline.operators.quality_control import log10_or_limit
 
 
-def spline_basis(n: int) -> np.ndarray:
-    """(3, n) orthogonal columns, orthogonal to the constant, of a natural spline with three degrees of freedom over 1..n.
+KNOTS = (0.0, 1 / 3, 2 / 3, 1.0)
 
-    Knots at the ends and the thirds of the range; the space, not the basis, decides the test.
-    """
-    t = np.linspace(0.0, 1.0, n) if n > 1 else np.zeros(1)
-    knots = [0.0, 1 / 3, 2 / 3, 1.0]
 
-    def d(j: int) -> np.ndarray:
-        return (np.maximum(t - knots[j], 0) ** 3 - np.maximum(t - 1.0, 0) ** 3) / (1.0 - knots[j])
+@dataclass
+class Spline:
+    """A natural spline with three degrees of freedom over pseudotimes 1..n, as columns of pseudotime.
+
+    t is pseudotime scaled to 0..1. The raw columns are t and two differences of truncated cubes; q_k = sum_j turn[k, j] (raw_j - mean_j) are
+    orthogonal to the constant and to each other over 1..n, with squared lengths `norms`. Knots at the ends and the thirds of
+    the range; the space, not the basis, decides the test.
+    """
 
-    kept: list[np.ndarray] = []
-    for column in (t, d(0) - d(2), d(1) - d(2)):
-        q = column - column.mean()
+    n: int
+    mean: np.ndarray
+    turn: np.ndarray
+    norms: np.ndarray
+
+    @staticmethod
+    def raw(t):
+        """The raw columns of t, a column or an array."""
+        least = F.greatest if isinstance(t, Column) else np.maximum
+        zero = F.lit(0.0) if isinstance(t, Column) else 0.0
+
+        def d(j: int):
+            x = t - KNOTS[j]
+            x = least(x, zero) if j else x
+            return x * x * x / (1.0 - KNOTS[j])
+
+        return [t, d(0) - d(2), d(1) - d(2)]
+
+    def time(self, pseudotime):
+        return (pseudotime - 1) / float(max(1, self.n - 1))
+
+    def columns(self, pseudotime):
+        """q_1, q_2 and q_3 at a pseudotime, a column or an array."""
+        raw = [c - float(m) for c, m in zip(self.raw(self.time(pseudotime)), self.mean)]
+        return [sum((raw[j] * float(self.turn[k, j]) for j in range(k)), raw[k] * float(self.turn[k, k])) for k in range(3)]
+
+
+def spline(spark: SparkSession, n: int) -> Spline:
+    """The spline over 1..n; its moments are added up on the executors, and nothing of length n leaves them."""
+    found = Spline(n, np.zeros(3), np.eye(3), np.zeros(3))
+    ranks = spark.range(1, n + 1)
+    raw = found.raw(found.time(F.col("id").cast("double")))
+    found.mean = np.array(ranks.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(raw)]).first(), float)
+    own = [c - float(m) for c, m in zip(raw, found.mean)]
+    pairs = [(i, j) for i in range(3) for j in range(i + 1)]
+    sums = ranks.agg(*[F.sum(own[i] * own[j]).alias(f"s{i}{j}") for i, j in pairs]).first()
+    inner = np.zeros((3, 3))
+    for (i, j), x in zip(pairs, sums):
+        inner[i, j] = inner[j, i] = x
+    for k in range(3):
         for _ in range(2):
-            for other in kept:
-                q = q - other * (q @ other) / (other @ other)
-            q = q - q.mean()
-        kept.append(q)
-    return np.array(kept)
+            for j in range(k):
+                if found.norms[j] > 1e-12:
+                    found.turn[k] -= found.turn[j] * (found.turn[k] @ inner @ found.turn[j]) / found.norms[j]
+        found.norms[k] = found.turn[k] @ inner @ found.turn[k]
+    return found
 
 
 def scattering(expr: DataFrame, n: int, lod: float = 1.0, window_share: float = 0.1, nonzero_share: float = 0.1, min_expr: float = 0.1) -> DataFrame:
@@ -86,72 +124,76 @@ def scattering_filter(scattered: DataFrame, prob: float = 0.75) -> DataFrame:
     return scattered.where(F.col("scattering") < F.lit(cutoff))
 
 
-def regression_sums(expr: DataFrame, n: int, lod: float = 1.0) -> DataFrame:
-    """(gene_id, mean, rss0, b1, b2, b3): sums of log10 expression against the spline basis, over all n cells.
+def regression_sums(expr: DataFrame, basis: Spline, lod: float = 1.0) -> DataFrame:
+    """(gene_id, mean, rss0, b1, b2, b3): sums of log10 expression against the spline's columns, over all n cells.
 
-    y is measured from the floor's logarithm, so absent cells add nothing to the sums. The basis has one row for each
-    cell of the ordering and joins by pseudotime.
+    y is measured from the floor's logarithm, so absent cells add nothing to the sums.
     """
-    spark, basis = expr.sparkSession, spline_basis(n)
-    rows = [(i + 1, *map(float, basis[:, i])) for i in range(n)]
-    table = spark.createDataFrame(rows, "pseudotime long, q1 double, q2 double, q3 double")
-    floor = math.log10(lod)
+    n, floor = basis.n, math.log10(lod)
     y = log10_or_limit(F.greatest("value", F.lit(float(lod)))) - floor
-    sums = expr.withColumn("y", y).join(table, "pseudotime").groupBy("gene_id").agg(
-        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-        *[F.sum(F.col("y") * F.col(f"q{k}")).alias(f"s{k}") for k in (1, 2, 3)],
+    columns = basis.columns(F.col("pseudotime").cast("double"))
+    sums = expr.withColumn("y", y).groupBy("gene_id").agg(
+        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), *[F.sum(F.col("y") * q).alias(f"s{k}") for k, q in enumerate(columns, 1)],
     )
-    norms = [float(q @ q) for q in basis]
-    slopes = [(F.col(f"s{k}") / norms[k - 1] if norms[k - 1] > 1e-12 else F.lit(0.0)).alias(f"b{k}") for k in (1, 2, 3)]
+    slopes = [(F.col(f"s{k}") / float(x) if x > 1e-12 else F.lit(0.0)).alias(f"b{k}") for k, x in enumerate(basis.norms, 1)]
     rss0 = F.greatest(F.col("syy") - F.col("sy") ** 2 / n, F.lit(0.0))
     return sums.select("gene_id", (F.col("sy") / n + floor).alias("mean"), rss0.alias("rss0"), *slopes)
 
 
+def fitted(basis: Spline, pseudotime) -> Column:
+    """The fitted curve of a gene (b1, b2, b3) at a pseudotime, less its mean."""
+    return sum((F.col(f"b{k}") * q for k, q in enumerate(basis.columns(pseudotime), 1)), F.lit(0.0))
+
+
+def fit_range(basis: Spline) -> Column:
+    """The range of the fitted curve over pseudotimes 1..n, in closed form.
+
+    Between knots the curve is a cubic of t. Its derivative is continuous, so between the roots of the derivative in the three parts
+    it rises or falls throughout: over the ranks it is extreme at the first, at the last or next to a root.
+    """
+    a1, a2, a3 = (sum((F.col(f"b{k + 1}") * float(basis.turn[k, j]) for k in range(3)), F.lit(0.0)) for j in range(3))
+    thirds = KNOTS[1], KNOTS[2]
+    # Derivatives of (t - knot)^3 / (1 - knot): 3, 4.5 and 9 times the square; each is (square, linear, constant) in t.
+    parts = [(3 * a2, F.lit(0.0), a1)]
+    second = 4.5 * a3
+    parts.append((3 * a2 + second, -2 * thirds[0] * second, a1 + thirds[0] ** 2 * second))
+    third = -9 * (a2 + a3)
+    parts.append((3 * a2 + second + third, -2 * (thirds[0] * second + thirds[1] * third), a1 + thirds[0] ** 2 * second + thirds[1] ** 2 * third))
+    roots = []
+    for a, b, c in parts:
+        root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
+        # The stable pair of roots: q / a and c / q.
+        q = -0.5 * (b + F.when(b < 0, -root).otherwise(root))
+        roots += [F.try_divide(q, a), F.try_divide(c, q)]
+    last = float(max(1, basis.n))
+    near = [F.when(F.isnan(t) | t.isNull(), F.lit(0.0)).otherwise(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))) * float(basis.n - 1) for t in roots]
+    around = F.transform(F.array(*near), lambda x: F.array(*[F.least(F.greatest(F.floor(x).cast("double") + k, F.lit(1.0)), F.lit(last)) for k in range(4)]))
+    ranks = F.concat(F.array(F.lit(1.0), F.lit(last)), F.flatten(around))
+    curve = F.transform(ranks, lambda x: fitted(basis, x))
+    return F.array_max(curve) - F.array_min(curve)
+
+
 def spline_test(expr: DataFrame, n: int, lod: float = 1.0) -> DataFrame:
     """de(gene_id, status, lrt, pval, qval, cyclic_driving_force, linear_driving_force).
 
     Likelihood ratio of the spline model against the constant on log10 expression, n ln(RSS0 / RSS1), with three
     degrees of freedom. The linear force is the distance of the fitted ends, the cyclic one the range of the fit.
     """
-    basis = spline_basis(n)
-    norms = [float(q @ q) for q in basis]
-    sums = regression_sums(expr, n, lod)
-    explained = sum((F.col(f"b{k}") ** 2 * norms[k - 1] for k in (1, 2, 3)), F.lit(0.0))
+    basis = spline(expr.sparkSession, n)
+    sums = regression_sums(expr, basis, lod)
+    explained = sum((F.col(f"b{k}") ** 2 * float(x) for k, x in enumerate(basis.norms, 1)), F.lit(0.0))
     rss1 = F.greatest(F.col("rss0") - explained, F.col("rss0") * 1e-12)
     fine = F.col("rss0") > 1e-12
     lrt = F.when(fine, n * F.ln(F.when(fine, F.col("rss0") / rss1).otherwise(F.lit(1.0))))
-    ends = [float(q[-1] - q[0]) for q in basis]
-    linear = F.abs(sum((F.col(f"b{k}") * ends[k - 1] for k in (1, 2, 3)), F.lit(0.0)))
+    linear = F.abs(fitted(basis, F.lit(float(n))) - fitted(basis, F.lit(1.0)))
     tested = sums.withColumn("lrt", lrt).withColumn("linear_driving_force", F.when(fine, linear))
     tested = tested.withColumn("pval", F.when(fine, chi2_sf_3(F.coalesce("lrt", F.lit(0.0)))).otherwise(F.lit(1.0)))
-    tested = with_fit_range(tested, basis, fine)
+    tested = tested.withColumn("cyclic_driving_force", F.when(fine, fit_range(basis)))
     tested = tested.withColumn("status", F.when(fine, "OK").otherwise("FAIL"))
     out = benjamini_hochberg(tested)
     return out.select("gene_id", "status", "lrt", "pval", "qval", "cyclic_driving_force", "linear_driving_force")
 
 
-def with_fit_range(tested: DataFrame, basis: np.ndarray, fine: Column) -> DataFrame:
-    """Adds the range of the fitted curve.
-
-    Between knots the curve is a cubic of the pseudotime, so its extremes over the ranks are found on a grid of ranks
-    held as one array column; the grid is the ordering's length.
-    """
-    grid = F.array(*[F.struct(*[F.lit(float(basis[k, i])).alias(f"q{k + 1}") for k in range(3)]) for i in range(basis.shape[1])]) if basis.shape[1] <= 64 else None
-    if grid is not None:
-        fit = F.transform(grid, lambda g: F.col("b1") * g["q1"] + F.col("b2") * g["q2"] + F.col("b3") * g["q3"])
-        return tested.withColumn("cyclic_driving_force", F.when(fine, F.array_max(fit) - F.array_min(fit)))
-
-    @F.pandas_udf("double")
-    def fit_range(b1: pd.Series, b2: pd.Series, b3: pd.Series) -> pd.Series:
-        ranges = []
-        for at in range(0, len(b1), 1024):
-            fit = np.stack([b.to_numpy()[at : at + 1024] for b in (b1, b2, b3)], axis=1) @ basis
-            ranges.append(fit.max(axis=1) - fit.min(axis=1))
-        return pd.Series(np.concatenate(ranges) if ranges else np.zeros(0))
-
-    return tested.withColumn("cyclic_driving_force", F.when(fine, fit_range("b1", "b2", "b3")))
-
-
 def force_filter(de: DataFrame, data_type: str = "linear", cutoff: float | None = None) -> DataFrame:
     """Genes whose driving force is above `cutoff`, or at or above the elbow; infinite forces count as 0."""
     name = "linear_driving_force" if data_type == "linear" else "cyclic_driving_force"

@@ -1,42 +1,16 @@
-"""Layouts: long tables to vectors, global ranks, orderings attached to tables."""
+"""Layouts: long tables to vectors, orderings attached to tables."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from strandline.functions.ranks import global_rank
 from strandline.functions.runtime import stored
 
 
-def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """Every row with its rank from 1 in a total order, without a window over the whole table.
-
-    Rows are range-partitioned and written; a rank is the number of rows in earlier partitions plus the place
-    in its own. Only one count for each partition is gathered.
-    """
-    dealt = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    ranked = dealt.withColumn("__place", place).join(F.broadcast(offsets), "__part")
-    return ranked.withColumn(name, (F.col("__place") + F.col("__before")).cast("long")).drop("__part", "__place", "__before", "__n")
-
-
-def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str = "total") -> DataFrame:
-    """Every row with the sum of `value` over all rows up to it in a total order; like `global_rank`, by range partitions and a sum for each."""
-    dealt = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "summed")
-    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__s"))
-    before = F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    summed = dealt.withColumn("__own", own).join(F.broadcast(offsets), "__part")
-    return summed.withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
-
-
 def subset(expr: DataFrame, genes: DataFrame | None = None, ordering: DataFrame | None = None) -> DataFrame:
     """Rows of the listed genes (exact names) and cells, with the cells' ranks."""
     out = expr if genes is None else expr.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")

@@ -17,7 +17,7 @@ from strandline.functions.stats import exact_quantile, seeded
 from strandline.operators.distance import by_rank, sts_cost
 from strandline.operators.graph import eigenvectors, landmark_distances
 from strandline.operators.linalg import pca_embed
-from strandline.operators.matrix import global_rank
+from strandline.functions.ranks import global_rank
 from strandline.operators.neighbours import affinity, knn_graph, knn_of_queries, nearest, weighted_degree
 from strandline.operators.sorting import auto_spin
 

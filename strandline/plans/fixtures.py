@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.matrix import global_rank
+from strandline.functions.ranks import global_rank
 
 
 def _expr(lines: DataFrame, gene: str) -> DataFrame:

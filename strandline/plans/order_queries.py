@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions.runtime import scratch_path, stored
 from strandline.operators import clusters, distance, graph, linalg, matrix, neighbours, sorting, trajectory
 from strandline.operators import quality_control as qc
-from strandline.operators.drivers import regression_sums
+from strandline.operators.drivers import regression_sums, spline
 from strandline.plans import pipeline
 from strandline.plans.fixtures import cell_types, dense_expr, supplier_order, vector_expr, vector_order, vectors
 from strandline.plans.qc_queries import ORDER, X1, rounded
@@ -147,7 +147,7 @@ def gene_covariance(spark, sf_dir):
 
 def regression_sums_query(spark, sf_dir):
     aligned = matrix.with_pseudotime(dense_expr(spark, sf_dir), supplier_order(spark, sf_dir))
-    return rounded(regression_sums(aligned, supplier_order(spark, sf_dir).count()).select("gene_id", "mean", "rss0"), 6)
+    return rounded(regression_sums(aligned, spline(spark, supplier_order(spark, sf_dir).count())).select("gene_id", "mean", "rss0"), 6)
 
 
 def pca_genes(spark, sf_dir):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import stats
 from strandline.operators import distance, drivers, graph, linalg, matrix, neighbours, sorting, trajectory
 from strandline.plans import pipeline
 
@@ -346,7 +347,7 @@ def test_spline_test_finds_trends(spark):
     assert got["up"]["pval"] < 1e-6 < 0.01 < got["flat"]["pval"]
     assert got["constant"]["status"] == "FAIL" and got["constant"]["pval"] == 1.0
     y = np.log10([r[2] for r in rows if r[0] == "up"])
-    basis = np.vstack([np.ones(n), drivers.spline_basis(n)])
+    basis = np.vstack([np.ones(n), drivers.spline(spark, n).columns(np.arange(1, n + 1))])
     fit = basis.T @ np.linalg.lstsq(basis.T, y, rcond=None)[0]
     lrt = n * np.log(((y - y.mean()) ** 2).sum() / ((y - fit) ** 2).sum())
     assert got["up"]["lrt"] == pytest.approx(lrt, rel=1e-6)
@@ -354,6 +355,32 @@ def test_spline_test_finds_trends(spark):
     assert got["up"]["cyclic_driving_force"] == pytest.approx(np.ptp(fit), rel=1e-6)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 501])
+def test_range_of_the_fit_is_that_over_all_ranks(spark, n):
+    basis = drivers.spline(spark, n)
+    q = np.array(basis.columns(np.arange(1.0, n + 1)))
+    assert np.allclose(q.sum(axis=1), 0, atol=1e-9) and np.allclose(q @ q.T, np.diag(basis.norms), atol=1e-9)
+    rng = np.random.default_rng(n)
+    b = np.concatenate([rng.normal(size=(60, 3)), np.eye(3), -np.eye(3), np.zeros((1, 3)), rng.normal(size=(20, 3)) * [1, 1e-9, 0]])
+    rows = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(b)], "id int, b1 double, b2 double, b3 double")
+    got = [r["r"] for r in rows.select("id", drivers.fit_range(basis).alias("r")).orderBy("id").collect()]
+    assert np.allclose(got, np.ptp(b @ q, axis=1), atol=1e-12)
+
+
+def test_adjusted_p_values_and_elbow_do_not_depend_on_the_size_limit(spark):
+    rng = np.random.default_rng(14)
+    p = [None if k % 11 == 0 else float(np.round(rng.random() ** 3, 3)) for k in range(400)]
+    table = spark.createDataFrame([(f"g{k:03d}", x) for k, x in enumerate(p)], "gene_id string, pval double").repartition(5)
+    by_window, by_parts = ({r["gene_id"]: r["qval"] for r in stats.benjamini_hochberg(table, few=f).collect()} for f in (10**5, 10))
+    some = sorted(x for x in p if x is not None)
+    least = np.minimum.accumulate((np.array(some) * len(some) / np.arange(1, len(some) + 1))[::-1])[::-1]
+    want = dict(zip(some[::-1], least[::-1]))
+    assert by_window == by_parts and all(by_window[f"g{k:03d}"] == (None if x is None else pytest.approx(min(1, want[x]))) for k, x in enumerate(p))
+    scores = spark.createDataFrame([(f"g{k:03d}", float(np.round(x, 1))) for k, x in enumerate(rng.exponential(3, 300))], "gene_id string, score double").repartition(5)
+    kept = [sorted(r["gene_id"] for r in stats.elbow(scores, few=f).collect()) for f in (10**5, 10)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < 300
+
+
 def test_global_rank_has_no_gaps(spark):
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     ranks = [r["rank"] for r in matrix.global_rank(df, ["x", "id"]).orderBy("x", "id").collect()]
