@@ -64,6 +64,8 @@ SEGMENT_BITS = 2
 FEW = 16
 #: A grid point with more fingerprints than this is searched by several tasks.
 CHUNK = 4096
+#: Documents whose points a task holds at a time.
+SLICE_ROWS = 2500
 ROUNDS = 60
 #: Words of a shingle and least Jaccard similarity of near duplicates, where no contract sets another rule.
 SET_SHINGLE = 5
@@ -354,14 +356,12 @@ def _members(point: np.ndarray, node: np.ndarray) -> pd.DataFrame:
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(point, a, b) of three kinds, so that the many narrow rows are all that the shuffle writes: a member `a` of a point, b null.
+    """(point, a, b) of three kinds, so that the many narrow rows are all that the shuffle writes: a member `a` of a point, b 0 (no hash is, in practice).
 
     Where a batch has more than `FEW` of a point's members, only the first is sent there, flagged by b = a, with links (a, b), at point b, of the others
     to it, and rows of all of them that name the hot point: a = point, b the hot point.
     """
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in (b[k : k + SLICE_ROWS] for b in batches for k in range(0, len(b), SLICE_ROWS)):
         node = np.repeat(batch["node"].to_numpy(), batch["points"].map(len))
         if not len(node):
             continue
@@ -370,9 +370,7 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         many = sizes[which] > FEW
         leads = first[which] == np.arange(len(node))
         sent = ~many | leads
-        flag = pd.array(node[sent], "Int64")
-        flag[~many[sent]] = pd.NA
-        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": flag})
+        yield pd.DataFrame({"point": points[sent], "a": node[sent], "b": np.where(many[sent], node[sent], 0)})
         linked = _signed(np.stack([node[first][which], node], axis=1)[~sent])
         linked = linked[linked["a"] != linked["b"]]
         yield pd.DataFrame({"point": linked["b"], "a": linked["a"], "b": linked["b"]})  # under any point, so that they spread
@@ -477,8 +475,8 @@ def similar_documents(
     placed = nodes.select(node.alias("node"), "points").mapInPandas(_placed, "point bigint, a bigint, b bigint")
     # The first member of a large point is the least at one half of the points and the greatest at the other.
     placed = placed.repartition("point").sortWithinPartitions("point", F.expr("if(point % 2 = 0, a, ~a)"))
-    kind = F.when(F.col("b").isNull(), 0).when(F.col("a") == F.col("b"), 1).when(F.col("a") != F.col("point"), 2).otherwise(3).cast("long")
-    placed = placed.select("point", "a", F.coalesce("b", F.lit(0)).alias("b"), kind.alias("kind"))
+    kind = F.when(F.col("b") == 0, 0).when(F.col("a") == F.col("b"), 1).when(F.col("a") != F.col("point"), 2).otherwise(3).cast("long")
+    placed = placed.select("point", "a", "b", kind.alias("kind"))
     met = stored(placed.mapInPandas(_met, "a bigint, b bigint, hot boolean"), "met-sets")
     pairs = stored(met.where("not hot").select("a", "b").distinct(), "candidate-pairs")
 
