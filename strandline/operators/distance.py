@@ -1,7 +1,7 @@
 """Distances between cells in blocks: vectors meet block by block, and only what is asked for leaves a task.
 
 `vec` is (cell_id, pos, features) with pos counting from 1. All-pairs arithmetic is quadratic by
-nature; each task holds two blocks of `block` vectors.
+nature; a distance matrix of two blocks of `block` vectors is the most that a task makes at a time.
 """
 
 from __future__ import annotations
@@ -42,28 +42,71 @@ def same_is_zero(d: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray) -> np.ndar
     return np.where(pos_a[:, None] == pos_b[None, :], 0.0, d)
 
 
-def block_pairs(vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, extra: list[str] | None = None, method="Euclidean", zero_self: bool = True) -> DataFrame:
+#: Doubles of the vectors of a tile (128 MB); a task holds two tiles.
+TILE_NUMBERS = 16_000_000
+#: Rows of partial results that a task gathers before it folds them.
+FOLD_ROWS = 200_000
+
+
+def tiles_of(n_blocks: int, block: int, width: int, parallelism: int) -> int:
+    """Into how many tiles the blocks are put: as few as fit a task's memory and keep all tasks busy, so a vector is sent
+    that many times, not once for each block."""
+    fit = math.ceil(n_blocks * block * max(1, width) / TILE_NUMBERS)
+    return min(n_blocks, max(fit, math.ceil(math.sqrt(2 * parallelism))))
+
+
+def summed_by(*keys: str) -> Callable:
+    """A fold for `block_pairs` that adds up the other columns by `keys`."""
+    return lambda rows: rows.groupby(list(keys), as_index=False, sort=False).sum()
+
+
+def block_pairs(
+    vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, extra: list[str] | None = None, method="Euclidean", zero_self: bool = True,
+    fold: Callable | None = None, tiles: int | None = None,
+) -> DataFrame:
     """Apply `fn(a, b, d)` to each pair of blocks a <= b: frames of the blocks' rows and their distances.
 
-    Each block goes once to each of its pairs, by key, so blocks meet through an ordinary shuffle.
     `method` is a name or a function of two arrays of vectors; a cell's own entry is 0 unless `zero_self` is off.
+    With `fold`, which makes fewer rows of the results of several pairs, blocks travel in tiles (`tiles_of`): a task gets two tiles, lets their blocks
+    meet and sends what is left after folding, so the shuffle grows with the cells, not with their square. Without it each block goes to
+    each of its pairs, by key, as the results are the pairs themselves.
     """
     measure = method if callable(method) else lambda x, y: block_distance(x, y, method)
-    last = vec.agg(F.max("pos")).first()[0] or 0
-    n = max(1, math.ceil(last / block))
-    own = F.floor((F.col("pos") - 1) / block).cast("int")
+    about = vec.agg(F.max("pos").alias("last"), F.max(F.size("features")).alias("width")).first()
+    n = max(1, math.ceil((about["last"] or 0) / block))
+    if fold is None:
+        tiles = n
+    elif tiles is None:
+        tiles = tiles_of(n, block, about["width"] or 1, vec.sparkSession.sparkContext.defaultParallelism)
+    blocks = math.ceil(n / tiles)
+    own = F.floor((F.col("pos") - 1) / (block * blocks)).cast("int")
     columns = ["cell_id", "pos", "features", *(extra or [])]
-    rows = vec.select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    rows = vec.select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(math.ceil(n / blocks) - 1))).alias("other"))
     rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["own"] == pdf["a"].iloc[0]].sort_values("pos")
-        b = pdf[pdf["own"] == pdf["b"].iloc[0]].sort_values("pos")
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return fn(a.iloc[:0], b.iloc[:0], np.zeros((0, 0)))
         d = measure(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()))
         return fn(a, b, same_is_zero(d, a["pos"].to_numpy(), b["pos"].to_numpy()) if zero_self else d)
 
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["own"] == pdf["a"].iloc[0]].sort_values("pos")
+        b = pdf[pdf["own"] == pdf["b"].iloc[0]].sort_values("pos")
+        if fold is None:
+            return pair(a, b)
+        same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        left, right = ([x for _, x in f.groupby((f["pos"] - 1) // block)] for f in (a, b))
+        found, size = [], 0
+        for i, x in enumerate(left):
+            for y in right[i if same else 0 :]:
+                found.append(pair(x, y))
+                size += len(found[-1])
+                if size > FOLD_ROWS:
+                    found = [fold(pd.concat(found))]
+                    size = len(found[0])
+        return fold(pd.concat(found)) if found else pair(a, b)
+
     return rows.groupBy("a", "b").applyInPandas(meet, schema)
 
 
@@ -101,7 +144,8 @@ def weighted_sums(vec: DataFrame, weight: str, method="Euclidean", block: int =
         right = pd.DataFrame({"cell_id": b["cell_id"].to_numpy(), "s": d.T @ a[weight].to_numpy(dtype=float)})
         return pd.concat([left, right])
 
-    return block_pairs(vec, partial, "cell_id string, s double", block, [weight], method).groupBy("cell_id").agg(F.sum("s").alias("s"))
+    found = block_pairs(vec, partial, "cell_id string, s double", block, [weight], method, fold=summed_by("cell_id"))
+    return found.groupBy("cell_id").agg(F.sum("s").alias("s"))
 
 
 def centroids_of(vec: DataFrame, count: int, seed: int = 1) -> np.ndarray:
@@ -143,6 +187,10 @@ def weighted_sums_by_centroids(vec: DataFrame, weight: str, centres: np.ndarray)
     return vec.select("cell_id", total("features").alias("s"))
 
 
+def _total(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"c": [rows["c"].sum()]})
+
+
 def sts_cost(vec: DataFrame, method="Euclidean", block: int = BLOCK) -> DataFrame:
     """(cost): sum of d(i, j) x_i x_j with x = pos - (n + 1) / 2; pairs are never kept."""
     n = vec.agg(F.max("pos")).first()[0] or 0
@@ -151,7 +199,7 @@ def sts_cost(vec: DataFrame, method="Euclidean", block: int = BLOCK) -> DataFram
         x, y = (f["pos"].to_numpy() - (n + 1) / 2 for f in (a, b))
         return pd.DataFrame({"c": [float(x @ d @ y) * (1 if _is_diagonal(a, b) else 2) if d.size else 0.0]})
 
-    return block_pairs(vec, partial, "c double", block, method=method).agg(F.sum("c").alias("cost"))
+    return block_pairs(vec, partial, "c double", block, method=method, fold=_total).agg(F.sum("c").alias("cost"))
 
 
 class Weights:
@@ -206,7 +254,7 @@ def neighbourhood_cost(vec: DataFrame, sigma: float = 1.0, method="Euclidean", f
                 near += w.part(i, both) @ w.part(j, both).T
         return pd.DataFrame({"c": [float((d * near).sum()) * (1 if _is_diagonal(x, y) else 2)]})
 
-    return block_pairs(vec, partial, "c double", block, method=method).agg(F.sum("c").alias("cost"))
+    return block_pairs(vec, partial, "c double", block, method=method, fold=_total).agg(F.sum("c").alias("cost"))
 
 
 def distance_grid(vec: DataFrame, grid: int = 10, method="Euclidean", block: int = BLOCK) -> DataFrame:
@@ -224,7 +272,7 @@ def distance_grid(vec: DataFrame, grid: int = 10, method="Euclidean", block: int
             out = pd.concat([out, out.rename(columns={"row": "column", "column": "row"})])
         return out[out["n"] > 0]
 
-    summed = block_pairs(vec, partial, "row int, column int, s double, n bigint", block, method=method)
+    summed = block_pairs(vec, partial, "row int, column int, s double, n bigint", block, method=method, fold=summed_by("row", "column"))
     return summed.groupBy("row", "column").agg((F.sum("s") / F.sum("n")).alias("mean_distance"))
 
 

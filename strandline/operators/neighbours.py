@@ -45,7 +45,10 @@ def knn(vec: DataFrame, k: int, include_self: bool = False, metric="Euclidean",
             parts.append(pd.DataFrame({"src": x["cell_id"].to_numpy()[i], "dst": y["cell_id"].to_numpy()[j], "dist": m[i, j], "at": py[j]}))
         return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "dist": [], "at": []})
 
-    found = block_pairs(vec, nearest, "src string, dst string, dist double, at bigint", block, method=metric)
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["dist", "at"], kind="stable").groupby("src", sort=False).head(k)
+
+    found = block_pairs(vec, nearest, "src string, dst string, dist double, at bigint", block, method=metric, fold=best)
     nth = F.row_number().over(Window.partitionBy("src").orderBy("dist", "at"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("src", "dst", "dist", "nth")
 
@@ -135,13 +138,54 @@ def knn_by_lists(vec: DataFrame, k: int, lists: int, probes: int, chunk: int = 2
     return found.withColumn("nth", nth).where(F.col("nth") <= k).select("src", "dst", "dist", "nth")
 
 
+def descend(vec: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """One round of neighbour descent: edges(src, dst, dist, nth), each cell's `k` nearest among its neighbours, theirs, and the cells that it is a neighbour of.
+
+    Each cell has at most k neighbours, so at most k * k pairs a cell are measured, however often a cell is another's neighbour.
+    """
+    near = edges.select("src", "dst")
+    ahead = near.select(F.col("src").alias("dst"), F.col("dst").alias("other"))
+    met = near.join(ahead, "dst").select(F.least("src", "other").alias("a"), F.greatest("src", "other").alias("b"))
+    met = met.union(near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))).where("a <> b").distinct()
+    left = vec.select(F.col("cell_id").alias("a"), F.col("features").alias("fa"), F.col("pos").alias("pa"))
+    right = vec.select(F.col("cell_id").alias("b"), F.col("features").alias("fb"), F.col("pos").alias("pb"))
+
+    @F.pandas_udf("double")
+    def measured(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        p, q = np.stack(x.to_numpy()), np.stack(y.to_numpy())
+        return pd.Series(np.sqrt(np.abs((p**2).sum(axis=1) - 2 * (p * q).sum(axis=1) + (q**2).sum(axis=1))))
+
+    pairs = stored(met.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", measured("fa", "fb").alias("dist")), "descent-pairs")
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist", F.col("pb").alias("at"))
+    both = both.union(pairs.select("b", "a", "dist", "pa"))
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dist", "at"))
+    return both.withColumn("nth", nth).where(F.col("nth") <= k).select("src", "dst", "dist", "nth")
+
+
+def knn_by_descent(vec: DataFrame, k: int, lists: int, probes: int = 4, rounds: int = 1, seed: int = 1) -> DataFrame:
+    """edges(src, dst, dist, nth): the k nearest others, found by descent from the cells of a few centroid lists.
+
+    Approximate: compare with `knn` by `recall`. The lists give each cell half as many neighbours again as are wanted, among the `probes`
+    nearest lists; rounds of `descend` then look among the neighbours of neighbours. At most n * (n * probes / lists + rounds * 2 k * k) pairs are
+    measured: with as many lists as the square root of n, the default for tables too large for all pairs, that is n^1.5.
+    """
+    wide = k + max(2, k // 2)
+    edges = stored(knn_by_lists(vec, wide, lists, min(probes, lists), seed=seed), "descent")
+    for _ in range(rounds):
+        edges = stored(descend(vec, edges, wide), "descent")
+    return edges.where(F.col("nth") <= k)
+
+
 def nearest(vec: DataFrame, k: int, include_self: bool = False, metric="Euclidean", lists: int | None = None, probes: int | None = None) -> DataFrame:
-    """`knn`, or `knn_by_lists` if a number of lists is given (a cell is then its own first neighbour with `include_self`)."""
+    """`knn`, or `knn_by_descent` if a number of lists is given, or `knn_by_lists` if one of probes is, too (a cell is then its own first neighbour with
+    `include_self`)."""
     if lists is None:
         return knn(vec, k, include_self, metric)
     if metric != "Euclidean":
         raise ValueError("lists are searched by Euclidean distance only")
-    found = knn_by_lists(vec, k - include_self, lists, probes or max(1, lists // 2))
+    found = knn_by_descent(vec, k - include_self, lists) if probes is None else knn_by_lists(vec, k - include_self, lists, probes)
     if not include_self:
         return found
     own = vec.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("nth"))
@@ -190,8 +234,8 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 def knn_graph(vec: DataFrame, l: int = 15, k: int = 15, seed: int = 123, metric="Euclidean", lists: int | None = None, probes: int | None = None) -> DataFrame:
     """Undirected edges(src, dst, w) of each cell's l nearest others, or of a random k of them.
 
-    With `lists` the neighbours are searched among `probes` (half of the lists by default) centroid lists, which is
-    approximate but does not meet all pairs; Euclidean only.
+    With `lists` the neighbours are searched by descent from centroid lists, with `probes`, too, among that many lists only: approximate, but
+    without all pairs; Euclidean only.
     """
     if k > l:
         raise ValueError("k is greater than the number of neighbours")

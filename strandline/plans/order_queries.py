@@ -91,7 +91,14 @@ def knn_block_recall(spark, sf_dir):
 def knn_list_recall(spark, sf_dir):
     """Recall of the search in half of the centroid lists against the exact one, on the first ten principal components."""
     vec = stored(linalg.pca_embed(vectors(spark, sf_dir), 10)[0], "embedded")
-    return neighbours.recall(neighbours.nearest(vec, 10, lists=16), neighbours.knn(vec, 10))
+    return neighbours.recall(neighbours.nearest(vec, 10, lists=16, probes=8), neighbours.knn(vec, 10))
+
+
+def knn_descent_recall(spark, sf_dir):
+    """Recall of neighbour descent from four of as many lists as the square root of the cells, on the first ten principal components."""
+    vec = stored(linalg.pca_embed(vectors(spark, sf_dir), 10)[0], "embedded")
+    lists = max(4, round(vec.count() ** 0.5))
+    return neighbours.recall(neighbours.nearest(vec, 10, lists=lists), neighbours.knn(vec, 10))
 
 
 def sts_sort_centroids(spark, sf_dir):
@@ -374,6 +381,7 @@ BY_NAME = {
     "weighted_degree": (weighted_degree, f"WITH {_AFFINITY} SELECT src AS cell_id, round(sum(w), 5) AS degree, round(1 / sum(w), 5) AS inverse FROM aff GROUP BY 1"),
     "knn_block_recall": (knn_block_recall, None),
     "knn_list_recall": (knn_list_recall, None),
+    "knn_descent_recall": (knn_descent_recall, None),
     "sts_sort_centroids": (sts_sort_centroids, None),
     "sts_round": (sts_round, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
   SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),

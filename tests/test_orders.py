@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import stats
+from strandline.functions.runtime import stored
 from strandline.operators import distance, drivers, graph, linalg, matrix, neighbours, sorting, trajectory
 from strandline.plans import pipeline
 
@@ -190,6 +191,39 @@ def test_list_search_recall(spark):
     assert neighbours.recall(neighbours.knn_by_lists(vec, 5, 8, 4), exact).first()[0] > 0.9
 
 
+def test_descent_finds_nearly_all_neighbours_with_few_pairs(spark):
+    rng = np.random.default_rng(22)
+    n, k, lists, probes = 2500, 8, 50, 4
+    vec = vec_of(spark, rng.normal(size=(n, 3)) @ rng.normal(size=(3, 12)) + 0.2 * rng.normal(size=(n, 12)))
+    found = neighbours.knn_by_descent(vec, k, lists, probes)
+    assert neighbours.recall(found, neighbours.knn(vec, k)).first()[0] >= 0.9
+    # Cells of probed lists, and at most twice wide * wide pairs a cell, of n / 2 pairs a cell.
+    first = stored(distance.with_nearest_centroids(vec, distance.centroids_of(vec, lists), probes), "lists")
+    sizes = {r["l"]: r["n"] for r in first.groupBy(F.col("lists")[0].alias("l")).agg(F.count("*").alias("n")).collect()}
+    probed = sum(sizes.get(x, 0) for r in first.select("lists").collect() for x in r["lists"])
+    assert (probed + n * 12 * 13 / 2) / (n * (n - 1) / 2) < 0.26
+    got = found.groupBy("src").agg(F.count("*").alias("c"), F.min("nth").alias("a"), F.max("nth").alias("b")).select("c", "a", "b").distinct().collect()
+    assert [tuple(r) for r in got] == [(k, 1, k)]
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 5])
+def test_sums_do_not_depend_on_tiles(spark, monkeypatch, tiles):
+    rng = np.random.default_rng(23)
+    vec = vec_of(spark, rng.normal(size=(90, 4))).withColumn("x", F.col("pos") * 1.0)
+    d = distance.block_distance(*[np.array([r["features"] for r in vec.orderBy("pos").collect()])] * 2)
+    d[np.diag_indices(90)] = 0
+    monkeypatch.setattr(distance, "tiles_of", lambda n, *_: min(n, tiles))
+    monkeypatch.setattr(distance, "FOLD_ROWS", 50)
+    got = {r["cell_id"]: r["s"] for r in distance.weighted_sums(vec, "x", block=9).collect()}
+    assert np.allclose([got[f"{i:04d}"] for i in range(90)], d @ np.arange(1, 91))
+    x = np.arange(90) - 44.5
+    assert distance.sts_cost(vec, block=9).first()[0] == pytest.approx(x @ d @ x)
+    near = neighbours.knn(vec, 4, block=9).orderBy("src", "nth").collect()
+    want = np.argsort(d + np.diag(np.full(90, np.inf)), axis=1, kind="stable")[:, :4]
+    assert [int(r["dst"]) for r in near] == want.ravel().tolist()
+    assert distance.tiles_of(10**6, 1024, 64, 8) < 10**4
+
+
 def test_centroid_sort_is_close_to_the_exact_one(spark):
     t, x = planted(120, seed=2)
     vec = vec_of(spark, x)
