@@ -14,11 +14,12 @@ from strandline.operators.neighbours import knn_graph
 METHODS = ("autoSPIN", "sWanderlust", "monocle", "Wanderlust", "SPIN", "none")
 
 
-def mst_order(vec: DataFrame, neighbours: int = 10) -> DataFrame:
-    """ordering(cell_id, rank, score) along a spanning tree of the neighbour graph of the first two principal components."""
+def mst_order(vec: DataFrame, neighbours: int = 10, lists: int | None = None) -> DataFrame:
+    """ordering(cell_id, rank, score) along a spanning tree of the neighbour graph of the first two principal components; with `lists` its
+    neighbours are searched by descent from that many centroid lists."""
     flat, _ = linalg.pca_embed(vec, 2)
     flat = stored(flat, "flat")
-    return graph.tree_order(flat, stored(knn_graph(flat, neighbours, neighbours), "graph"))
+    return graph.tree_order(flat, stored(knn_graph(flat, neighbours, neighbours, lists=lists), "graph"))
 
 
 def order_cells(vec: DataFrame, method: str = "autoSPIN", **options) -> DataFrame:
