@@ -248,20 +248,28 @@ def test_quality_keeps_a_column_of_its_own_name(spark):
 
 
 def slow_spans(rows, min_words=dedup_spans.MIN_WORDS):
-    first, found = {}, {}
-    cut = {}
-    for i, t in rows:
-        words, _ = dedup_spans.sentences(t or "")
-        cut[i] = [(a, b, s, e, " ".join(words[s:e])) for a, b, s, e, _ in dedup_spans.spans(t or "", min_words)]
-    for i in sorted(cut):
-        for a, b, s, e, text in cut[i]:
-            if text in first:
-                found.setdefault(i, set()).update(range(a, b + 1))
-            else:
-                first[text] = i
+    """Sentences that any later run of two or more sentences covers, every run of up to 30 (longer ones consist of such) looked at."""
+    seen, found = set(), {}
+    for i, t in sorted(rows):
+        words, ends = dedup_spans.sentences(t or "")
+        starts = [0, *ends]
+        for a in range(len(ends)):
+            for b in range(a + 1, min(len(ends), a + 30)):
+                run = tuple(tuple(words[starts[k] : ends[k]]) for k in range(a, b + 1))
+                if ends[b] - starts[a] >= min_words:
+                    if run in seen:
+                        found.setdefault(i, set()).update(range(a, b + 1))
+                    seen.add(run)
     return found
 
 
+def removed_sentences(cleaned):
+    got = {}
+    for r in cleaned.select("doc_id", F.explode("removed").alias("r")).select("doc_id", "r.*").collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_sentence"], r["last_sentence"] + 1))
+    return got
+
+
 def slow_sentences(text):
     """Ends of sentences, each window of words looked at by itself."""
     words, ends = [], set()
@@ -290,12 +298,30 @@ def test_sentences_against_a_slow_cutter():
 
 def test_spans_against_brute_force(spark):
     rows = [r for r in TEXTS if r[0] is not None and r[0] != 2]
-    got = {}
-    for r in dedup_spans.removed_runs(frame(spark, rows)).select("key.id", "first_sentence", "last_sentence").collect():
-        got.setdefault(r["id"], set()).update(range(r["first_sentence"], r["last_sentence"] + 1))
+    got = removed_sentences(dedup_spans.dedup_spans(frame(spark, rows)))
     assert got == slow_spans(rows) and {10, 7} <= set(got) and 9 not in got
 
 
+def test_spans_of_every_length_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    pool = [" ".join(f"{WORDS[k % 20]}{k}x{m}" for m in range(n)) + "." for k, n in enumerate(rng.integers(1, 13, 24))]
+    rows = [(i, " ".join(rng.choice(pool, rng.integers(0, 14)))) for i in range(150)]
+    # Documents that share whole runs, cut off anywhere and within other text.
+    for i in range(150, 300):
+        source = rows[rng.integers(0, 150)][1].split(". ")
+        a, b = sorted(rng.integers(0, len(source) + 1, 2))
+        rows.append((i, f"own{i} " * int(rng.integers(0, 5)) + "start. " + " ".join(x.rstrip(".") + "." for x in source[a:b]) + f" end{i}."))
+    got = removed_sentences(dedup_spans.dedup_spans(frame(spark, rows)))
+    assert got == slow_spans(rows) and len(got) > 50
+
+
+def test_the_tail_of_a_repeated_run_goes(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) + "." for x, n in (("a", 11), ("b", 11), ("c", 5)))
+    rows = [(1, f"One. {a} {b} {c} Other words follow here."), (2, f"Two. {a} {b} {c} Nothing like that.")]
+    got = {r["doc_id"]: r["text"] for r in dedup_spans.dedup_spans(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Two. Nothing like that."}
+
+
 def test_spans_cleaned_texts_and_edge_cases(spark):
     rows = {(r["doc_id"], r["text"]): r for r in dedup_spans.dedup_spans(frame(spark)).collect()}
     assert (9, PASSAGE) in rows and (3, None) in rows and (4, "") in rows
@@ -316,7 +342,7 @@ def test_spans_of_rows_that_share_an_id(spark, broadcast_bytes):
 def test_passage_within_other_text_is_found(spark):
     passage = " ".join(f"{WORDS[k % 20]}{k}" for k in range(55))
     rows = [(1, "some words before it " + passage + " and others after"), (2, "quite another beginning " + passage + " ends so"), (3, "nothing of it")]
-    assert {r["doc_id"] for r in dedup_spans.removed_runs(frame(spark, rows)).select(F.col("key.id").alias("doc_id")).collect()} == {2}
+    assert set(removed_sentences(dedup_spans.dedup_spans(frame(spark, rows)))) == {2}
 
 
 def test_any_passage_of_51_words_holds_a_common_span():
