@@ -12,8 +12,9 @@ Texts become media losslessly: UTF-8 bytes, zero bytes up to a positive multiple
 binary grey map (`P5`), 64 samples of 8 bits in a row. Digest, size and features are computed from the stored bytes as
 read back.
 
-Only features, never payloads, go through the shuffle: they are computed in the scan of the stored table
-and brought down to one row for each digest by an aggregate that combines on the map side.
+`resolve` gives the features of each reference, and only features, never payloads, go through its shuffle: they are computed in
+the scan of the stored table and brought down to one row for each digest by an aggregate that combines on the map side.
+`interleaved` gives whole sequences: every text and media segment with its place, references with their stored bytes.
 
 Defined edge results: a null text counts as empty, whose payload is 64 zero bytes; equal texts have equal
 media; a reference whose digest is not stored keeps its place with null media columns; null HTML
@@ -174,6 +175,22 @@ def resolve(pages: DataFrame, features: DataFrame, key: str = "doc_id", segments
     return stored(flat, "media-references").join(stored(features, "media-features"), "digest", "left")
 
 
+def interleaved(pages: DataFrame, media: DataFrame, key: str = "doc_id", segments: str = "segments") -> DataFrame:
+    """One row for each segment, text and media alike: key, position, kind, text, caption, digest, media.
+
+    `media` holds the stored bytes of a reference's digest, looked up in the table `media` (digest, media); null for
+    texts and for references that are not stored. Ordered by key and position the rows are the sequences. A page
+    without segments has no row. Texts don't pass the join, and of equal media one copy does.
+    """
+    flat = pages.select(F.col(key), F.explode(segments).alias("s"))
+    flat = stored(flat.select(key, "s.position", "s.kind", "s.text", "s.caption", "s.digest"), "segments")
+    payloads = stored(media.where("digest is not null").groupBy("digest").agg(F.first("media").alias("media")), "payloads")
+    columns = [*flat.columns, "media"]
+    texts = flat.where("digest is null").withColumn("media", F.lit(None).cast("binary"))
+    references = flat.where("digest is not null").join(payloads, "digest", "left")
+    return texts.select(columns).unionByName(references.select(columns))
+
+
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, media) of each document, written to the shared folder and read back.
 

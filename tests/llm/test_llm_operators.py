@@ -595,6 +595,36 @@ def test_media_against_plain_hashing(spark):
     assert media.resolve(media.parse_pages(media.document_pages(none)), media.media_features(media.with_media(none))).count() == 0
 
 
+def test_interleaved_sequences_against_plain_parsing(spark):
+    docs = frame(spark)
+    found = media.interleaved(media.parse_pages(media.document_pages(docs)), media.with_media(docs)).collect()
+    want = []
+    for i, t in TEXTS:
+        raw = (t or "").encode()
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        blob = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        parts = [("text", x, None, None) for x in ["Document", *filter(None, lines)]]
+        parts.insert(1 + bool(lines[0]), ("media", None, f"Text of {len(raw)} bytes", blob))
+        want += [(i, k, *part) for k, part in enumerate(parts)]
+    assert counted((r["doc_id"], r["position"], r["kind"], r["text"], r["caption"], r["media"] and bytes(r["media"])) for r in found) == counted(want)
+
+
+def test_interleaved_edge_cases(spark, sf_dir):
+    html = '<p>one</p><img src="sha256:aa"><p>two</p><img src="sha256:bb" alt="b"><img src="http://x/y.png">'
+    pages = media.parse_pages(spark.createDataFrame([(1, html), (2, None), (3, "")], "doc_id long, html string"))
+    blobs = spark.createDataFrame([("aa", b"A"), ("aa", b"A"), (None, b"C")], "digest string, media binary")
+    rows = media.interleaved(pages, blobs).orderBy("doc_id", "position").collect()
+    assert [(r["position"], r["kind"], r["text"], r["digest"], r["media"] and bytes(r["media"])) for r in rows] == [
+        (0, "text", "one", None, None), (1, "media", None, "aa", b"A"), (2, "text", "two", None, None), (3, "media", None, "bb", None),
+        (4, "media", "http://x/y.png", None, None),
+    ]
+    assert media.interleaved(pages.limit(0), blobs.limit(0)).count() == 0
+    given = media.parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    n = given.selectExpr("sum(size(segments))").first()[0]
+    assert media.interleaved(given, blobs, "page_id").count() == n
+
+
 def test_segments_of_the_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = media.parse_pages(pages).collect()
