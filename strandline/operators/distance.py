@@ -191,6 +191,26 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"c": [rows["c"].sum()]})
 
 
+def weighted_sums_of_pairs(vec: DataFrame, weight: str, pairs: DataFrame) -> DataFrame:
+    """(cell_id, s): the sums of `weighted_sums` over a supplied table pairs(i, j, d) that holds each pair once, either way round.
+
+    Absent pairs have distance 0. Sums combine on the map side, so what is shuffled by cell grows with the cells of a task.
+    """
+    directed = pairs.select("i", "j", "d").union(pairs.select("j", "i", "d")).where("i <> j")
+    other = vec.select(F.col("cell_id").alias("j"), F.col(weight).alias("weight"))
+    sums = directed.join(other, "j").groupBy(F.col("i").alias("cell_id")).agg(F.sum(F.col("d") * F.col("weight")).alias("s"))
+    return vec.select("cell_id").join(sums, "cell_id", "left").select("cell_id", F.coalesce("s", F.lit(0.0)).alias("s"))
+
+
+def sts_cost_of_pairs(pairs: DataFrame, ordering: DataFrame) -> DataFrame:
+    """(cost): `sts_cost` of ordering(cell_id, rank) by supplied distances."""
+    n = ordering.agg(F.max("rank")).first()[0] or 0
+    x = F.col("rank") - (n + 1) / 2
+    cells = (ordering.select(F.col("cell_id").alias(side), x.alias(f"x_{side}")) for side in ("i", "j"))
+    met = pairs.where("i <> j").join(next(cells), "i").join(next(cells), "j")
+    return met.agg(F.coalesce(F.sum(F.col("d") * F.col("x_i") * F.col("x_j") * 2), F.lit(0.0)).alias("cost"))
+
+
 def sts_cost(vec: DataFrame, method="Euclidean", block: int = BLOCK) -> DataFrame:
     """(cost): sum of d(i, j) x_i x_j with x = pos - (n + 1) / 2; pairs are never kept."""
     n = vec.agg(F.max("pos")).first()[0] or 0

@@ -112,6 +112,24 @@ def sts_round(spark, sf_dir):
     return rounded(found.select("cell_id", "pos", F.col("next").alias("next_rank"), "s"), 4)
 
 
+def _given(vec):
+    """All distances as a table that is supplied to what follows, and the order without features."""
+    return stored(distance.pairwise_distance(vec), "given-distances"), vec.select("cell_id", "pos")
+
+
+def sts_round_given(spark, sf_dir):
+    """The round by a supplied distance table."""
+    pairs, cells = _given(_ordered(spark, sf_dir))
+    found = sorting.sts_round(cells, pairs=pairs)
+    return rounded(found.select("cell_id", "pos", F.col("next").alias("next_rank"), "s"), 4)
+
+
+def sts_cost_given(spark, sf_dir):
+    """The cost by a supplied distance table."""
+    pairs, cells = _given(_ordered(spark, sf_dir))
+    return rounded(distance.sts_cost_of_pairs(pairs, cells.withColumnRenamed("pos", "rank")), 2)
+
+
 def sts_sort(spark, sf_dir):
     return sorting.sts_sort_distributed(_ordered(spark, sf_dir), block=256)
 
@@ -361,6 +379,7 @@ BY_NAME = {
   (list_dot_product(a.f, a.f) + list_dot_product(b.f, b.f) - list_dot_product(a.f, b.f)), 5) AS d FROM vec a JOIN vec b ON a.pos < b.pos"""),
     "distance_none": (distance_none, f"WITH {PAIRS} SELECT i, j, round(d, 5) AS d FROM pairs WHERE pi < pj AND d < 1.2"),
     "sts_cost": (sts_cost, f"WITH {_RANKED_PAIRS} SELECT round(sum(d * (pi - (n + 1) / 2) * (pj - (n + 1) / 2)), 2) AS cost FROM d, n"),
+    "sts_cost_given": (sts_cost_given, f"WITH {_RANKED_PAIRS} SELECT round(sum(d * (pi - (n + 1) / 2) * (pj - (n + 1) / 2)), 2) AS cost FROM d, n"),
     "neighborhood_cost": (neighborhood_cost, f"""WITH {_weights_sql()}, band AS MATERIALIZED (SELECT * FROM w WHERE w > 1e-9),
   ww AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.w * b.w) AS w FROM band a JOIN band b ON a.j = b.j GROUP BY 1, 2)
   SELECT 'reported' AS form, round(sum(d * w), 3) AS cost FROM d JOIN ww USING (i, j)
@@ -384,6 +403,8 @@ BY_NAME = {
     "knn_descent_recall": (knn_descent_recall, None),
     "sts_sort_centroids": (sts_sort_centroids, None),
     "sts_round": (sts_round, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
+  SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),
+    "sts_round_given": (sts_round_given, f"""WITH {_RANKED_PAIRS}, s AS (SELECT cell_id, pi AS pos, sum(d * (pj - (n + 1) / 2)) AS s FROM d, n GROUP BY 1, 2)
   SELECT cell_id, pos, row_number() OVER (ORDER BY s DESC, pos) AS next_rank, round(s, 4) AS s FROM s"""),
     "sts_sort": (sts_sort, f"{_sts_sql(RANKED)} SELECT cell_id, r AS rank FROM last"),
     "neighborhood_sort": (neighborhood_sort, None),

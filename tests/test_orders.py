@@ -86,6 +86,24 @@ def test_distributed_sort_is_the_local_one(spark):
     assert [int(r["cell_id"]) for r in got] == order.tolist()
 
 
+def test_sort_and_cost_of_supplied_distances(spark):
+    _, x = planted(50, seed=3)
+    d = euclid(x)
+    rng = np.random.default_rng(5)
+    # Each pair once, either way round, with a cell's distance to itself, which plays no part.
+    rows = [(*(f"{k:04d}" for k in rng.permutation([i, j])), float(d[i, j])) for i in range(50) for j in range(i)]
+    pairs = spark.createDataFrame([*rows, ("0000", "0000", 3.0)], "i string, j string, d double")
+    order, cost = sorting.local_sts(d, 6)
+    cells = vec_of(spark, x).drop("features")
+    got = sorting.sts_sort_distributed(cells, 6, pairs=pairs)
+    assert [int(r["cell_id"]) for r in got.orderBy("rank").collect()] == order.tolist()
+    assert distance.sts_cost_of_pairs(pairs, got).first()["cost"] == pytest.approx(cost)
+    # Without any pair all sums are 0 and the order stays.
+    kept = sorting.sts_sort_distributed(cells, 2, pairs=pairs.limit(0)).orderBy("rank").collect()
+    assert [int(r["cell_id"]) for r in kept] == list(range(50))
+    assert distance.sts_cost_of_pairs(pairs.limit(0), got).first()["cost"] == 0
+
+
 def test_distributed_neighbourhood_sort_is_the_local_one(spark):
     _, x = planted(50, seed=3)
     d = distance.block_distance(x, x)
