@@ -6,6 +6,7 @@ nature; a distance matrix of two blocks of `block` vectors is the most that a ta
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -62,7 +63,7 @@ def summed_by(*keys: str) -> Callable:
 
 def block_pairs(
     vec: DataFrame, fn: Callable, schema: str, block: int = BLOCK, extra: list[str] | None = None, method="Euclidean", zero_self: bool = True,
-    fold: Callable | None = None, tiles: int | None = None,
+    fold: Callable | None = None, tiles: int | None = None, keys: list[str] | None = None,
 ) -> DataFrame:
     """Apply `fn(a, b, d)` to each pair of blocks a <= b: frames of the blocks' rows and their distances.
 
@@ -70,7 +71,10 @@ def block_pairs(
     With `fold`, which makes fewer rows of the results of several pairs, blocks travel in tiles (`tiles_of`): a task gets two tiles, lets their blocks
     meet and sends what is left after folding, so the shuffle grows with the cells, not with their square. Without it each block goes to
     each of its pairs, by key, as the results are the pairs themselves.
+    With `keys` only cells of the same keys meet: `pos` counts within them, the column `size` holds their number of cells, and `schema` begins with the keys,
+    which are added to what `fn` and `fold` return.
     """
+    keys = keys or []
     measure = method if callable(method) else lambda x, y: block_distance(x, y, method)
     about = vec.agg(F.max("pos").alias("last"), F.max(F.size("features")).alias("width")).first()
     n = max(1, math.ceil((about["last"] or 0) / block))
@@ -80,8 +84,9 @@ def block_pairs(
         tiles = tiles_of(n, block, about["width"] or 1, vec.sparkSession.sparkContext.defaultParallelism)
     blocks = math.ceil(n / tiles)
     own = F.floor((F.col("pos") - 1) / (block * blocks)).cast("int")
-    columns = ["cell_id", "pos", "features", *(extra or [])]
-    rows = vec.select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(math.ceil(n / blocks) - 1))).alias("other"))
+    last = F.floor((F.col("size") - 1) / (block * blocks)).cast("int") if keys else F.lit(math.ceil(n / blocks) - 1)
+    columns = [*keys, "cell_id", "pos", "features", *(extra or [])]
+    rows = vec.select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     rows = rows.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other")
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -90,7 +95,10 @@ def block_pairs(
         d = measure(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()))
         return fn(a, b, same_is_zero(d, a["pos"].to_numpy(), b["pos"].to_numpy()) if zero_self else d)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def with_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+        return met(pdf).assign(**{k: pdf[k].iloc[0] for k in keys})
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf[pdf["own"] == pdf["a"].iloc[0]].sort_values("pos")
         b = pdf[pdf["own"] == pdf["b"].iloc[0]].sort_values("pos")
         if fold is None:
@@ -107,7 +115,7 @@ def block_pairs(
                     size = len(found[0])
         return fold(pd.concat(found)) if found else pair(a, b)
 
-    return rows.groupBy("a", "b").applyInPandas(meet, schema)
+    return rows.groupBy(*keys, "a", "b").applyInPandas(with_keys if keys else met, schema)
 
 
 def _is_diagonal(a: pd.DataFrame, b: pd.DataFrame) -> bool:
@@ -148,6 +156,36 @@ def weighted_sums(vec: DataFrame, weight: str, method="Euclidean", block: int =
     return found.groupBy("cell_id").agg(F.sum("s").alias("s"))
 
 
+def _summed_arrays(rows: pd.DataFrame) -> pd.DataFrame:
+    codes, cells = pd.factorize(rows["cell_id"])
+    s = np.stack(rows["s"].to_numpy()) if len(rows) else np.zeros((0, 0))
+    total = np.zeros((len(cells), s.shape[1]))
+    np.add.at(total, codes, s)
+    return pd.DataFrame({"cell_id": cells, "s": list(total)})
+
+
+def weighted_sums_of_each(vec: DataFrame, keys: list[str], weights: str, method="Euclidean", block: int = BLOCK) -> DataFrame:
+    """(keys..., cell_id, at, s): `weighted_sums` for each entry `at` of the array `weights`, among the cells of the same keys.
+
+    Distances are taken once for all entries. `vec` is (keys..., size, cell_id, pos, features, weights), see `block_pairs`.
+    """
+
+    def partial(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        if not d.size:
+            return pd.DataFrame({"cell_id": pd.Series([], dtype=object), "s": pd.Series([], dtype=object)})
+        left = pd.DataFrame({"cell_id": a["cell_id"].to_numpy(), "s": list(d @ np.stack(b[weights].to_numpy()))})
+        if _is_diagonal(a, b):
+            return left
+        right = pd.DataFrame({"cell_id": b["cell_id"].to_numpy(), "s": list(d.T @ np.stack(a[weights].to_numpy()))})
+        return pd.concat([left, right])
+
+    types = dict(vec.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "cell_id string, s array<double>"])
+    found = block_pairs(vec, partial, schema, block, [weights], method, fold=_summed_arrays, keys=keys)
+    each = found.select(*keys, "cell_id", F.posexplode("s").alias("at", "s"))
+    return each.groupBy(*keys, "cell_id", "at").agg(F.sum("s").alias("s"))
+
+
 def centroids_of(vec: DataFrame, count: int, seed: int = 1) -> np.ndarray:
     """(count, features) centres of a k-means on the vectors."""
     from pyspark.ml.clustering import KMeans
@@ -254,15 +292,25 @@ class Weights:
         return near * scales / 2
 
 
-def neighbourhood_cost(vec: DataFrame, sigma: float = 1.0, method="Euclidean", form: str = "reported", block: int = BLOCK) -> DataFrame:
-    """(cost): trace of D W W^T ('reported') or of D W ('internal', the cost that the sort lowers)."""
-    n = vec.agg(F.max("pos")).first()[0] or 0
-    shared = vec.sparkSession.sparkContext.broadcast(Weights(n, sigma))  # two numbers for each cell
+@functools.lru_cache(maxsize=4)
+def weights_of(n: int, sigma: float = 1.0) -> Weights:
+    """`Weights`, made where they are needed and kept by each Python worker: nothing of the length of the order is broadcast."""
+    return Weights(n, sigma)
+
+
+def neighbourhood_cost(
+    vec: DataFrame, sigma: float = 1.0, method="Euclidean", form: str = "reported", block: int = BLOCK, keys: list[str] | None = None
+) -> DataFrame:
+    """(keys..., cost): trace of D W W^T ('reported') or of D W ('internal', the cost that the sort lowers); `keys` as in `block_pairs`."""
+    keys = keys or []
+    if not keys:
+        vec = vec.withColumn("size", F.lit(vec.agg(F.max("pos")).first()[0] or 0).cast("long"))
 
     def partial(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         if not d.size:
             return pd.DataFrame({"c": [0.0]})
-        w = shared.value
+        n = int(x["size"].iloc[0])
+        w = weights_of(n, sigma)
         i, j = x["pos"].to_numpy() - 1, y["pos"].to_numpy() - 1
         if form == "internal":
             near = w.part(i, j)
@@ -274,7 +322,10 @@ def neighbourhood_cost(vec: DataFrame, sigma: float = 1.0, method="Euclidean", f
                 near += w.part(i, both) @ w.part(j, both).T
         return pd.DataFrame({"c": [float((d * near).sum()) * (1 if _is_diagonal(x, y) else 2)]})
 
-    return block_pairs(vec, partial, "c double", block, method=method, fold=_total).agg(F.sum("c").alias("cost"))
+    types = dict(vec.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "c double"])
+    found = block_pairs(vec, partial, schema, block, ["size"], method, fold=_total, keys=keys)
+    return found.groupBy(*keys).agg(F.sum("c").alias("cost"))
 
 
 def distance_grid(vec: DataFrame, grid: int = 10, method="Euclidean", block: int = BLOCK) -> DataFrame:

@@ -126,6 +126,40 @@ def test_restarts_above_the_local_limit_give_the_same(spark, monkeypatch, method
     assert got[0]["score"] == pytest.approx(want[0]["score"])
 
 
+@pytest.mark.parametrize("method", ["STS", "neighborhood"])
+def test_jobs_do_not_grow_with_restarts(spark, monkeypatch, method):
+    monkeypatch.setattr(sorting, "LOCAL_LIMIT", 10)
+    _, x = planted(24, seed=7, noise=0.5)
+    jobs = []
+    for restarts in (2, 5):
+        spark.sparkContext.setJobGroup(f"restarts-{method}-{restarts}", "")
+        sorting.sort_best_of(vec_of(spark, x), method, restarts, max_iter=1).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"restarts-{method}-{restarts}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_keyed_sorts_are_those_of_each_key(spark):
+    """Groups of unlike sizes, one of a single cell, sorted together and one by one."""
+    sizes = {1: 19, 2: 8, 3: 1}
+    parts, want = [], {}
+    for key, n in sizes.items():
+        _, x = planted(n, seed=20 + key, noise=0.3)
+        vec = vec_of(spark, x)
+        parts.append(vec.withColumn("w", F.lit(key)).withColumn("size", F.lit(n).cast("long")))
+        for method in ("STS", "neighborhood"):
+            order, cost = sorting.local_sort(distance.same_is_zero(distance.block_distance(x, x), np.arange(n), np.arange(n)), method, max_iter=3)
+            names = [r["cell_id"] for r in vec.orderBy("pos").collect()]
+            want[method, key] = ([names[i] for i in order], cost)
+    cells = parts[0].union(parts[1]).union(parts[2])
+    for method in ("STS", "neighborhood"):
+        got = sorting._best_distributed(cells, ["w"], method, 1, 1.0, "Euclidean", 123, 3, 5).collect()
+        for key in sizes:
+            rows = sorted((r for r in got if r["w"] == key), key=lambda r: r["rank"])
+            assert [r["cell_id"] for r in rows] == want[method, key][0]
+            assert rows[0]["score"] == pytest.approx(want[method, key][1], abs=1e-9)
+
+
 def test_refinement_above_the_local_limit_gives_the_same(spark, monkeypatch):
     _, x = planted(30, seed=6, noise=0.2)
     options = {"restarts": 2, "increment": 0.4}
