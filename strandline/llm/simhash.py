@@ -24,13 +24,14 @@ between the merged nodes, and the rounds go on until no link is left. Each round
 the shared folder.
 
 Similar shingle sets (`similar_documents`, the pipeline's stage): a similarity of 0.8 of two texts moves about ten of 64
-bits, which no selective grid of 64 bits can reach. There the fingerprint is the sparse one: the set of the distinct hashes of
-five-word shingles, that is one bit in 2^64 for each. Its Hamming distance, the symmetric difference, is at most
-(m1 + m2) (1 - s) / (1 + s) for sets of m1 and m2 hashes with a Jaccard similarity of s. The hashes are cut into more parts than
-that, so two such sets agree on a whole part: the Manhattan distance of its segments' counts, the lower bound,
-is zero, and the part's point is named by the same kind of linear hash. The number of parts belongs to a class of sizes; a set
+bits, which no selective grid of 64 bits can reach. There a text has a longer fingerprint, 64 bits for each part of it: the distinct
+hashes of its five-word shingles are cut into parts by their value, and each part has a SimHash fingerprint of its own (a bit is set if it
+is set in more than half of the part's hashes; a text of few shingles is one part). Sets of m1 and m2 hashes with a Jaccard similarity of s
+differ in at most (m1 + m2) (1 - s) / (1 + s) hashes. There are more parts than that, so the fingerprints of one part at least are equal,
+whatever the others are: each part is a band of 64 bits, placed by the same embedding (segment bit counts in two cuts, named by the
+linear hash) on its own grid point; neighbours aren't needed at distance zero. The number of parts belongs to a class of sizes; a set
 is placed in its own class and, if a partner could be of the next, there too. Sets that meet on a point are candidates.
-The Manhattan distance of their bit counts in 256 segments, again a lower bound, rejects most chance
+The Manhattan distance of the hash counts of two whole sets in 256 segments, a lower bound of the hashes they differ in, rejects most chance
 meetings, and the Jaccard similarity of the rest is computed from the whole texts. Equal sets are one node. At a point of up to
 `FEW` sets all pairs are candidates; at a greater one each set is first paired with the first only (within each batch before
 the shuffle, too, so that a group that holds a third of all rows sends a row for each batch). Where the links found so far don't join all sets of such a
@@ -76,6 +77,8 @@ CLASS_RATIO = 1.75
 SMALL_SET, SMALL_DEALS = 32, 4
 #: Segments whose bit counts bound the distance of two candidates before their texts are fetched.
 SEGMENTS = 256
+#: Parts whose fingerprints are made and placed at a time.
+PARTS_AT_ONCE = 1 << 13
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -123,7 +126,7 @@ def bands(max_bits: int = MAX_BITS) -> list[np.ndarray]:
 
 
 def grid_points(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(point, index of the fingerprint) of each placement of an array of u64 fingerprints."""
+    """(point, index of the fingerprint) of each placement of an array of u64 fingerprints; with `max_bits` 0 on their own points only."""
     points, owners, every = [], [], np.arange(len(fps))
     names = np.random.default_rng(64)
     for band in bands(max_bits):
@@ -138,7 +141,7 @@ def grid_points(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray,
             step += name[segment]
         points.append(at)
         owners.append(every)
-        for own, to in zip(bits, step):
+        for own, to in zip(bits, step) if max_bits else ():
             points.append(np.where(own == 0, at + to, at - to))
             owners.append(every)
     return np.concatenate(points).view(np.int64), np.concatenate(owners)
@@ -311,29 +314,68 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def set_points(hashes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The grid points of a sorted set: two sets with a similarity of `least` or more agree on one of them."""
+def set_parts(hashes: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes in the order of their parts, where each part begins, the parts' names): two sets with a similarity of `least` or more have one in common."""
     m = len(hashes)
     if not m:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     level, top = 0, 4
     while top < m:
         level, top = level + 1, int(top * CLASS_RATIO)
     reached = [(level, top)]
     if m / least >= top:
         reached.append((level + 1, int(top * CLASS_RATIO)))
-    found = []
+    members, starts, names = [], [], []
     for deal in range(SMALL_DEALS if m <= SMALL_SET else 1):
-        dealt = hashes if deal == 0 else np.sort(_mixed(hashes + np.uint64(deal)))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(dealt), dtype=np.uint64)])
+        dealt, own = hashes, hashes
+        if deal:
+            dealt = _mixed(hashes + np.uint64(deal))
+            order = np.argsort(dealt)
+            dealt, own = dealt[order], hashes[order]
         for level, top in reached:
             n_parts = int(2 * top * (1 - least) / (1 + least) + 1e-9) + 1
             part = ((dealt >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
-            ends = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(ends))  # what an empty part agrees on says nothing
-            own = (full + (level * SMALL_DEALS + deal << 40)).astype(np.uint64)
-            found.append(_mixed(sums[ends[full + 1]] - sums[ends[full]] + _mixed(own)))
-    return np.concatenate(found).view(np.int64)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # what an empty part agrees on says nothing
+            starts.append(first + m * len(members))
+            names.append(part[first] + np.uint64(level * SMALL_DEALS + deal << 40))
+            members.append(own)
+    return np.concatenate(members), np.concatenate(starts), np.concatenate(names)
+
+
+def part_fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint of each part, a run of `hashes` that begins at one of `starts`."""
+    sizes = np.diff(np.append(starts, len(hashes)))
+    found = [np.zeros(0, np.uint64)]
+    for k in range(0, len(starts), PARTS_AT_ONCE):
+        first, size = starts[k : k + PARTS_AT_ONCE], sizes[k : k + PARTS_AT_ONCE]
+        bits = np.unpackbits(hashes[first[0] : first[-1] + size[-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        order = np.argsort(-size, kind="stable")  # so that the parts that have a j-th hash come first
+        first, size = first[order] - first[0], size[order]
+        counts = bits[first].astype(np.uint16 if size[0] < 1 << 15 else np.int64)
+        for j in range(1, int(size[0])):
+            n = int(np.searchsorted(-size, -j))
+            counts[:n] += bits[first[:n] + j]
+        fps = np.empty(len(first), np.uint64)
+        fps[order] = np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        found.append(fps)
+    return np.concatenate(found)
+
+
+def points_of_sets(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(grid points of all sets, one after the other; how many each has)."""
+    parts = [set_parts(s, least) for s in sets]
+    before = np.cumsum([0] + [len(hashes) for hashes, _, _ in parts])
+    starts = np.concatenate([first + n for (_, first, _), n in zip(parts, before)])
+    fps = part_fingerprints(np.concatenate([hashes for hashes, _, _ in parts]), starts)
+    own = _mixed(np.concatenate([names for _, _, names in parts]))
+    at = [grid_points(fps[k : k + PARTS_AT_ONCE], 0)[0].view(np.uint64) for k in range(0, len(fps), PARTS_AT_ONCE)]
+    points = np.concatenate(at) + own if at else own
+    return _mixed(points).view(np.int64), np.array([len(first) for _, first, _ in parts])
+
+
+def set_points(hashes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The grid points of a sorted set: two sets with a similarity of `least` or more agree on one of them."""
+    return points_of_sets([hashes], least)[0]
 
 
 def _candidates(point: np.ndarray, node: np.ndarray, flagged: np.ndarray) -> pd.DataFrame:
@@ -438,7 +480,8 @@ def similar_documents(
             sets = [shingle_set(t, size) for t in batch["text"]]
             names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             about = {"size": [len(s) for s in sets], "counts": [segment_counts(s) for s in sets]}
-            yield pd.DataFrame({"key": batch["key"], "set": names, **about, "points": [set_points(s, least) for s in sets]})
+            points, n = points_of_sets(sets, least)
+            yield pd.DataFrame({"key": batch["key"], "set": names, **about, "points": np.split(points, np.cumsum(n)[:-1])})
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -192,6 +192,24 @@ def test_similar_sets_share_a_point():
     assert len(np.unique(np.concatenate(far))) == sum(map(len, far))
 
 
+def test_similar_documents_meet_by_fingerprints():
+    """Each part of a set has a SimHash fingerprint, and parts with equal fingerprints meet, whatever their hashes are."""
+    rng = np.random.default_rng(13)
+    sets = [np.sort(rng.integers(0, 2**64, m, dtype=np.uint64)) for m in (0, 1, 3, 4, 9, 33, 300)]
+    for hashes, starts, names in map(simhash.set_parts, sets):
+        parts = np.split(hashes, starts)[1:]
+        want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in part) > len(part)) for part in parts]
+        assert simhash.part_fingerprints(hashes, starts).tolist() == want and len(names) == len(parts)
+    text = "One two three  four five six seven"
+    hashes, starts, _ = simhash.set_parts(simhash.shingle_set(text))
+    assert set(simhash.part_fingerprints(hashes, starts).tolist()) == {simhash.fingerprint(text, simhash.SET_SHINGLE)}
+    for _ in range(100):
+        a, b, c, other = rng.integers(0, 2**64, 4, dtype=np.uint64)
+        d = c ^ (~(a ^ b) & np.uint64(0xFFFF))  # where a and b agree, the third hash decides nothing
+        points = [set(simhash.set_points(np.sort(np.array([a, b, x], np.uint64)))) for x in (c, d, other)]
+        assert points[0] == points[1] and not points[0] & points[2]
+
+
 def test_similar_documents_of_one_large_group(spark):
     base = [f"w{k}" for k in range(120)]
     rows = [(k, " ".join(base[:60] + [f"own{k}"] + base[61:])) for k in range(400)] + [(7, "another text of this id")]
