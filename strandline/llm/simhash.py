@@ -47,10 +47,12 @@ but null doc_ids has a null component_id; other columns are not touched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +67,8 @@ SEGMENT_BITS = 2
 FEW = 16
 #: A grid point with more fingerprints than this is searched by several tasks.
 CHUNK = 4096
-#: Documents whose points a task holds at a time.
-SLICE_ROWS = 2500
+#: Documents whose points a task holds at a time, and texts (or pairs of them) whose sets it holds.
+SLICE_ROWS, SLICE_TEXTS = 2500, 250
 ROUNDS = 60
 #: Words of a shingle and least Jaccard similarity of near duplicates, where no contract sets another rule.
 SET_SHINGLE = 5
@@ -450,6 +452,28 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _candidates(held[:, 0], held[:, 1], held[:, 2] > 0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of `SLICE_TEXTS` rows."""
+    return (batch.slice(k, SLICE_TEXTS) for batch in batches for k in range(0, batch.num_rows, SLICE_TEXTS))
+
+
+def marked_sets(batches: Iterator[pa.RecordBatch], size: int = SET_SHINGLE, least: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) with the text's shingle set named, counted and placed.
+
+    Texts stay in Arrow's form but for a slice, as a batch of whole texts with their sets is what a worker can't hold.
+    """
+    for batch in sliced(batches):
+        sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
+        points, n = points_of_sets(sets, least)
+        yield pa.RecordBatch.from_pydict({
+            "key": batch["key"],
+            "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+            "size": pa.array([len(s) for s in sets], pa.int64()),
+            "counts": pa.array([segment_counts(s) for s in sets], pa.binary()),
+            "points": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(points, pa.int64())),
+        })
+
+
 def counts_within(a: pd.DataFrame, b: pd.DataFrame, least: float, rows: int = 16) -> np.ndarray:
     """Index pairs (into a, into b) of different roots whose segment counts leave a similarity of `least` possible.
 
@@ -475,21 +499,13 @@ def similar_documents(
     """(doc_id, text_hash, first): for every document of `docs`, a doc_id with a text, whether it is the first of those that links of sets of
     similarity `least` or more join with it, in order of doc_id (null first) and of text_hash, the xxhash64 of the text."""
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch["text"]]
-            names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            about = {"size": [len(s) for s in sets], "counts": [segment_counts(s) for s in sets]}
-            points, n = points_of_sets(sets, least)
-            yield pd.DataFrame({"key": batch["key"], "set": names, **about, "points": np.split(points, np.cumsum(n)[:-1])})
-
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("counts_a", "counts_b"))
             at_most = (batch["size_a"] + batch["size_b"]).to_numpy() * (1 - least) / (1 + least) + 1e-6
             yield batch.loc[np.abs(a - b).sum(axis=1) <= at_most, ["a", "b"]]
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[str, np.ndarray]] = {}
 
         def of(side: str, text: str) -> np.ndarray:  # the last set of each side, as rows of one document are often neighbours
@@ -497,9 +513,10 @@ def similar_documents(
                 kept[side] = text, shingle_set(text, size)
             return kept[side][1]
 
-        for batch in batches:
-            near = [similarity(of("a", x), of("b", y)) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
-            yield batch.loc[near, ["a", "b"]]
+        for batch in sliced(batches):
+            texts = zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())
+            near = [similarity(of("a", x), of("b", y)) >= least for x, y in texts]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -508,7 +525,7 @@ def similar_documents(
         return _signed(np.stack([a["node"].to_numpy()[near[:, 0]], b["node"].to_numpy()[near[:, 1]]], axis=1))
 
     rows = document_keys(docs, doc_key, text)
-    marked = stored(rows.mapInPandas(mark, f"key {KEY}, set binary, size bigint, counts binary, points array<bigint>"), "shingle-sets")
+    marked = stored(rows.mapInArrow(partial(marked_sets, size=size, least=least), f"key {KEY}, set binary, size bigint, counts binary, points array<bigint>"), "shingle-sets")
     node = F.xxhash64("key.doc_id", "key.text_hash")
     firsts = stored(marked.groupBy("set").agg(F.min("key").alias("first")), "distinct-sets")
     # Merge joins at every size, as both sides grow with the documents.
@@ -536,7 +553,7 @@ def similar_documents(
     near = both_sides(pairs, counts, ["size", "counts"], "candidate-counts").mapInPandas(bounded, "a bigint, b bigint")
     near = stored(near.distinct(), "near-pairs")
     texts = rows.select(node.alias("node"), "text")
-    links_found = both_sides(near, texts, ["text"], "candidate-texts").mapInPandas(verify, "a bigint, b bigint")
+    links_found = both_sides(near, texts, ["text"], "candidate-texts").mapInArrow(verify, "a bigint, b bigint")
     links_found = stored(links_found.union(copies).distinct(), "set-links")
     roots = components(links_found)
 
@@ -554,7 +571,7 @@ def similar_documents(
         dealt = dealt.select("point", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size", "counts")
         more = dealt.groupBy("point", "i", "j").applyInPandas(compare, "a bigint, b bigint")
         more = stored(more.distinct().join(near.hint("merge"), ["a", "b"], "left_anti"), "pairs-at-open-points")
-        found = both_sides(more, texts, ["text"], "texts-at-open-points").mapInPandas(verify, "a bigint, b bigint")
+        found = both_sides(more, texts, ["text"], "texts-at-open-points").mapInArrow(verify, "a bigint, b bigint")
         found = stored(found.distinct(), "links-at-open-points")
         if not found.isEmpty():
             roots = components(links_found.union(found).distinct())

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -210,6 +212,23 @@ def test_similar_documents_meet_by_fingerprints():
         assert points[0] == points[1] and not points[0] & points[2]
 
 
+def test_sets_of_a_batch_are_made_in_slices():
+    """Of a batch of 5,000 texts a worker holds the sets of a slice at a time."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(150)) for k in range(5000)]
+    keys = pa.array([{"doc_id": k, "text_hash": k} for k in range(5000)], pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64())]))
+    batch = pa.RecordBatch.from_pydict({"key": keys, "text": pa.array(texts)})
+    n, tracemalloc_was = 0, tracemalloc.is_tracing()
+    tracemalloc.start()
+    for out in simhash.marked_sets(iter([batch])):
+        assert out["key"].to_pylist() == [{"doc_id": k, "text_hash": k} for k in range(n, n + len(out))]
+        assert out["points"][0].as_py() == simhash.set_points(simhash.shingle_set(texts[n])).tolist()
+        n += len(out)
+    most = tracemalloc.get_traced_memory()[1]
+    if not tracemalloc_was:
+        tracemalloc.stop()
+    assert n == 5000 and most < 15e6  # 33e6 if the whole batch is one slice
+
+
 def test_similar_documents_of_one_large_group(spark):
     base = [f"w{k}" for k in range(120)]
     rows = [(k, " ".join(base[:60] + [f"own{k}"] + base[61:])) for k in range(400)] + [(7, "another text of this id")]
